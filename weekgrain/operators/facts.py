@@ -136,7 +136,7 @@ def competitor_literals(spark) -> DataFrame:
     )
 
 
-def _competitor_structs() -> Column:
+def competitor_structs() -> Column:
     return F.array(
         *[
             F.struct(
@@ -161,7 +161,7 @@ def competitor_prices(prices: DataFrame, products: DataFrame) -> DataFrame:
     from a literal array inside the row, without a join."""
     return (
         priced(prices, products)
-        .select("*", F.inline(_competitor_structs()))
+        .select("*", F.inline(competitor_structs()))
         .select(
             "date_week_id",
             "country_id",

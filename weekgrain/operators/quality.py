@@ -64,7 +64,7 @@ def foreign_key_report(tables) -> DataFrame:
         known = tables(parent).select(F.col(target).alias("key"))
         orphans = keys.where(F.col("key").isNotNull()).join(known, "key", "left_anti")
         return orphans.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("violations")).select(
-            F.lit(f"{child}.{column} -> {parent}").alias("constraint"), "violations"
+            F.lit(f"{child}.{column} -> {parent}").alias("check_name"), "violations"
         )
 
     return _union([check(*rule) for rule in FOREIGN_KEYS])
@@ -82,7 +82,7 @@ def unique_key_report(tables) -> DataFrame:
             .where(F.col("n") > 1)
         )
         return repeated.agg(F.count(F.lit(1)).alias("violations")).select(
-            F.lit(f"{table}({', '.join(columns)})").alias("constraint"), "violations"
+            F.lit(f"{table}({', '.join(columns)})").alias("check_name"), "violations"
         )
 
     return _union([check(*rule) for rule in UNIQUE_KEYS])
@@ -94,7 +94,7 @@ def not_null_report(tables) -> DataFrame:
     def check(table, columns):
         counts = tables(table).agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in columns])
         return counts.unpivot([], columns, "column", "violations").select(
-            F.concat(F.lit(f"{table}."), "column").alias("constraint"), "violations"
+            F.concat(F.lit(f"{table}."), "column").alias("check_name"), "violations"
         )
 
     return _union([check(table, columns) for table, columns in NOT_NULL.items()])
@@ -103,7 +103,7 @@ def not_null_report(tables) -> DataFrame:
 def row_counts(tables, names: list[str]) -> DataFrame:
     return _union(
         [
-            tables(n).agg(F.count(F.lit(1)).alias("rows")).select(F.lit(n).alias("table"), "rows")
+            tables(n).agg(F.count(F.lit(1)).alias("rows")).select(F.lit(n).alias("table_name"), "rows")
             for n in names
         ]
     )

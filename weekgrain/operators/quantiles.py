@@ -2,18 +2,39 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 CELLS = 65_536
+SMALL = 500_000
 
 
-def exact_quantiles(df: DataFrame, column: str, probs: dict[str, float], cells: int = CELLS) -> DataFrame:
+def exact_quantiles(
+    df: DataFrame, column: str, probs: dict[str, float], small: int = SMALL, cells: int = CELLS
+) -> DataFrame:
     """One row with the named quantiles, linear between the two neighbours.
 
-    Equal values are counted first. The value range is cut into cells; running counts over
-    the cells show which ones hold the wanted ranks, and only these are cut again, then
-    sorted. A window therefore sees at most `cells` rows, or the distinct values of one of
+    The built-in percentile keeps a count per distinct value in one buffer. It is used only
+    after a sketch has shown that there are at most about `small` of them; beyond that the
+    ranks are searched cell by cell, with the same result.
+    """
+    distinct = df.select(F.approx_count_distinct(column)).first()[0]
+    if distinct <= small:
+        wanted = F.percentile(F.col(column).cast("double"), F.array(*map(F.lit, probs.values())))
+        return df.agg(wanted.alias("q")).select(
+            *[F.col("q")[i].alias(name) for i, name in enumerate(probs)]
+        )
+    return quantiles_by_cells(df, column, probs, cells)
+
+
+def quantiles_by_cells(
+    df: DataFrame, column: str, probs: dict[str, float], cells: int = CELLS
+) -> DataFrame:
+    """Quantiles by narrowing the value range.
+
+    Equal values are counted first. The range is cut into cells; running counts over the
+    cells show which ones hold the wanted ranks, and only these are cut again, then sorted.
+    A window therefore sees at most `cells` rows per cell, or the distinct values of one of
     cells^2 slices of the range, whatever the number of rows.
     """
     counts = (
@@ -22,55 +43,66 @@ def exact_quantiles(df: DataFrame, column: str, probs: dict[str, float], cells:
         .groupBy("x")
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    bounds = counts.agg(
-        F.min("x").alias("lo"), F.max("x").alias("hi"), F.sum("n").alias("total")
-    )
-    # Zero-based ranks wanted: for every probability the value below and the one above.
-    top = (F.col("total") - 1).cast("double")
-    ranks = bounds.select(
-        "lo",
-        "hi",
-        "total",
-        *[(top * p).alias(f"h_{name}") for name, p in probs.items()],
-    )
-    lookup = ranks.select(F.struct("*")).scalar()
-    place = F.coalesce(
-        F.try_divide((F.col("x") - lookup["lo"]) * cells, lookup["hi"] - lookup["lo"]), F.lit(0.0)
+    top = (F.sum("n") - 1).cast("double")
+    ranks = [f(top * p).cast("bigint") for p in probs.values() for f in (F.floor, F.ceil)]
+    facts = counts.agg(
+        F.struct(
+            F.min("x").alias("lo"),
+            F.max("x").alias("hi"),
+            top.alias("top"),
+            F.array(*ranks).alias("ranks"),
+        ).alias("f")
     )
+    place = F.try_divide((F.col("x") - F.col("f.lo")) * cells, F.col("f.hi") - F.col("f.lo"))
+    last_cell = F.lit(cells - 1)
     celled = (
-        counts.withColumn("place", place)
-        .withColumn("cell", F.least(F.floor("place"), F.lit(cells - 1)))
-        .withColumn("sub", F.least(F.floor((F.col("place") - F.col("cell")) * cells), F.lit(cells - 1)))
+        counts.withColumn("f", facts.scalar())
+        .withColumn("place", F.coalesce(place, F.lit(0.0)))
+        .withColumn("cell", F.least(F.floor("place"), last_cell))
+        .withColumn(
+            "sub", F.least(F.floor((F.col("place") - F.col("cell")) * cells), last_cell)
+        )
+        .drop("place")
     )
 
-    def wanted(start, end):
-        hit = F.lit(False)
-        for name in probs:
-            for rank in (F.floor(lookup[f"h_{name}"]), F.ceil(lookup[f"h_{name}"])):
-                hit = hit | ((rank >= start) & (rank < end))
-        return hit
-
-    def running(rows, group, order, offset):
+    def holding_ranks(rows: DataFrame, group: list[str], order: str, offset: Column) -> DataFrame:
+        """Rows whose share of the sorted sequence, [start, end), holds a wanted rank."""
         window = Window.partitionBy(*group).orderBy(order)
-        end = F.sum("n").over(window) + offset
-        rows = rows.withColumn("end", end).withColumn("start", F.col("end") - F.col("n"))
-        return rows.where(wanted(F.col("start"), F.col("end")))
+        return (
+            rows.withColumn("end", F.sum("n").over(window) + offset)
+            .withColumn("start", F.col("end") - F.col("n"))
+            .withColumn("f", facts.scalar())
+            .where(F.exists("f.ranks", lambda r: (r >= F.col("start")) & (r < F.col("end"))))
+        )
 
-    first = running(celled.groupBy("cell").agg(F.sum("n").alias("n")), [], "cell", F.lit(0))
+    # At most two cells per probability pass, so the broadcasts are bounded.
+    first = holding_ranks(celled.groupBy("cell").agg(F.sum("n").alias("n")), [], "cell", F.lit(0))
     first = F.broadcast(first.select("cell", F.col("start").alias("base")))
-    inside = celled.join(first, "cell")
-    second = running(
-        inside.groupBy("cell", "base", "sub").agg(F.sum("n").alias("n")), ["cell"], "sub", F.col("base")
+    second = holding_ranks(
+        celled.join(first, "cell").groupBy("cell", "base", "sub").agg(F.sum("n").alias("n")),
+        ["cell"],
+        "sub",
+        F.col("base"),
     )
     second = F.broadcast(second.select("cell", "sub", F.col("start").alias("base")))
-    last = running(celled.join(second, ["cell", "sub"]), ["cell", "sub"], "x", F.col("base"))
+    values = holding_ranks(
+        celled.drop("f").join(second, ["cell", "sub"]), ["cell", "sub"], "x", F.col("base")
+    )
 
-    def value_at(rank):
-        return F.max(F.when((rank >= F.col("start")) & (rank < F.col("end")), F.col("x")))
+    def value_at(rank: Column) -> Column:
+        held = (rank >= F.col("start")) & (rank < F.col("end"))
+        return F.max(F.when(held, F.col("x")))
 
+    pairs = []
+    for i, name in enumerate(probs):
+        pairs += [
+            value_at(F.col("f.ranks")[2 * i]).alias(f"{name}_below"),
+            value_at(F.col("f.ranks")[2 * i + 1]).alias(f"{name}_above"),
+        ]
+    found = values.agg(F.max("f.top").alias("top"), *pairs)
     out = []
-    for name in probs:
-        h = lookup[f"h_{name}"]
-        below, above = value_at(F.floor(h)), value_at(F.ceil(h))
-        out.append((below + (h - F.floor(h)) * (above - below)).alias(name))
-    return last.agg(*out)
+    for name, p in probs.items():
+        rest = F.col("top") * p - F.floor(F.col("top") * p)
+        low, high = F.col(f"{name}_below"), F.col(f"{name}_above")
+        out.append((low + rest * (high - low)).alias(name))
+    return found.select(*out)

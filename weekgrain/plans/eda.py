@@ -13,12 +13,9 @@ from weekgrain.operators.quantiles import exact_quantiles
 
 
 def _beside(frames: list[DataFrame]) -> DataFrame:
-    """One-row results side by side, the later ones as scalar subqueries."""
-    first, *rest = frames
-    columns = [
-        part.select(F.struct("*")).scalar()[name].alias(name) for part in rest for name in part.columns
-    ]
-    return first.select("*", *columns)
+    """One-row results side by side, each column taken from the row that has it."""
+    rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+    return rows.agg(*[F.max(c).alias(c) for c in rows.columns])
 
 
 def raw_profile(raw: DataFrame) -> DataFrame:
@@ -143,10 +140,9 @@ def price_index_summary(indexed: DataFrame) -> DataFrame:
     )
 
 
-def index_by_competitor(wide: DataFrame, means: DataFrame) -> DataFrame:
+def index_by_competitor(indexed: DataFrame) -> DataFrame:
     """Mean index per competitor and channel. The per-competitor means ride along as columns
     of one join and are unpivoted after the aggregation."""
-    joined = price_index(wide, means)
     ours = F.col("list_unit_price")
     aggs, stack = [], []
     for i, (name, _, _) in enumerate(COMPETITORS):
@@ -154,7 +150,7 @@ def index_by_competitor(wide: DataFrame, means: DataFrame) -> DataFrame:
         index = F.when((ours > 0) & (theirs > 0), ours / theirs)
         aggs += [F.avg(index).alias(f"index_{i}"), F.count(index).alias(f"rows_{i}")]
         stack.append(f"'{name}', index_{i}, rows_{i}")
-    return joined.groupBy("channel_name").agg(*aggs).selectExpr(
+    return indexed.groupBy("channel_name").agg(*aggs).selectExpr(
         "channel_name",
         f"stack({len(stack)}, {', '.join(stack)}) AS (competitor_name, avg_price_index, rows)",
     )

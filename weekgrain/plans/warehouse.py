@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from weekgrain.operators import base, dataset, dims, facts
-from weekgrain.plans import kpi
+from weekgrain.plans import eda, kpi
 from weekgrain.sources.readers import read_snapshot
 from weekgrain.sources.sinks import write_snapshot
 
@@ -42,6 +42,10 @@ BUILD: dict[str, Callable[[Callable[[str], DataFrame]], DataFrame]] = {
         t("dim_wholesaler"),
     ),
     "kpi": lambda t: kpi.weekly_kpis(t("wide")),
+    "price_index": lambda t: eda.price_index(
+        t("wide").select(*facts.FACT_KEYS, "channel_name", "list_unit_price"),
+        facts.competitor_means(t("fact_price"), t("dim_product")),
+    ),
 }
 
 STAR = [n for n in BUILD if n.startswith(("dim_", "fact_"))]
