@@ -1,9 +1,12 @@
 """One pass over the raw lines.
 
-Everything downstream needs sums per week and place and product, or minima and distinct
-values of attributes. All of these can be taken from partial results, so the raw lines are
-read once, combined map-side to the weekly grain and written; dimensions and facts are
-built from that much smaller table.
+Everything downstream needs sums per week, place and product, or minima and distinct values
+of attributes. The raw lines are read once, combined map-side and written; dimensions and
+facts are built from that much smaller table.
+
+Attributes are grouping keys here, not minima: a minimum over text would turn the hash
+aggregation into a sort of all raw lines. They hang on the product or the country, so they
+add hardly any rows, and the facts sum over them again.
 """
 
 from __future__ import annotations
@@ -15,49 +18,30 @@ from weekgrain.functions.calendar import week_key
 from weekgrain.functions.labels import channel_of
 from weekgrain.functions.text import normal_id
 
-GRAIN = [
-    "date_week_id",
-    "fiscal_year",
-    "fiscal_week",
-    "country",
-    "region",
-    "state",
-    "city",
-    "product_id",
-    "channel_name",
-]
+PLACE = ["country", "region", "state", "city"]
+PRODUCT = ["product_id", "category", "sub_category"]
+MARKET = ["market", "market2"]
 
 
 def weekly_base(raw: DataFrame) -> DataFrame:
-    """Weekly sums on natural keys; null keys stay, as groups of their own."""
-    keyed = raw.select(
-        week_key(F.col("year"), F.col("weeknum")).alias("date_week_id"),
-        F.col("year").alias("fiscal_year"),
-        F.col("weeknum").alias("fiscal_week"),
-        "country",
-        "region",
-        "state",
-        "city",
-        normal_id(F.col("product_id")).alias("product_id"),
-        channel_of(F.col("segment")).alias("channel_name"),
-        "quantity",
-        "sales",
-        "discount",
-        "profit",
-        "category",
-        "sub_category",
-        "market",
-        "market2",
+    """Weekly sums on natural keys and attributes; null keys stay, as groups of their own."""
+    keyed = raw.withColumns(
+        {
+            "fiscal_year": F.col("year"),
+            "fiscal_week": F.col("weeknum"),
+            "product_id": normal_id(F.col("product_id")),
+            "channel_name": channel_of(F.col("segment")),
+        }
     )
-    return keyed.groupBy(*GRAIN).agg(
-        F.count(F.lit(1)).alias("line_count"),
-        F.sum("quantity").alias("quantity"),
-        F.sum("sales").alias("sales"),
-        F.sum("discount").alias("discount_sum"),
-        F.count("discount").alias("discount_count"),
-        F.sum("profit").alias("profit"),
-        F.min("category").alias("category"),
-        F.min("sub_category").alias("sub_category"),
-        F.min("market").alias("market"),
-        F.min("market2").alias("market2"),
+    return (
+        keyed.groupBy("fiscal_year", "fiscal_week", *PLACE, *MARKET, *PRODUCT, "channel_name")
+        .agg(
+            F.count(F.lit(1)).alias("line_count"),
+            F.sum("quantity").alias("quantity"),
+            F.sum("sales").alias("sales"),
+            F.sum("discount").alias("discount_sum"),
+            F.count("discount").alias("discount_count"),
+            F.sum("profit").alias("profit"),
+        )
+        .withColumn("date_week_id", week_key(F.col("fiscal_year"), F.col("fiscal_week")))
     )

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weekgrain.functions.labels import brand_tier
 from weekgrain.functions.ratios import guarded_ratio
+from weekgrain.operators.dims import filled
 from weekgrain.operators.facts import (
     FACT_KEYS,
     PRICE_MEASURES,
@@ -35,12 +37,12 @@ def join_facts(shipments: DataFrame, prices: DataFrame, trade: DataFrame) -> Dat
     )
 
 
-def enrich_facts(shipments: DataFrame, products: DataFrame, channels: DataFrame) -> DataFrame:
-    """What join_facts gives, straight from shipments. Price and trade rows are functions
-    of a shipment row and its predecessor, so one shuffle for the window replaces three
-    fact-sized shuffles for the joins. Rows of unknown products get nulls, as they have
-    no price or trade row."""
-    known = F.col("brand_tier").isNotNull()
+def enrich_facts(shipments: DataFrame, channels: DataFrame) -> DataFrame:
+    """What join_facts gives, straight from shipments. Price and trade rows are functions of a
+    shipment row and its predecessor, so the window's layout, which shipments already has,
+    replaces three fact-sized shuffles. The brand tier is a function of the product id; rows
+    without a product id have no price or trade row and get nulls."""
+    known = filled("product_id")
     measures = {
         **price_columns(channels),
         **trade_columns(channels),
@@ -48,7 +50,7 @@ def enrich_facts(shipments: DataFrame, products: DataFrame, channels: DataFrame)
     }
     return (
         unit_prices(shipments)
-        .join(products.select("product_id", "brand_tier"), "product_id", "left")
+        .withColumn("brand_tier", brand_tier(F.col("product_id")))
         .withColumns({name: F.when(known, column) for name, column in measures.items()})
         .select(*shipments.columns, *PRICE_MEASURES, *TRADE_MEASURES)
     )

@@ -23,6 +23,8 @@ def countries_loaded(base: DataFrame) -> DataFrame:
     """One row per country, the least market name where the raw lines disagree."""
     rows = (
         base.where(filled("country"))
+        .select("country", "market", "market2")
+        .distinct()
         .groupBy(F.col("country").alias("operating_country"))
         .agg(F.min("market").alias("macro_region"), F.min("market2").alias("macro_region_2"))
     )
@@ -85,6 +87,8 @@ def products_loaded(base: DataFrame) -> DataFrame:
     )
     return (
         base.where(filled("product_id"))
+        .select("product_id", "category", "sub_category")
+        .distinct()
         .groupBy("product_id")
         .agg(
             F.min("category").alias("source_product_family"),

@@ -27,9 +27,11 @@ COMPETITORS = [
 
 
 def shipments(base, countries, regions, channels, wholesalers) -> DataFrame:
-    """Base rows with natural keys swapped for ids. The grain is the same on both sides,
-    so no second aggregation follows; rows without a country or place drop out."""
-    return (
+    """Base rows with natural keys swapped for ids, summed over the attributes. Rows without
+    a country or place drop out. Rows are laid out by series, so that the sums and the
+    look-back of unit_prices over the same rows share one shuffle; a series holds at most one
+    row per week and attribute, so no partition grows hot."""
+    keyed = (
         base.join(
             countries.select("country_id", F.col("operating_country").alias("country")), "country"
         )
@@ -46,14 +48,16 @@ def shipments(base, countries, regions, channels, wholesalers) -> DataFrame:
             ),
             ["country_id", "channel_id"],
         )
-        .select(
-            *FACT_KEYS,
-            F.col("quantity").cast("decimal(18,2)").alias("shipment_volume"),
-            F.col("sales").cast("decimal(18,2)").alias("sell_in_revenue"),
-            F.try_divide("discount_sum", F.col("discount_count").cast("decimal(19,0)"))
-            .cast("decimal(10,4)")
-            .alias("trade_incentive_pct"),
-            F.col("profit").cast("decimal(18,2)").alias("contribution_margin_proxy"),
+    )
+    discount = F.try_divide(F.sum("discount_sum"), F.sum("discount_count").cast("decimal(19,0)"))
+    return (
+        keyed.repartition(*SERIES_KEYS)
+        .groupBy(*FACT_KEYS)
+        .agg(
+            F.sum("quantity").cast("decimal(18,2)").alias("shipment_volume"),
+            F.sum("sales").cast("decimal(18,2)").alias("sell_in_revenue"),
+            discount.cast("decimal(10,4)").alias("trade_incentive_pct"),
+            F.sum("profit").cast("decimal(18,2)").alias("contribution_margin_proxy"),
         )
     )
 
@@ -98,6 +102,12 @@ def trade_columns(channels: DataFrame) -> dict[str, Column]:
     }
 
 
+SHIPMENT_MEASURES = [
+    "shipment_volume",
+    "sell_in_revenue",
+    "trade_incentive_pct",
+    "contribution_margin_proxy",
+]
 PRICE_MEASURES = ["list_price", "net_invoice_price", "price_change_flag", "price_strategy"]
 TRADE_MEASURES = ["incentive_type", "incentive_pct", "incentive_amount", "compliance_flag"]
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from weekgrain.operators import base, dataset, dims, facts
 from weekgrain.plans import eda, kpi
@@ -25,16 +26,22 @@ BUILD: dict[str, Callable[[Callable[[str], DataFrame]], DataFrame]] = {
     "dim_wholesaler": lambda t: dims.wholesalers(
         t("weekly_base"), t("dim_country"), t("dim_channel")
     ),
-    "fact_shipments": lambda t: facts.shipments(
-        t("weekly_base"), t("dim_country"), t("dim_region"), t("dim_channel"), t("dim_wholesaler")
-    ),
-    "fact_price": lambda t: facts.prices(t("fact_shipments"), t("dim_product"), t("dim_channel")),
-    "fact_trade": lambda t: facts.trade_incentives(
-        t("fact_shipments"), t("dim_product"), t("dim_channel")
+    "fact_weekly": lambda t: dataset.enrich_facts(
+        facts.shipments(
+            t("weekly_base"),
+            t("dim_country"),
+            t("dim_region"),
+            t("dim_channel"),
+            t("dim_wholesaler"),
+        ),
+        t("dim_channel"),
     ),
+    "fact_shipments": lambda t: t("fact_weekly").select(*facts.FACT_KEYS, *facts.SHIPMENT_MEASURES),
+    "fact_price": lambda t: _known(t).select(*facts.FACT_KEYS, *facts.PRICE_MEASURES),
+    "fact_trade": lambda t: _known(t).select(*facts.FACT_KEYS, *facts.TRADE_MEASURES),
     "fact_competitor": lambda t: facts.competitor_prices(t("fact_price"), t("dim_product")),
     "wide": lambda t: dataset.wide_table(
-        dataset.enrich_facts(t("fact_shipments"), t("dim_product"), t("dim_channel")),
+        t("fact_weekly"),
         t("dim_product"),
         t("dim_country"),
         t("dim_channel"),
@@ -48,10 +55,15 @@ BUILD: dict[str, Callable[[Callable[[str], DataFrame]], DataFrame]] = {
     ),
 }
 
-STAR = [n for n in BUILD if n.startswith(("dim_", "fact_"))]
+# Not written: three facts share one grain and are stored side by side in fact_weekly, so each
+# is a column projection of it; competitor prices are three times as long as the price fact
+# and follow from it row by row.
+DERIVED = {"fact_shipments", "fact_price", "fact_trade", "fact_competitor"}
+
 
-# Row-level results three times as long as their input or cheap to redo: not written.
-DERIVED = {"fact_trade", "fact_competitor"}
+def _known(t) -> DataFrame:
+    """Rows with a product: only these have a price and a trade row."""
+    return t("fact_weekly").where(F.col("price_strategy").isNotNull())
 
 
 class Warehouse:
