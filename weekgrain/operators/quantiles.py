@@ -1,4 +1,4 @@
-"""Exact interpolated quantiles without gathering the values in one task."""
+"""Exact interpolated quantiles without gathering the rows in one task."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 CELLS = 65_536
-SMALL = 500_000
+SMALL = 1_000_000
 
 
 def exact_quantiles(
@@ -14,38 +14,33 @@ def exact_quantiles(
 ) -> DataFrame:
     """One row with the named quantiles, linear between the two neighbours.
 
-    The built-in percentile keeps a count per distinct value in one buffer. It is used only
-    after a sketch has shown that there are at most about `small` of them; beyond that the
+    Equal values are counted first, combined map-side. If a sketch shows at most about `small`
+    different values, their running counts are taken in one sorted window. Beyond that the
     ranks are searched cell by cell, with the same result.
     """
+    counts = value_counts(df, column)
     distinct = df.select(F.approx_count_distinct(column)).first()[0]
     if distinct <= small:
-        wanted = F.percentile(F.col(column).cast("double"), F.array(*map(F.lit, probs.values())))
-        return df.agg(wanted.alias("q")).select(
-            *[F.col("q")[i].alias(name) for i, name in enumerate(probs)]
-        )
-    return quantiles_by_cells(df, column, probs, cells)
+        facts = rank_facts(counts, probs)
+        return interpolate(holding_ranks(counts, facts, [], "x", F.lit(0)), probs)
+    return quantiles_by_cells(counts, probs, cells)
 
 
-def quantiles_by_cells(
-    df: DataFrame, column: str, probs: dict[str, float], cells: int = CELLS
-) -> DataFrame:
-    """Quantiles by narrowing the value range.
-
-    Equal values are counted first. The range is cut into cells; running counts over the
-    cells show which ones hold the wanted ranks, and only these are cut again, then sorted.
-    A window therefore sees at most `cells` rows per cell, or the distinct values of one of
-    cells^2 slices of the range, whatever the number of rows.
-    """
-    counts = (
+def value_counts(df: DataFrame, column: str) -> DataFrame:
+    return (
         df.select(F.col(column).cast("double").alias("x"))
         .where(F.col("x").isNotNull())
         .groupBy("x")
         .agg(F.count(F.lit(1)).alias("n"))
     )
+
+
+def rank_facts(counts: DataFrame, probs: dict[str, float]) -> DataFrame:
+    """Bounds, last rank, and the wanted zero-based ranks: for each probability the value
+    at or below and the one at or above."""
     top = (F.sum("n") - 1).cast("double")
     ranks = [f(top * p).cast("bigint") for p in probs.values() for f in (F.floor, F.ceil)]
-    facts = counts.agg(
+    return counts.agg(
         F.struct(
             F.min("x").alias("lo"),
             F.max("x").alias("hi"),
@@ -53,42 +48,22 @@ def quantiles_by_cells(
             F.array(*ranks).alias("ranks"),
         ).alias("f")
     )
-    place = F.try_divide((F.col("x") - F.col("f.lo")) * cells, F.col("f.hi") - F.col("f.lo"))
-    last_cell = F.lit(cells - 1)
-    celled = (
-        counts.withColumn("f", facts.scalar())
-        .withColumn("place", F.coalesce(place, F.lit(0.0)))
-        .withColumn("cell", F.least(F.floor("place"), last_cell))
-        .withColumn(
-            "sub", F.least(F.floor((F.col("place") - F.col("cell")) * cells), last_cell)
-        )
-        .drop("place")
-    )
 
-    def holding_ranks(rows: DataFrame, group: list[str], order: str, offset: Column) -> DataFrame:
-        """Rows whose share of the sorted sequence, [start, end), holds a wanted rank."""
-        window = Window.partitionBy(*group).orderBy(order)
-        return (
-            rows.withColumn("end", F.sum("n").over(window) + offset)
-            .withColumn("start", F.col("end") - F.col("n"))
-            .withColumn("f", facts.scalar())
-            .where(F.exists("f.ranks", lambda r: (r >= F.col("start")) & (r < F.col("end"))))
-        )
 
-    # At most two cells per probability pass, so the broadcasts are bounded.
-    first = holding_ranks(celled.groupBy("cell").agg(F.sum("n").alias("n")), [], "cell", F.lit(0))
-    first = F.broadcast(first.select("cell", F.col("start").alias("base")))
-    second = holding_ranks(
-        celled.join(first, "cell").groupBy("cell", "base", "sub").agg(F.sum("n").alias("n")),
-        ["cell"],
-        "sub",
-        F.col("base"),
-    )
-    second = F.broadcast(second.select("cell", "sub", F.col("start").alias("base")))
-    values = holding_ranks(
-        celled.drop("f").join(second, ["cell", "sub"]), ["cell", "sub"], "x", F.col("base")
+def holding_ranks(
+    rows: DataFrame, facts: DataFrame, group: list[str], order: str, offset: Column
+) -> DataFrame:
+    """Rows whose share of the sorted sequence, [start, end), holds a wanted rank."""
+    window = Window.partitionBy(*group).orderBy(order)
+    return (
+        rows.withColumn("end", F.sum("n").over(window) + offset)
+        .withColumn("start", F.col("end") - F.col("n"))
+        .withColumn("f", facts.scalar())
+        .where(F.exists("f.ranks", lambda r: (r >= F.col("start")) & (r < F.col("end"))))
     )
 
+
+def interpolate(values: DataFrame, probs: dict[str, float]) -> DataFrame:
     def value_at(rank: Column) -> Column:
         held = (rank >= F.col("start")) & (rank < F.col("end"))
         return F.max(F.when(held, F.col("x")))
@@ -106,3 +81,32 @@ def quantiles_by_cells(
         low, high = F.col(f"{name}_below"), F.col(f"{name}_above")
         out.append((low + rest * (high - low)).alias(name))
     return found.select(*out)
+
+
+def quantiles_by_cells(counts: DataFrame, probs: dict[str, float], cells: int = CELLS) -> DataFrame:
+    """Quantiles by narrowing the value range.
+
+    The range is cut into cells; running counts over the cells show which ones hold the
+    wanted ranks, and only these are cut again, then sorted. A window therefore sees at most
+    `cells` rows per cell, or the distinct values of one of cells^2 slices of the range,
+    whatever the number of rows.
+    """
+    facts = rank_facts(counts, probs)
+    place = F.try_divide((F.col("x") - F.col("f.lo")) * cells, F.col("f.hi") - F.col("f.lo"))
+    last = F.lit(cells - 1)
+    celled = (
+        counts.withColumn("f", facts.scalar())
+        .withColumn("place", F.coalesce(place, F.lit(0.0)))
+        .withColumn("cell", F.least(F.floor("place"), last))
+        .withColumn("sub", F.least(F.floor((F.col("place") - F.col("cell")) * cells), last))
+        .select("x", "n", "cell", "sub")
+    )
+    # At most two cells per probability pass, so the broadcasts are bounded.
+    sizes = celled.groupBy("cell").agg(F.sum("n").alias("n"))
+    first = holding_ranks(sizes, facts, [], "cell", F.lit(0))
+    first = F.broadcast(first.select("cell", F.col("start").alias("base")))
+    sizes = celled.join(first, "cell").groupBy("cell", "base", "sub").agg(F.sum("n").alias("n"))
+    second = holding_ranks(sizes, facts, ["cell"], "sub", F.col("base"))
+    second = F.broadcast(second.select("cell", "sub", F.col("start").alias("base")))
+    inside = celled.join(second, ["cell", "sub"])
+    return interpolate(holding_ranks(inside, facts, ["cell", "sub"], "x", F.col("base")), probs)

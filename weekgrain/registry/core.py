@@ -8,6 +8,7 @@ half-way values, which sums of doubles meet from either side, then fall to the s
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,7 +28,7 @@ def warehouse(spark: SparkSession, sf_dir: str) -> Warehouse:
     """One set of staged tables per application and input folder."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _open:
-        folder = sf_dir.strip("/").replace("/", "_")
+        folder = re.sub(r"[^A-Za-z0-9.]+", "_", sf_dir).strip("_")
         _open[key] = Warehouse(spark, order_lines(spark, sf_dir), f"{shared_root(spark)}/{folder}")
     return _open[key]
 
