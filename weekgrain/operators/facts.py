@@ -159,14 +159,17 @@ def competitor_structs() -> Column:
     )
 
 
-def priced(prices: DataFrame, products: DataFrame) -> DataFrame:
-    """Price rows that get competitors: a known product and a positive list price."""
-    return prices.where(F.col("list_price") > 0).join(
-        products.select("product_id"), "product_id", "left_semi"
-    )
+def priced(prices: DataFrame, products: DataFrame | None = None) -> DataFrame:
+    """Price rows that get competitors: a known product and a positive list price. Without
+    `products` the rows are taken to have known products, as the staged price fact has: that
+    saves a shuffle on the product, where one product may hold much of the fact."""
+    positive = prices.where(F.col("list_price") > 0)
+    if products is None:
+        return positive
+    return positive.join(products.select("product_id"), "product_id", "left_semi")
 
 
-def competitor_prices(prices: DataFrame, products: DataFrame) -> DataFrame:
+def competitor_prices(prices: DataFrame, products: DataFrame | None = None) -> DataFrame:
     """Every price row once per competitor. The fixed list of competitors is unfolded
     from a literal array inside the row, without a join."""
     return (
@@ -189,7 +192,7 @@ def competitor_prices(prices: DataFrame, products: DataFrame) -> DataFrame:
 MARKET_KEYS = ["date_week_id", "country_id", "region_id", "channel_id"]
 
 
-def competitor_means(prices: DataFrame, products: DataFrame) -> DataFrame:
+def competitor_means(prices: DataFrame, products: DataFrame | None = None) -> DataFrame:
     """Mean competitor price per week, country, region and channel: overall and per
     competitor. Taken straight from the price rows, so the threefold competitor fact is
     never laid out; sums are combined map-side before the one shuffle."""

@@ -39,7 +39,7 @@ BUILD: dict[str, Callable[[Callable[[str], DataFrame]], DataFrame]] = {
     "fact_shipments": lambda t: t("fact_weekly").select(*facts.FACT_KEYS, *facts.SHIPMENT_MEASURES),
     "fact_price": lambda t: _known(t).select(*facts.FACT_KEYS, *facts.PRICE_MEASURES),
     "fact_trade": lambda t: _known(t).select(*facts.FACT_KEYS, *facts.TRADE_MEASURES),
-    "fact_competitor": lambda t: facts.competitor_prices(t("fact_price"), t("dim_product")),
+    "fact_competitor": lambda t: facts.competitor_prices(t("fact_price")),
     "wide": lambda t: dataset.wide_table(
         t("fact_weekly"),
         t("dim_product"),
@@ -52,7 +52,7 @@ BUILD: dict[str, Callable[[Callable[[str], DataFrame]], DataFrame]] = {
     "kpi": lambda t: kpi.weekly_kpis(t("wide")).sortWithinPartitions(*kpi.ORDER),
     "price_index": lambda t: eda.price_index(
         t("wide").select(*facts.FACT_KEYS, "channel_name", "list_unit_price"),
-        facts.competitor_means(t("fact_price"), t("dim_product")),
+        facts.competitor_means(t("fact_price")),
     ),
 }
 

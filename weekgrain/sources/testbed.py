@@ -41,13 +41,14 @@ def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
             "c_custkey",
             "n_name",
             "r_name",
+            F.concat("n_name", F.lit("-"), (F.col("c_custkey") % 2).cast("string")).alias("city"),
             choose(F.col("c_mktsegment"), SEGMENT_OF_MARKET, F.col("c_mktsegment")).alias("segment"),
         )
     )
     orders = (
         read("orders")
         .join(buyers, F.col("o_custkey") == F.col("c_custkey"))
-        .select("o_orderkey", "o_orderpriority", "c_custkey", "n_name", "r_name", "segment")
+        .select("o_orderkey", "o_orderpriority", "city", "n_name", "r_name", "segment")
     )
     # Lines travel through the shuffle as they are stored; what follows from them is worked
     # out behind it, in narrower rows and more tasks.
@@ -74,7 +75,7 @@ def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     day = F.col("l_shipdate").cast("date")
     return joined.withColumns({"price": price, "discount": discount}).select(
         "category",
-        F.concat(F.col("n_name"), F.lit("-"), (F.col("c_custkey") % 2).cast("string")).alias("city"),
+        "city",
         F.col("n_name").alias("country"),
         "discount",
         F.col("r_name").alias("market"),
