@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -129,12 +131,19 @@ def trade_incentives(shipments: DataFrame, products: DataFrame, channels: DataFr
     )
 
 
-def competitor_price(list_price: Column, level: Column, competitor: Column) -> Column:
-    """List price x price level x noise of 0.97..1.03 from a hash, to 4 decimals. All
-    factors are exact decimals. Reads product_id, country_id and date_week_id."""
+def noise(competitor: Column, level: str = "1") -> Column:
+    """One of seven factors, 0.97 to 1.03 times the price level, chosen by a hash. The products
+    are worked out here, so a row looks its factor up. Reads product_id, country_id and
+    date_week_id."""
     text = F.concat_ws("|", "product_id", "country_id", "date_week_id", competitor)
-    noise = (hash_bucket(text, 7) + 97).cast("decimal(5,0)") * F.lit("0.01").cast("decimal(3,2)")
-    return F.round(list_price * level * noise, 4).cast("decimal(18,4)")
+    factors = [Decimal(level) * (97 + step) / 100 for step in range(7)]
+    table = F.array(*[F.lit(str(f)).cast("decimal(6,4)") for f in factors])
+    return F.element_at(table, (hash_bucket(text, 7) + 1).cast("int"))
+
+
+def competitor_price(list_price: Column, factor: Column) -> Column:
+    """To 4 decimals, half up; all factors are exact decimals."""
+    return F.round(list_price * factor, 4).cast("decimal(18,4)")
 
 
 def competitor_literals(spark) -> DataFrame:
@@ -183,7 +192,7 @@ def competitor_prices(prices: DataFrame, products: DataFrame | None = None) -> D
             "competitor_name",
             "competitor_product_family",
             competitor_price(
-                F.col("list_price"), F.col("base_multiplier"), F.col("competitor_name")
+                F.col("list_price"), F.col("base_multiplier") * noise(F.col("competitor_name"))
             ).alias("competitor_price"),
         )
     )
@@ -197,9 +206,7 @@ def competitor_means(prices: DataFrame, products: DataFrame | None = None) -> Da
     competitor. Taken straight from the price rows, so the threefold competitor fact is
     never laid out; sums are combined map-side before the one shuffle."""
     per = {
-        f"price_{i}": competitor_price(
-            F.col("list_price"), F.lit(level).cast("decimal(4,2)"), F.lit(name)
-        )
+        f"price_{i}": competitor_price(F.col("list_price"), noise(F.lit(name), level))
         for i, (name, _, level) in enumerate(COMPETITORS)
     }
     wide = priced(prices, products).select(*MARKET_KEYS, *[c.alias(n) for n, c in per.items()])
