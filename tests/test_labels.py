@@ -39,7 +39,7 @@ def test_product_line(spark, category, line):
     assert tuple(got) == line
 
 
-@pytest.mark.parametrize("words", ["122|2", "FUR-CH-10000454", "Ünïcode"])
+@pytest.mark.parametrize("words", ["122|2", "AB-12-345678", "Ünïcode"])
 def test_crc32_is_the_standard_one(spark, words):
     want = zlib.crc32(words.encode())
     assert column(spark, hashing.crc32_text(F.col("t")), t=words) == want
