@@ -146,7 +146,7 @@ ORDER BY avg_price_realization, {SEGMENT}, wholesaler_tier LIMIT """
 
 
 @query("topk_01_lowest_20", f"{SEG} wholesaler_tier:s weeks:i shipments_units:d avg_price_realization:r6"
-       " avg_list_price:r6 avg_net_price:r6 avg_leakage_per_unit:r6", LOW + "20")
+       " avg_list_price:r4 avg_net_price:r4 avg_leakage_per_unit:r4", LOW + "20")
 def lowest_20(w):
     return decision.lowest(decision.realization_leakage(w("kpi")), 20)
 
