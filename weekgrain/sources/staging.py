@@ -2,22 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import SparkSession
 
-_local_roots: dict[str, str] = {}
-
 
 def shared_root(spark: SparkSession) -> str:
     """spark.checkpoint.dir plus the application id. Written tables outlive a lost
-    executor. Only a local session without the setting gets a temporary folder."""
-    app = spark.sparkContext.applicationId
+    executor. A session without the setting is refused."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        if app not in _local_roots:
-            _local_roots[app] = tempfile.mkdtemp(prefix="weekgrain-")
-        root = _local_roots[app]
-    return f"{root.rstrip('/')}/weekgrain/{app}"
+        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+    return f"{root.rstrip('/')}/weekgrain/{spark.sparkContext.applicationId}"
