@@ -17,6 +17,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 NAMES = {
     "op1_chat_format": "chat_format.op1",
     "op2_secret_scan": "secret_scan.op2",
+    "op4_url_filter": "url_filter.op4",
+    "op6_token_count": "token_count.op6",
     "op8_decontaminate": "decontaminate.op8",
     "op9_toxicity": "toxicity.op9",
 }
