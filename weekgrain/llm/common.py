@@ -5,7 +5,8 @@ from __future__ import annotations
 import re
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from weekgrain.sources.staging import shared_root
 
@@ -27,3 +28,11 @@ def saved(df: DataFrame, label: str) -> DataFrame:
     path = f"{shared_root(spark)}/llm/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def salted_join(left: DataFrame, right: DataFrame, keys: list[str], by: Column, salts: int = 16) -> DataFrame:
+    """left join of many rows on few: each key's rows are spread over `salts` keys by the hash
+    of `by`, and right, which has a row per key at most, is repeated for each of them."""
+    spread = left.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(salts)))
+    every = F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))
+    return spread.join(right.withColumn("_salt", F.explode(every)), [*keys, "_salt"], "left").drop("_salt")

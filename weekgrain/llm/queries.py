@@ -18,7 +18,9 @@ NAMES = {
     "op1_chat_format": "chat_format.op1",
     "op2_secret_scan": "secret_scan.op2",
     "op4_url_filter": "url_filter.op4",
+    "op5_packing": "packing.op5",
     "op6_token_count": "token_count.op6",
+    "op7_vector_index": "vector_index.op7",
     "op8_decontaminate": "decontaminate.op8",
     "op9_toxicity": "toxicity.op9",
 }
