@@ -21,6 +21,7 @@ NAMES = {
     "op5_packing": "packing.op5",
     "op6_token_count": "token_count.op6",
     "op7_vector_index": "vector_index.op7",
+    "op10_set_sketch": "set_sketch.op10",
     "op8_decontaminate": "decontaminate.op8",
     "op9_toxicity": "toxicity.op9",
 }
