@@ -100,7 +100,9 @@ def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     test = items.withColumn("hashes", _hashes(F.col("words")))
     sides = []
     for n, m in zip(lengths, marks, strict=True):
-        own = with_fingerprints(test.where(F.col("length") == n), n, "mark")
+        # Written before it is unfolded: the planner would else merge the projections and make
+        # all hashes anew for every element.
+        own = saved(with_fingerprints(test.where(F.col("length") == n), n, "mark").select("mark"), f"item_{m}")
         own = saved(own.select(F.explode("mark").alias("mark")).distinct(), m)
         sides.append(read.select("doc_id", "text_key", F.explode(m).alias("mark")).join(own, "mark", "left_semi"))
     suspects = reduce(DataFrame.union, sides).select("doc_id", "text_key").distinct()
