@@ -36,3 +36,11 @@ def salted_join(left: DataFrame, right: DataFrame, keys: list[str], by: Column,
     spread = left.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(salts)))
     every = F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))
     return spread.join(right.withColumn("_salt", F.explode(every)), [*keys, "_salt"], "left").drop("_salt")
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """name, or name with underscores before it, whichever df does not have yet."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name

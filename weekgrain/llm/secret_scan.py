@@ -125,11 +125,11 @@ def _row(text: str | None, scan: Scan) -> tuple:
 FOUND = {f"n_{k}": "long" for k in KINDS} | {"base_sha256": "string", "spans": "string", "redacted": "string"}
 
 
-def scan_texts(docs: DataFrame, scan: Scan = Scan()) -> DataFrame:
-    """docs with one more column, found: the counts and spans by kind and the redacted text.
+def scan_texts(docs: DataFrame, scan: Scan = Scan(), name: str = "found") -> DataFrame:
+    """docs with one more column, by name: the counts and spans by kind and the redacted text.
 
     A null text is empty and has no spans; repeated rows give repeated results; an empty table
-    gives none; a column named found is replaced. Every text is scanned whole, row by row, so
+    gives none; a column of that name is replaced. Every text is scanned whole, row by row, so
     there is no shuffle.
     """
 
@@ -137,7 +137,7 @@ def scan_texts(docs: DataFrame, scan: Scan = Scan()) -> DataFrame:
     def run(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([_row(t, scan) for t in texts], columns=list(FOUND))
 
-    return docs.withColumn("found", run("text"))
+    return docs.withColumn(name, run("text"))
 
 
 def clean(docs: DataFrame, scan: Scan = Scan()) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from weekgrain.llm.blocks import blocked, units
-from weekgrain.llm.common import salted_join, saved, table
+from weekgrain.llm.common import free_name, salted_join, saved, table
 from weekgrain.llm.graph import components
 
 BATCH = 1 << 18
@@ -290,7 +290,7 @@ def deduplicated(docs: DataFrame, how: Sketch = Sketch(words=5)) -> DataFrame:
     left = groups(docs, how).where(kept()).select("doc_id").distinct()
     left = saved(left, "kept")
     one = F.row_number().over(W.partitionBy("doc_id").orderBy("doc_id"))
-    place = "_place_of_row"
+    place = free_name(docs, "place")
     named = docs.join(left, "doc_id", "left_semi").withColumn(place, one).where(F.col(place) == 1).drop(place)
     return named.unionByName(docs.where("doc_id is null"))
 

@@ -296,12 +296,12 @@ def train(docs: DataFrame, labels: DataFrame, how: Training = Training()) -> Mod
     return replace(model, a=a, b=b)
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with one more column, toxicity: score (0 to 1), n_segments that are significant and
+def score(docs: DataFrame, model: Model, name: str = "toxicity") -> DataFrame:
+    """docs with one more column, by name: score (0 to 1), n_segments that are significant and
     the word positions (first, last) of the strongest of them.
 
     Every text is read whole, one row at a time, without a shuffle. Null and empty texts have
-    no segment and the lowest score; a column named toxicity is replaced.
+    no segment and the lowest score; a column of that name is replaced.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)  # at most how.features words
 
@@ -318,7 +318,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 rows.append((probability(x, model), len(strong), sorted([int(f), int(t)] for _, f, t in strong)))
             yield pd.DataFrame(rows, columns=["score", "n_segments", "passages"])
 
-    return docs.withColumn("toxicity", run("text"))
+    return docs.withColumn(name, run("text"))
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
