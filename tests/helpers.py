@@ -3,8 +3,7 @@
 import re
 from decimal import Decimal
 
-from weekgrain.operators import dims, facts
-from weekgrain.operators.base import weekly_base
+from weekgrain.operators import base, dims, facts
 from weekgrain.sources.schemas import RAW_COLUMNS, ddl
 
 DEFAULT = {
@@ -44,16 +43,15 @@ def raw(spark, *rows):
 
 def star(lines):
     """All tables of the star schema over raw lines, unstaged."""
-    base = weekly_base(lines)
-    t = {"raw": lines, "weekly_base": base}
-    t["dim_channel"] = dims.channels(base)
-    t["dim_country"] = dims.countries(base)
-    t["dim_region"] = dims.regions(base, t["dim_country"])
-    t["dim_date_week"] = dims.weeks(base)
-    t["dim_product"] = dims.products(base)
-    t["dim_wholesaler"] = dims.wholesalers(base, t["dim_country"], t["dim_channel"])
+    t = {"raw": lines, "raw_places": base.places(lines), "raw_products": base.products(lines)}
+    t["dim_channel"] = dims.channels(t["raw_places"])
+    t["dim_country"] = dims.countries(t["raw_places"])
+    t["dim_region"] = dims.regions(t["raw_places"], t["dim_country"])
+    t["dim_date_week"] = dims.weeks(base.weeks(lines))
+    t["dim_product"] = dims.products(t["raw_products"])
+    t["dim_wholesaler"] = dims.wholesalers(t["raw_places"], t["dim_country"], t["dim_channel"])
     t["fact_shipments"] = facts.shipments(
-        base, t["dim_country"], t["dim_region"], t["dim_channel"], t["dim_wholesaler"]
+        base.lines(lines), t["dim_country"], t["dim_region"], t["dim_channel"], t["dim_wholesaler"]
     )
     t["fact_price"] = facts.prices(t["fact_shipments"], t["dim_product"], t["dim_channel"])
     t["fact_trade"] = facts.trade_incentives(t["fact_shipments"], t["dim_product"], t["dim_channel"])

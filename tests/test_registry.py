@@ -5,9 +5,12 @@ import pytest
 from conftest import SF_DIR
 
 import __spark_entry__ as entry
+from weekgrain.plans import decision, eda
+from weekgrain.registry import core, joins
+from weekgrain.registry.core import ORACLES
 
 TABLES = "region nation customer supplier part orders lineitem".split()
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+QUERIES = {name: query for name, query in entry.queries().items() if name in core.QUERIES}
 
 
 @pytest.fixture(scope="module")
@@ -34,6 +37,30 @@ def test_query(spark, duck, name):
 
 def test_every_oracle_has_a_query():
     assert set(ORACLES) <= set(QUERIES)
+    assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+@pytest.mark.parametrize(
+    "name, module, report",
+    [
+        ("sort_01_ascending", decision, "weekly_trend"),
+        ("sort_02_descending_aggregate", eda, "rows_by_type"),
+        ("sort_03_multi_key", joins.kpi, "sorted_kpis"),
+        ("sort_04_nullable_measure", decision, "price_volume_correlation"),
+        ("agg_19_trade_by_type", eda, "trade_by_type"),
+        ("agg_26_trade_effectiveness", decision, "trade_effectiveness"),
+    ],
+)
+def test_a_missing_sort_is_noticed(spark, duck, monkeypatch, name, module, report):
+    real = getattr(module, report)
+
+    def unsorted(*args):
+        df = real(*args)
+        return df.sort(*[df[c].desc() for c in df.columns])
+
+    monkeypatch.setattr(module, report, unsorted)
+    with pytest.raises(AssertionError):
+        test_query(spark, duck, name)
 
 
 def test_entry(spark):

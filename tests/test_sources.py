@@ -54,6 +54,29 @@ def test_csv_quoted_text(spark, tmp_path):
     assert text_lines(path) == ['"id","name","y"', '1,"a,""b""",NA', '2,"c","d"']
 
 
+AWKWARD = [
+    'Mat 46" x 60", clear', "back\\slash\\", '\\"', "  outer blanks  ", "", "line\nbreak", "line\r\nbreak", '"', ",", '"quoted"',
+    None, "plain", "tab\there",
+]
+
+
+@pytest.mark.parametrize("quote_text", [False, True])
+def test_both_writers_round_trip(spark, tmp_path, quote_text):
+    rows = [(i, text, None if i % 2 else 1.5, "x") for i, text in enumerate(AWKWARD)]
+    df = spark.createDataFrame(rows, "id int, name string, x double, last string").repartition(3)
+    path = str(tmp_path / "out")
+    sinks.write_csv(df, path, quote_text=quote_text)
+    back = readers.read_csv(spark, path, df.schema)
+    assert sorted(map(tuple, back.collect()), key=repr) == sorted(rows, key=repr)
+
+
+def test_an_empty_table_round_trips(spark, tmp_path):
+    df = spark.createDataFrame([], "id int, name string")
+    for quote_text in (False, True):
+        sinks.write_csv(df, str(tmp_path / str(quote_text)), quote_text=quote_text)
+        assert readers.read_csv(spark, str(tmp_path / str(quote_text)), df.schema).count() == 0
+
+
 def test_preferred_source(spark, tmp_path):
     df = spark.createDataFrame([(1,)], "id int")
     parquet, csv = str(tmp_path / "p"), str(tmp_path / "c")

@@ -6,8 +6,7 @@ import pytest
 from helpers import plan, raw, rows, star
 from pyspark.sql import functions as F
 
-from weekgrain.operators import dataset, dims, facts
-from weekgrain.operators.base import weekly_base
+from weekgrain.operators import base, dataset, dims, facts
 from weekgrain.operators.keys import dense_ids
 
 
@@ -23,7 +22,7 @@ def test_inconsistent_attributes_take_the_least_and_do_not_split_facts(spark):
         {"category": "Technology", "sub_category": "B", "market": "EU"},
         {"category": "Furniture", "sub_category": "C", "market": "APAC"},
     ))
-    got = dims.products_loaded(t["weekly_base"])
+    got = dims.products_loaded(t["raw_products"])
     assert rows(got, "source_product_family", "source_product_category") == [("Furniture", "B")]
     assert rows(t["dim_country"], "macro_region") == [("APAC",)]
     assert rows(t["fact_shipments"], "shipment_volume", "sell_in_revenue") == [
@@ -39,7 +38,7 @@ def test_two_segments_of_one_channel_make_one_wholesaler(spark):
 
 def test_rows_without_country_or_place_leave_the_facts_only(spark):
     t = star(raw(spark, {}, {"country": None}, {"country": ""}, {"city": None, "weeknum": 2}))
-    assert t["weekly_base"].agg(F.sum("line_count")).first()[0] == 4
+    assert base.lines(t["raw"]).count() == 4
     assert t["dim_country"].count() == 1
     assert rows(t["dim_region"].select(F.coalesce("city", F.lit("-")).alias("c")), "c") == [("-",), ("Paris",)]
     assert t["fact_shipments"].count() == 1
@@ -151,21 +150,28 @@ def test_dense_ids_equal_a_global_row_number(spark):
     assert sorted(r.id for r in got) == list(range(1, len(want) + 1))
 
 
-def test_base_is_hash_aggregated_and_facts_take_one_shuffle(tables):
-    ops = plan(weekly_base(tables("raw")))
-    assert "SortAggregate" not in ops and "HashAggregate" in ops
-    weekly = dataset.enrich_facts(
-        facts.shipments(
-            tables("weekly_base"), tables("dim_country"), tables("dim_region"),
-            tables("dim_channel"), tables("dim_wholesaler"),
-        ),
-        tables("dim_channel"),
-    )
-    ops = plan(weekly)
-    assert ops.count("Exchange hashpartitioning") == 1 and "Window" in ops
+def test_lines_are_summed_before_their_only_shuffle(spark, tables):
+    lines = raw(spark, {}, {"weeknum": 2})  # a plain table: the test tables' view has joins of its own
+    dims_ = [tables(n) for n in ("dim_country", "dim_region", "dim_channel", "dim_wholesaler")]
+    ops = plan(dataset.enrich_facts(facts.shipments(base.lines(lines), *dims_), tables("dim_channel")))
+    # Outermost first: facts laid out by series, sums, the lines' shuffle, partial sums.
+    kept = [o for o in ops if o in ("Window", "HashAggregate", "SortAggregate", "Exchange hashpartitioning")]
+    assert kept == ["Window", "Exchange hashpartitioning", "HashAggregate", "Exchange hashpartitioning", "HashAggregate"]
     assert not [o for o in ops if "Python" in o or "NestedLoop" in o or "Cartesian" in o]
 
 
+def test_attributes_are_hash_aggregated(spark):
+    lines = raw(spark, {})
+    for made in (base.places(lines), base.products(lines), base.weeks(lines)):
+        ops = plan(made)
+        assert ops.count("HashAggregate") == 2 and "SortAggregate" not in ops
+
+
+def test_a_country_of_blanks_is_a_country(spark):
+    t = star(raw(spark, {"country": " "}, {"country": ""}, {}))
+    assert rows(t["dim_country"], "operating_country") == [(" ",), ("France",)]
+
+
 def test_wide_needs_no_shuffle_when_dimensions_are_small(tables):
     from weekgrain.plans.warehouse import BUILD
 

@@ -5,8 +5,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from weekgrain.operators.histogram import histogram
-from weekgrain.operators.quantiles import exact_quantiles, quantiles_by_cells, value_counts
-from weekgrain.plans import eda
+from weekgrain.operators import quantiles
+from weekgrain.operators.quantiles import exact_quantiles
+from weekgrain.plans import decision, eda
 
 PROBS = {"p10": 0.1, "median": 0.5, "p90": 0.9, "top": 1.0, "low": 0.0}
 rng = np.random.default_rng(3)
@@ -22,25 +23,51 @@ SAMPLES = {
 
 
 @pytest.mark.parametrize("name", SAMPLES)
-@pytest.mark.parametrize("cells", [8, 65_536])
-def test_quantiles_by_cells(spark, name, cells):
+@pytest.mark.parametrize("accuracy, grid", [(10_000, 1_000), (100, 10)])
+def test_quantiles(spark, name, accuracy, grid):
     values = SAMPLES[name]
     df = spark.createDataFrame([(float(v),) for v in values] + [(None,)], "x double")
-    got = quantiles_by_cells(value_counts(df, "x"), PROBS, cells).first().asDict()
+    extra = {"rows": F.count(F.lit(1)), "most": F.max("x")}
+    got = exact_quantiles(df, "x", PROBS, extra, accuracy, grid).first().asDict()
     for key, p in PROBS.items():
         assert got[key] == pytest.approx(np.quantile(values, p), rel=1e-12, abs=1e-12)
+    assert (got["rows"], got["most"]) == (len(values) + 1, values.max())
 
 
-def test_both_ways_agree(spark):
-    df = spark.createDataFrame([(float(v),) for v in SAMPLES["heavy_tail"]], "x double")
-    small = exact_quantiles(df, "x", PROBS).first().asDict()
-    large = exact_quantiles(df, "x", PROBS, small=10).first().asDict()
-    assert small == pytest.approx(large, rel=1e-12)
+@pytest.mark.parametrize("name", ["outlier", "dominant"])
+def test_what_is_sorted_stays_small(spark, monkeypatch, name):
+    """One extreme value, or one value that most rows have: the sorted window still sees a small
+    part of the different values."""
+    x = F.rand(5) * 1000
+    if name == "outlier":
+        df = spark.range(200_000).select(F.when(F.col("id") == 7, 1e18).otherwise(x).alias("x"))
+    else:
+        df = spark.range(200_000).select(F.when(F.col("id") % 3 > 0, 500.0).otherwise(x).alias("x"))
+    df = df.cache()
+    held = []
+    real = quantiles.running_counts
+
+    def kept(values, wanted):
+        out = real(values, wanted)
+        held.append(out.groupBy("which").count())
+        return out
+
+    monkeypatch.setattr(quantiles, "running_counts", kept)
+    got = exact_quantiles(df, "x", PROBS).first().asDict()
+    values = np.array([r[0] for r in df.collect()])
+    for key, p in PROBS.items():
+        assert got[key] == pytest.approx(np.quantile(values, p), rel=1e-12)
+    assert max(r["count"] for r in held[0].collect()) < 2_000
+
+
+def test_nothing_runs_while_planning(spark):
+    before = spark.sparkContext.statusTracker().getJobIdsForGroup()
+    exact_quantiles(spark.range(10).select(F.col("id").alias("x")), "x", PROBS)
+    assert spark.sparkContext.statusTracker().getJobIdsForGroup() == before
 
 
 def test_quantiles_of_nothing_are_null(spark):
     df = spark.createDataFrame([(None,)], "x double")
-    assert tuple(quantiles_by_cells(value_counts(df, "x"), {"m": 0.5}).first()) == (None,)
     assert tuple(exact_quantiles(df, "x", {"m": 0.5}).first()) == (None,)
 
 
@@ -75,3 +102,39 @@ def test_health_counts_a_null_as_one_value(tables):
     )
     known = wide.select("operating_country").dropna().distinct().count()
     assert eda.health(wide).first()["countries"] == known + 1
+
+
+def test_sums_do_not_depend_on_partitioning(spark, tables):
+    kpi = tables("kpi").drop("no_such")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    seen = []
+    try:
+        for parts in (1, 64):
+            spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+            mixed = kpi.repartition(parts, "avg_net_price")
+            seen.append(
+                [
+                    sorted(map(tuple, report(mixed, reading).collect()), key=repr)
+                    for report in (decision.realization_leakage, decision.weekly_totals)
+                    for reading in ("as_run", "intended")
+                ]
+            )
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert seen[0] == seen[1]
+
+
+def test_money_shows_cents_below_a_hundred_thousand(spark):
+    rows = [("Total Gross Revenue", 12345.5), ("Total Trade Spend", -3.0), ("Avg Price Realization (weighted)", 0.84)]
+    df = spark.createDataFrame(rows, "metric string, value double")
+    got = [r["value_fmt"] for r in decision.formatted_summary(df).orderBy("metric").collect()]
+    assert got == ["84.0%", "$12,345.50", "-$3.00"]
+    large = decision.formatted_summary(df.withColumn("value", F.col("value") * 100)).orderBy("metric").collect()
+    assert [r["value_fmt"] for r in large][1:] == ["$1,234,550", "-$300"]
+    whole = decision.formatted_summary(df.withColumn("value", F.round("value"))).orderBy("metric").collect()
+    assert [r["value_fmt"] for r in whole][1:] == ["$12,346", "-$3"]
+
+
+def test_n_weeks_counts_different_weeks(tables):
+    for r in decision.trade_effectiveness(tables("kpi")).collect():
+        assert 0 < r["n_weeks"] <= min(r["weeks"], tables("dim_date_week").count())

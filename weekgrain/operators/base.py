@@ -1,12 +1,7 @@
-"""One pass over the raw lines.
+"""The raw lines as the star schema reads them, and the attributes that they hold.
 
-Everything downstream needs sums per week, place and product, or minima and distinct values
-of attributes. The raw lines are read once, combined map-side and written; dimensions and
-facts are built from that much smaller table.
-
-Attributes are grouping keys here, not minima: a minimum over text would turn the hash
-aggregation into a sort of all raw lines. They hang on the product or the country, so they
-add hardly any rows, and the facts sum over them again.
+Lines are projected, never laid out whole: dimensions come from the distinct attributes, which
+are combined map-side to tables of their own, and the facts join those to the lines.
 """
 
 from __future__ import annotations
@@ -19,29 +14,38 @@ from weekgrain.functions.labels import channel_of
 from weekgrain.functions.text import normal_id
 
 PLACE = ["country", "region", "state", "city"]
-PRODUCT = ["product_id", "category", "sub_category"]
 MARKET = ["market", "market2"]
+PRODUCT = ["stored_product_id", "product_id", "category", "sub_category"]
+WEEK = ["date_week_id", "fiscal_year", "fiscal_week"]
+MEASURES = ["quantity", "sales", "discount", "profit"]
+
+
+def lines(raw: DataFrame) -> DataFrame:
+    """Raw lines with normal ids, channel and week; a projection only, null keys stay."""
+    return raw.select(
+        F.col("year").alias("fiscal_year"),
+        F.col("weeknum").alias("fiscal_week"),
+        week_key(F.col("year"), F.col("weeknum")).alias("date_week_id"),
+        *PLACE,
+        *MARKET,
+        F.col("product_id").alias("stored_product_id"),
+        normal_id(F.col("product_id")).alias("product_id"),
+        "category",
+        "sub_category",
+        channel_of(F.col("segment")).alias("channel_name"),
+        *MEASURES,
+    )
 
 
-def weekly_base(raw: DataFrame) -> DataFrame:
-    """Weekly sums on natural keys and attributes; null keys stay, as groups of their own."""
-    keyed = raw.withColumns(
-        {
-            "fiscal_year": F.col("year"),
-            "fiscal_week": F.col("weeknum"),
-            "product_id": normal_id(F.col("product_id")),
-            "channel_name": channel_of(F.col("segment")),
-        }
-    )
-    return (
-        keyed.groupBy("fiscal_year", "fiscal_week", *PLACE, *MARKET, *PRODUCT, "channel_name")
-        .agg(
-            F.count(F.lit(1)).alias("line_count"),
-            F.sum("quantity").alias("quantity"),
-            F.sum("sales").alias("sales"),
-            F.sum("discount").alias("discount_sum"),
-            F.count("discount").alias("discount_count"),
-            F.sum("profit").alias("profit"),
-        )
-        .withColumn("date_week_id", week_key(F.col("fiscal_year"), F.col("fiscal_week")))
-    )
+def places(raw: DataFrame) -> DataFrame:
+    """Distinct places, markets and channels."""
+    return lines(raw).select(*PLACE, *MARKET, "channel_name").distinct()
+
+
+def products(raw: DataFrame) -> DataFrame:
+    """Distinct products, ids as stored and as compared, with their categories."""
+    return lines(raw).select(*PRODUCT).distinct()
+
+
+def weeks(raw: DataFrame) -> DataFrame:
+    return lines(raw).select(*WEEK).distinct()

@@ -39,8 +39,8 @@ def join_facts(shipments: DataFrame, prices: DataFrame, trade: DataFrame) -> Dat
 
 def enrich_facts(shipments: DataFrame, channels: DataFrame) -> DataFrame:
     """What join_facts gives, straight from shipments. Price and trade rows are functions of a
-    shipment row and its predecessor, so the window's layout, which shipments already has,
-    replaces three fact-sized shuffles. The brand tier is a function of the product id; rows
+    shipment row and its predecessor, so the window's one layout replaces three fact-sized
+    shuffles. The brand tier is a function of the product id; rows
     without a product id have no price or trade row and get nulls."""
     known = filled("product_id")
     measures = {

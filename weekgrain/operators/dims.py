@@ -1,4 +1,4 @@
-"""The six dimensions, built from the weekly base."""
+"""The six dimensions, built from the distinct attributes of the lines."""
 
 from __future__ import annotations
 
@@ -11,8 +11,8 @@ from weekgrain.operators.keys import dense_ids
 
 
 def filled(name: str):
-    """Neither null nor blank."""
-    return F.col(name).isNotNull() & (F.trim(F.col(name)) != "")
+    """Neither null nor empty. Product ids are trimmed before; a country of blanks stays."""
+    return F.col(name).isNotNull() & (F.col(name) != "")
 
 
 def channels(base: DataFrame) -> DataFrame:

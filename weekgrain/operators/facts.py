@@ -28,13 +28,12 @@ COMPETITORS = [
 ]
 
 
-def shipments(base, countries, regions, channels, wholesalers) -> DataFrame:
-    """Base rows with natural keys swapped for ids, summed over the attributes. Rows without
-    a country or place drop out. Rows are laid out by series, so that the sums and the
-    look-back of unit_prices over the same rows share one shuffle; a series holds at most one
-    row per week and attribute, so no partition grows hot."""
+def shipments(lines, countries, regions, channels, wholesalers) -> DataFrame:
+    """Lines with natural keys swapped for ids, summed per week and series. Rows without a
+    country or place drop out. Only six short ids and the sums leave a task, combined first; the
+    look-back of unit_prices then lays out the facts, not the lines, by series."""
     keyed = (
-        base.join(
+        lines.join(
             countries.select("country_id", F.col("operating_country").alias("country")), "country"
         )
         .join(
@@ -51,16 +50,12 @@ def shipments(base, countries, regions, channels, wholesalers) -> DataFrame:
             ["country_id", "channel_id"],
         )
     )
-    discount = F.try_divide(F.sum("discount_sum"), F.sum("discount_count").cast("decimal(19,0)"))
-    return (
-        keyed.repartition(*SERIES_KEYS)
-        .groupBy(*FACT_KEYS)
-        .agg(
-            F.sum("quantity").cast("decimal(18,2)").alias("shipment_volume"),
-            F.sum("sales").cast("decimal(18,2)").alias("sell_in_revenue"),
-            discount.cast("decimal(10,4)").alias("trade_incentive_pct"),
-            F.sum("profit").cast("decimal(18,2)").alias("contribution_margin_proxy"),
-        )
+    discount = F.try_divide(F.sum("discount"), F.count("discount").cast("decimal(19,0)"))
+    return keyed.groupBy(*FACT_KEYS).agg(
+        F.sum("quantity").cast("decimal(18,2)").alias("shipment_volume"),
+        F.sum("sales").cast("decimal(18,2)").alias("sell_in_revenue"),
+        discount.cast("decimal(10,4)").alias("trade_incentive_pct"),
+        F.sum("profit").cast("decimal(18,2)").alias("contribution_margin_proxy"),
     )
 
 
@@ -131,11 +126,16 @@ def trade_incentives(shipments: DataFrame, products: DataFrame, channels: DataFr
     )
 
 
+def noise_text(competitor: Column) -> Column:
+    """What the noise hashes: product, country, week and competitor."""
+    return F.concat_ws("|", "product_id", "country_id", "date_week_id", competitor)
+
+
 def noise(competitor: Column, level: str = "1") -> Column:
     """One of seven factors, 0.97 to 1.03 times the price level, chosen by a hash. The products
     are worked out here, so a row looks its factor up. Reads product_id, country_id and
     date_week_id."""
-    text = F.concat_ws("|", "product_id", "country_id", "date_week_id", competitor)
+    text = noise_text(competitor)
     factors = [Decimal(level) * (97 + step) / 100 for step in range(7)]
     table = F.array(*[F.lit(str(f)).cast("decimal(6,4)") for f in factors])
     return F.element_at(table, (hash_bucket(text, 7) + 1).cast("int"))

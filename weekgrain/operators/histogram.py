@@ -12,13 +12,17 @@ def histogram(df: DataFrame, column: str, bins: int) -> DataFrame:
     x = F.col(column).cast("double")
     source = df.select(x.alias("x")).where(F.col("x").isNotNull())
     bounds = source.agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
+    # One scalar, read by the bins and by the frame: the bounds are taken once.
     edge = bounds.select(F.struct("lo", "hi")).scalar()
     place = F.try_divide((F.col("x") - edge["lo"]) * bins, edge["hi"] - edge["lo"])
     number = F.least(F.floor(F.coalesce(place, F.lit(0.0))) + 1, F.lit(bins)).cast("int")
     counts = source.groupBy(number.alias("bin")).agg(F.count(F.lit(1)).alias("count"))
     width = (F.col("hi") - F.col("lo")) / bins
-    frame = bounds.where(F.col("lo").isNotNull()).select(
-        "lo", "hi", F.explode(F.sequence(F.lit(1), F.lit(bins))).alias("bin")
+    frame = (
+        df.sparkSession.range(1, bins + 1, numPartitions=1)
+        .select(F.col("id").cast("int").alias("bin"), edge.alias("edge"))
+        .select("bin", "edge.lo", "edge.hi")
+        .where(F.col("lo").isNotNull())
     )
     return frame.join(counts, "bin", "left").select(
         "bin",

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# child table, child column, parent table, parent column
+# Child table, child column, parent table, parent column.
 FOREIGN_KEYS = [
     ("dim_region", "country_id", "dim_country", "country_id"),
     ("dim_wholesaler", "country_id", "dim_country", "country_id"),
@@ -20,6 +20,7 @@ FOREIGN_KEYS = [
     ("fact_shipments", "channel_id", "dim_channel", "channel_id"),
 ]
 
+# Table and the columns that identify a row.
 UNIQUE_KEYS = [
     ("dim_channel", ["channel_name"]),
     ("dim_country", ["operating_country"]),
@@ -29,6 +30,7 @@ UNIQUE_KEYS = [
     ("dim_product", ["product_id"]),
 ]
 
+# Columns that must be filled, by table.
 _FACT = ["date_week_id", "country_id", "region_id", "product_id", "wholesaler_id", "channel_id"]
 NOT_NULL = {
     "dim_channel": ["channel_name"],

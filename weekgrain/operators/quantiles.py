@@ -1,112 +1,113 @@
-"""Exact interpolated quantiles without gathering the rows in one task."""
+"""Exact interpolated quantiles without gathering the rows in one task.
+
+A sketch of the whole column gives, for every wanted quantile, two values that enclose it: its
+error in ranks is known. A second pass counts what lies below and sketches what lies between, which
+gives a far narrower pair. The third pass counts equal values between those, and only these
+counts, about a millionth of the rows, are sorted. All three passes are one plan, and the rows of
+one value count as one entry.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-CELLS = 65_536
-SMALL = 1_000_000
-
-
-def exact_quantiles(
-    df: DataFrame, column: str, probs: dict[str, float], small: int = SMALL, cells: int = CELLS
-) -> DataFrame:
-    """One row with the named quantiles, linear between the two neighbours.
-
-    Equal values are counted first, combined map-side. If a sketch shows at most about `small`
-    different values, their running counts are taken in one sorted window. Beyond that the
-    ranks are searched cell by cell, with the same result.
-    """
-    counts = value_counts(df, column)
-    distinct = df.select(F.approx_count_distinct(column)).first()[0]
-    if distinct <= small:
-        facts = rank_facts(counts, probs)
-        return interpolate(holding_ranks(counts, facts, [], "x", F.lit(0)), probs)
-    return quantiles_by_cells(counts, probs, cells)
+ACCURACY = 10_000
+GRID = 1_000
 
 
-def value_counts(df: DataFrame, column: str) -> DataFrame:
-    return (
-        df.select(F.col(column).cast("double").alias("x"))
-        .where(F.col("x").isNotNull())
-        .groupBy("x")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-
-
-def rank_facts(counts: DataFrame, probs: dict[str, float]) -> DataFrame:
-    """Bounds, last rank, and the wanted zero-based ranks: for each probability the value
-    at or below and the one at or above."""
-    top = (F.sum("n") - 1).cast("double")
-    ranks = [f(top * p).cast("bigint") for p in probs.values() for f in (F.floor, F.ceil)]
-    return counts.agg(
-        F.struct(
-            F.min("x").alias("lo"),
-            F.max("x").alias("hi"),
-            top.alias("top"),
-            F.array(*ranks).alias("ranks"),
-        ).alias("f")
+def _enclosing(df: DataFrame, x: Column, probs: list[float], accuracy: int, extra: dict[str, Column]) -> Column:
+    """First pass, as one scalar: rows, two enclosing values for each probability, extras. The
+    sketch is off by n / accuracy ranks at most. Few rows are enclosed by their extremes."""
+    slack = 2.0 / accuracy
+    pairs = [[max(p - slack, 0.0), min(p + slack, 1.0)] for p in probs]
+    first = df.agg(
+        F.count(x).alias("n"),
+        F.array(F.min(x), F.max(x)).alias("all"),
+        *[F.percentile_approx(x, pair, accuracy).alias(f"p{i}") for i, pair in enumerate(pairs)],
+        *[c.alias(name) for name, c in extra.items()],
     )
+    few = F.col("n") < 2 * accuracy
+    ends = F.array(*[F.when(few, F.col("all")).otherwise(F.col(f"p{i}")) for i in range(len(probs))])
+    return first.select(F.struct("n", ends.alias("ends"), *extra)).scalar()
+
+
+def _narrowed(values: DataFrame, facts: Column, probs: list[float], accuracy: int, grid: int) -> Column:
+    """Second pass, as one scalar: two closer enclosing values for each probability, or the same
+    where few rows are enclosed already."""
+    steps = [k / grid for k in range(grid + 1)]
+    x = F.col("x")
+    parts = []
+    for i in range(len(probs)):
+        low, high = F.col("f.ends")[i][0], F.col("f.ends")[i][1]
+        inside = x.between(low, high)
+        parts += [
+            F.count_if(x < low).alias(f"below_{i}"),
+            F.count_if(inside).alias(f"inside_{i}"),
+            F.percentile_approx(F.when(inside, x), steps, accuracy).alias(f"grid_{i}"),
+        ]
+    found = values.withColumn("f", facts).agg(F.max("f").alias("f"), *parts)
+    pairs = []
+    for i, p in enumerate(probs):
+        # Cell of the grid in which the rank lies, with one more before and two after it.
+        rank = (F.col("f.n") - 1) * F.lit(p)
+        cell = F.floor(F.try_divide((rank - F.col(f"below_{i}")) * grid, F.col(f"inside_{i}")))
+        at = lambda k, i=i: F.get(
+            F.col(f"grid_{i}"), F.least(F.greatest(k, F.lit(0)), F.lit(grid)).cast("int")
+        )
+        few = F.col(f"inside_{i}") < 10 * grid
+        pairs.append(F.when(few, F.col("f.ends")[i]).otherwise(F.array(at(cell - 1), at(cell + 3))))
+    return found.select(F.array(*pairs)).scalar()
 
 
-def holding_ranks(
-    rows: DataFrame, facts: DataFrame, group: list[str], order: str, offset: Column
+def exact_quantiles(
+    df: DataFrame,
+    column: str,
+    probs: dict[str, float],
+    extra: dict[str, Column] | None = None,
+    accuracy: int = ACCURACY,
+    grid: int = GRID,
 ) -> DataFrame:
-    """Rows whose share of the sorted sequence, [start, end), holds a wanted rank."""
-    window = Window.partitionBy(*group).orderBy(order)
-    return (
-        rows.withColumn("end", F.sum("n").over(window) + offset)
-        .withColumn("start", F.col("end") - F.col("n"))
-        .withColumn("f", facts.scalar())
-        .where(F.exists("f.ranks", lambda r: (r >= F.col("start")) & (r < F.col("end"))))
-    )
-
-
-def interpolate(values: DataFrame, probs: dict[str, float]) -> DataFrame:
-    def value_at(rank: Column) -> Column:
-        held = (rank >= F.col("start")) & (rank < F.col("end"))
-        return F.max(F.when(held, F.col("x")))
-
-    pairs = []
-    for i, name in enumerate(probs):
-        pairs += [
-            value_at(F.col("f.ranks")[2 * i]).alias(f"{name}_below"),
-            value_at(F.col("f.ranks")[2 * i + 1]).alias(f"{name}_above"),
-        ]
-    found = values.agg(F.max("f.top").alias("top"), *pairs)
+    """One row with the named quantiles, linear between the two neighbours, and with the extra
+    aggregates of df, which ride along in the first pass. Nulls don't count; without values
+    every quantile is null."""
+    x = F.col(column).cast("double")
+    wanted = list(probs.values())
+    values = df.select(x.alias("x")).where(F.col("x").isNotNull())
+    facts = _enclosing(df, x, wanted, accuracy, extra or {})
+    close = _narrowed(values, facts, wanted, accuracy, grid)
+    held = running_counts(values.withColumn("ends", close), len(wanted))
+    found = _at_ranks(held.withColumn("f", facts), wanted)
+    out = [F.col(f"q{i}").alias(name) for i, name in enumerate(probs)]
+    return found.select(*out, *[F.col(f"f.{name}").alias(name) for name in extra or {}])
+
+
+def running_counts(values: DataFrame, wanted: int) -> DataFrame:
+    """which, x, start, end: per wanted quantile, the different values between its ends and the
+    ranks that each takes. All smaller values are one entry, with a null x; larger ones are left
+    out. The sorted windows hold these entries only."""
+    entries = []
+    for i in range(wanted):
+        low, high = F.col("ends")[i][0], F.col("ends")[i][1]
+        key = F.struct(F.lit(i).alias("which"), F.when(F.col("x") >= low, F.col("x")).alias("x"))
+        entries.append(F.when(F.col("x") <= high, key))
+    spread = values.select(F.explode(F.array(*entries)).alias("e")).where("e is not null")
+    counts = spread.groupBy("e.which", "e.x").agg(F.count(F.lit(1)).alias("n"))
+    order = Window.partitionBy("which").orderBy(F.asc_nulls_first("x"))
+    return counts.withColumn("end", F.sum("n").over(order)).withColumn("start", F.col("end") - F.col("n"))
+
+
+def _at_ranks(held: DataFrame, probs: list[float]) -> DataFrame:
+    parts = []
+    for i, p in enumerate(probs):
+        rank = (F.col("f.n") - 1) * F.lit(p)
+        for name, r in ((f"low{i}", F.floor(rank)), (f"high{i}", F.ceil(rank))):
+            here = (F.col("which") == i) & (r >= F.col("start")) & (r < F.col("end"))
+            parts.append(F.max(F.when(here, F.col("x"))).alias(name))
+    found = held.agg(F.max("f").alias("f"), *parts)
     out = []
-    for name, p in probs.items():
-        rest = F.col("top") * p - F.floor(F.col("top") * p)
-        low, high = F.col(f"{name}_below"), F.col(f"{name}_above")
-        out.append((low + rest * (high - low)).alias(name))
-    return found.select(*out)
-
-
-def quantiles_by_cells(counts: DataFrame, probs: dict[str, float], cells: int = CELLS) -> DataFrame:
-    """Quantiles by narrowing the value range.
-
-    The range is cut into cells; running counts over the cells show which ones hold the
-    wanted ranks, and only these are cut again, then sorted. A window therefore sees at most
-    `cells` rows per cell, or the distinct values of one of cells^2 slices of the range,
-    whatever the number of rows.
-    """
-    facts = rank_facts(counts, probs)
-    place = F.try_divide((F.col("x") - F.col("f.lo")) * cells, F.col("f.hi") - F.col("f.lo"))
-    last = F.lit(cells - 1)
-    celled = (
-        counts.withColumn("f", facts.scalar())
-        .withColumn("place", F.coalesce(place, F.lit(0.0)))
-        .withColumn("cell", F.least(F.floor("place"), last))
-        .withColumn("sub", F.least(F.floor((F.col("place") - F.col("cell")) * cells), last))
-        .select("x", "n", "cell", "sub")
-    )
-    # At most two cells per probability pass, so the broadcasts are bounded.
-    sizes = celled.groupBy("cell").agg(F.sum("n").alias("n"))
-    first = holding_ranks(sizes, facts, [], "cell", F.lit(0))
-    first = F.broadcast(first.select("cell", F.col("start").alias("base")))
-    sizes = celled.join(first, "cell").groupBy("cell", "base", "sub").agg(F.sum("n").alias("n"))
-    second = holding_ranks(sizes, facts, ["cell"], "sub", F.col("base"))
-    second = F.broadcast(second.select("cell", "sub", F.col("start").alias("base")))
-    inside = celled.join(second, ["cell", "sub"])
-    return interpolate(holding_ranks(inside, facts, ["cell", "sub"], "x", F.col("base")), probs)
+    for i, p in enumerate(probs):
+        rank = (F.col("f.n") - 1) * F.lit(p)
+        low, high = F.col(f"low{i}"), F.col(f"high{i}")
+        out.append((low + (rank - F.floor(rank)) * (high - low)).alias(f"q{i}"))
+    return found.select("f", *out)

@@ -7,17 +7,31 @@ applied. `intended` weights every row by its own units.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weekgrain.functions.ratios import correlation, safe_div, total
-from weekgrain.functions.text import metric_text, paste
+from weekgrain.functions.text import metric_text, needs_cents, paste
 from weekgrain.functions.windows import ordered, trailing_mean
 
 SEGMENT = ["operating_country", "channel_name", "product_family", "brand_tier"]
 LEAKAGE_SEGMENT = [*SEGMENT, "wholesaler_tier"]
 
 
+def exact(x: Column) -> Column:
+    """A double at a fixed scale, so that a sum of many doesn't depend on their order."""
+    return x.cast("decimal(38,12)")
+
+
+def summed(name: str) -> Column:
+    return F.sum(exact(F.col(name))).cast("double")
+
+
+def mean_by_units(name: str) -> Column:
+    units = F.col("shipments_units").cast("double")
+    return safe_div(F.sum(exact(F.col(name) * units)), F.sum("shipments_units"))
+
+
 def price_volume_correlation(kpi: DataFrame, min_rows: int = 10) -> DataFrame:
     price = F.col("avg_net_price")
     return (
@@ -41,6 +55,7 @@ def trade_effectiveness(kpi: DataFrame) -> DataFrame:
     keys = ["operating_country", "channel_name"]
     sums = kpi.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("weeks"),
+        F.count_distinct("date_week_id").alias("n_weeks"),
         total(F.col("shipments_units")).alias("shipments_units"),
         total(F.col("gross_revenue")).alias("gross_revenue"),
         total(F.col("trade_spend")).alias("total_trade_spend"),
@@ -73,12 +88,10 @@ LEAKAGE_MEASURES = {
 
 
 def realization_leakage(kpi: DataFrame, reading: str = "as_run") -> DataFrame:
-    units = F.col("shipments_units").cast("double")
-
     def mean(name):
         if reading == "as_run":
-            return F.when(F.sum(units) != 0, F.sum(name))
-        return safe_div(F.sum(F.col(name) * units), F.sum(units))
+            return F.when(F.sum("shipments_units") != 0, summed(name))
+        return mean_by_units(name)
 
     extra = [] if reading == "as_run" else [F.count_distinct("date_week_id").alias("n_weeks")]
     return (
@@ -106,12 +119,10 @@ def segment_label() -> F.Column:
 
 
 def weekly_totals(kpi: DataFrame, reading: str = "as_run") -> DataFrame:
-    units = F.col("shipments_units").cast("double")
-
     def mean(name):
         if reading == "as_run":
-            return F.when(F.sum(units) != 0, F.coalesce(F.sum(name), F.lit(0.0)))
-        return safe_div(F.sum(F.col(name) * units), F.sum(units))
+            return F.when(F.sum("shipments_units") != 0, F.coalesce(summed(name), F.lit(0.0)))
+        return mean_by_units(name)
 
     sums = kpi.groupBy("date_week_id").agg(
         total(F.col("shipments_units")).alias("shipments_units"),
@@ -148,19 +159,16 @@ def weekly_trend(kpi: DataFrame, reading: str = "as_run") -> DataFrame:
 
 
 def executive_summary(kpi: DataFrame) -> DataFrame:
-    """Five headline metrics in long form; prices are weighted by units."""
-    units = F.col("shipments_units").cast("double")
+    """Five headline metrics in long form; prices are weighted by units. The metric names are
+    fixed values."""
     gross, spend = total(F.col("gross_revenue")), total(F.col("trade_spend"))
 
-    def mean(name):
-        return safe_div(F.sum(F.col(name) * units), F.sum(units))
-
     one = kpi.agg(
         gross.cast("double").alias("gross"),
         spend.cast("double").alias("spend"),
         safe_div(spend, gross).alias("share"),
         total(F.col("net_revenue_after_trade")).cast("double").alias("net"),
-        safe_div(mean("avg_net_price"), mean("avg_list_price")).alias("realization"),
+        safe_div(mean_by_units("avg_net_price"), mean_by_units("avg_list_price")).alias("realization"),
     )
     return one.selectExpr(
         "stack(5, 'Total Gross Revenue', gross, 'Total Trade Spend', spend,"
@@ -170,4 +178,5 @@ def executive_summary(kpi: DataFrame) -> DataFrame:
 
 
 def formatted_summary(summary: DataFrame) -> DataFrame:
-    return summary.withColumn("value_fmt", metric_text(F.col("metric"), F.col("value")))
+    cents = needs_cents(F.col("value"), Window.partitionBy())  # over the five rows
+    return summary.withColumn("value_fmt", metric_text(F.col("metric"), F.col("value"), cents))

@@ -18,22 +18,20 @@ def _beside(frames: list[DataFrame]) -> DataFrame:
     return rows.agg(*[F.max(c).alias(c) for c in rows.columns])
 
 
-def raw_profile(raw: DataFrame, approximate: bool = False) -> DataFrame:
-    """Rows, distinct orders and products, year and week range. The second distinct count is
-    an aggregate of its own: both side by side would double every row before the shuffle.
-    approximate: sketches instead, which shuffle no order ids at all."""
-    distinct = F.approx_count_distinct if approximate else F.count_distinct
+def raw_profile(raw: DataFrame, products: DataFrame) -> DataFrame:
+    """Rows, distinct orders and products, year and week range, in one pass over the lines.
+    products: the distinct product attributes of the same lines, with ids as stored."""
     return _beside(
         [
             raw.agg(
                 F.count(F.lit(1)).alias("row_count"),
-                distinct("order_id").alias("distinct_orders"),
+                F.count_distinct("order_id").alias("distinct_orders"),
                 F.min("year").alias("min_year"),
                 F.max("year").alias("max_year"),
                 F.min("weeknum").alias("min_weeknum"),
                 F.max("weeknum").alias("max_weeknum"),
             ),
-            raw.agg(distinct("product_id").alias("distinct_products")),
+            products.agg(F.count_distinct("stored_product_id").alias("distinct_products")),
         ]
     )
 
@@ -48,18 +46,22 @@ HEALTH_DISTINCT = {
 
 
 def health(wide: DataFrame) -> DataFrame:
-    """Row, distinct and missing counts; a null counts as one distinct value. Each distinct
-    count reads one column and is combined map-side."""
-    counts = wide.agg(
+    """Row, distinct and missing counts; a null counts as one distinct value. One pass groups
+    by the keys of few values, combined map-side, and the counts are taken from the groups; a
+    second pass reads the products."""
+    few = {name: c for name, c in HEALTH_DISTINCT.items() if c != "product_id"}
+    groups = wide.groupBy(*few.values()).agg(
         F.count(F.lit(1)).alias("rows"),
         missing(F.col("net_unit_price")).alias("missing_net_price"),
         missing(F.col("list_unit_price")).alias("missing_list_price"),
         missing(F.col("trade_spend_amount")).alias("missing_trade"),
     )
-    distinct = [
-        wide.agg(distinct_with_null(F.col(c)).alias(name)) for name, c in HEALTH_DISTINCT.items()
-    ]
-    return _beside([counts, *distinct])
+    added = ("rows", "missing_net_price", "missing_list_price", "missing_trade")
+    counts = groups.agg(
+        *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in added],
+        *[distinct_with_null(F.col(c)).alias(name) for name, c in few.items()],
+    )
+    return _beside([counts, wide.agg(distinct_with_null(F.col("product_id")).alias("products"))])
 
 
 def missing_counts(wide: DataFrame) -> DataFrame:
@@ -71,17 +73,15 @@ def missing_counts(wide: DataFrame) -> DataFrame:
 
 def pricing(wide: DataFrame) -> DataFrame:
     """Net unit price above zero: mean, median, p10, p90, maximum."""
-    source = wide.where(F.col("net_unit_price") > 0)
-    basics = source.agg(
-        safe_div(F.sum("net_invoice_price"), F.count("net_invoice_price")).alias("avg_net_price"),
-        F.max("net_unit_price").alias("max_net_price"),
-    )
-    spread = exact_quantiles(
-        source,
+    return exact_quantiles(
+        wide.where(F.col("net_unit_price") > 0),
         "net_unit_price",
         {"median_net_price": 0.5, "p10_net_price": 0.1, "p90_net_price": 0.9},
+        extra={
+            "avg_net_price": safe_div(F.sum("net_invoice_price"), F.count("net_invoice_price")),
+            "max_net_price": F.max("net_unit_price"),
+        },
     )
-    return _beside([basics, spread])
 
 
 def trade(wide: DataFrame) -> DataFrame:
@@ -104,6 +104,12 @@ def trade_by_type(wide: DataFrame) -> DataFrame:
     )
 
 
+def rows_by_type(trade: DataFrame) -> DataFrame:
+    """Trade rows per incentive type, most first; ties by name."""
+    counts = trade.groupBy("incentive_type").agg(F.count(F.lit(1)).alias("rows_cnt"))
+    return counts.orderBy(F.desc_nulls_last("rows_cnt"), F.asc_nulls_last("incentive_type"))
+
+
 def compliance(wide: DataFrame) -> DataFrame:
     return wide.where(F.col("compliance_flag").isNotNull()).agg(
         F.avg("compliance_flag").alias("compliance_rate"),
@@ -132,13 +138,11 @@ def price_index(wide: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def price_index_summary(indexed: DataFrame) -> DataFrame:
-    return _beside(
-        [
-            indexed.agg(F.avg("price_index_vs_comp").alias("avg_price_index")),
-            exact_quantiles(
-                indexed, "price_index_vs_comp", {"p10_price_index": 0.1, "p90_price_index": 0.9}
-            ),
-        ]
+    return exact_quantiles(
+        indexed,
+        "price_index_vs_comp",
+        {"p10_price_index": 0.1, "p90_price_index": 0.9},
+        extra={"avg_price_index": F.avg("price_index_vs_comp")},
     )
 
 

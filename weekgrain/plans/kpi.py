@@ -10,6 +10,8 @@ from weekgrain.sources.schemas import KPI_KEYS, KPI_MEASURES
 
 GROUP = list(KPI_KEYS)
 ORDER = ["date_week_id", "operating_country", "channel_name", "product_family"]
+# Ties go by the remaining keys, so that the order is the same in every run.
+FULL_ORDER = [*ORDER, *[k for k in GROUP if k not in ORDER]]
 
 
 def weekly_kpis(wide: DataFrame) -> DataFrame:
@@ -44,7 +46,7 @@ def weekly_kpis(wide: DataFrame) -> DataFrame:
 
 
 def sorted_kpis(kpi: DataFrame) -> DataFrame:
-    return kpi.orderBy(*[F.asc_nulls_last(c) for c in ORDER])
+    return kpi.orderBy(*[F.asc_nulls_last(c) for c in FULL_ORDER])
 
 
 def sliced(kpi: DataFrame, weeks: tuple[int, int] | None = None, **values) -> DataFrame:

@@ -17,18 +17,20 @@ from weekgrain.sources.readers import read_snapshot
 from weekgrain.sources.sinks import write_snapshot
 
 BUILD: dict[str, Callable[[Callable[[str], DataFrame]], DataFrame]] = {
-    "weekly_base": lambda t: base.weekly_base(t("raw")),
-    "dim_channel": lambda t: dims.channels(t("weekly_base")),
-    "dim_country": lambda t: dims.countries(t("weekly_base")),
-    "dim_region": lambda t: dims.regions(t("weekly_base"), t("dim_country")),
-    "dim_date_week": lambda t: dims.weeks(t("weekly_base")),
-    "dim_product": lambda t: dims.products(t("weekly_base")),
+    "raw_places": lambda t: base.places(t("raw")),
+    "raw_products": lambda t: base.products(t("raw")),
+    "raw_weeks": lambda t: base.weeks(t("raw")),
+    "dim_channel": lambda t: dims.channels(t("raw_places")),
+    "dim_country": lambda t: dims.countries(t("raw_places")),
+    "dim_region": lambda t: dims.regions(t("raw_places"), t("dim_country")),
+    "dim_date_week": lambda t: dims.weeks(t("raw_weeks")),
+    "dim_product": lambda t: dims.products(t("raw_products")),
     "dim_wholesaler": lambda t: dims.wholesalers(
-        t("weekly_base"), t("dim_country"), t("dim_channel")
+        t("raw_places"), t("dim_country"), t("dim_channel")
     ),
     "fact_weekly": lambda t: dataset.enrich_facts(
         facts.shipments(
-            t("weekly_base"),
+            base.lines(t("raw")),
             t("dim_country"),
             t("dim_region"),
             t("dim_channel"),

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from weekgrain.functions import ratios
-from weekgrain.operators import dims, facts, quality
+from weekgrain.operators import base, dims, facts, quality
 from weekgrain.plans import dashboard, decision, eda, kpi
-from weekgrain.registry.core import query
-from weekgrain.registry.oracle import KEYS, ratio
+from weekgrain.registry.core import in_order, query
+from weekgrain.registry.oracle import KEYS, SEGMENT, ratio
 from weekgrain.registry.rows import SEG, SUMMARY_FMT
 from weekgrain.registry.sources import IDS, KPI, SHIPMENT
 
@@ -19,48 +19,48 @@ from weekgrain.registry.sources import IDS, KPI, SHIPMENT
        " COUNT(DISTINCT product_id) AS distinct_products, MIN(year) AS min_year, MAX(year) AS max_year,"
        " MIN(weeknum) AS min_weeknum, MAX(weeknum) AS max_weeknum FROM raw")
 def raw_profile(w):
-    return eda.raw_profile(w("raw"))
+    return eda.raw_profile(w("raw"), w("raw_products"))
 
 
 @query("agg_02_channel_dim", "channel_id:i channel_name:s", "SELECT * FROM dim_channel")
 def channel_dim(w):
-    return dims.channels(w("weekly_base"))
+    return dims.channels(w("raw_places"))
 
 
 @query("agg_03_country_dim", "country_id:i operating_country:s macro_region:s macro_region_2:s",
        "SELECT * FROM dim_country_loaded")
 def country_dim(w):
-    return dims.countries_loaded(w("weekly_base"))
+    return dims.countries_loaded(w("raw_places"))
 
 
 @query("agg_04_region_dim", "region_id:i country_id:i regulatory_region:s state:s city:s", "SELECT * FROM dim_region")
 def region_dim(w):
-    return dims.regions(w("weekly_base"), w("dim_country"))
+    return dims.regions(w("raw_places"), w("dim_country"))
 
 
 @query("agg_05_week_dim", "date_week_id:i fiscal_year:i fiscal_week:i fiscal_quarter:i month:i"
        " week_start_date:s week_end_date:s", "SELECT * FROM dim_date_week")
 def week_dim(w):
-    return dims.weeks(w("weekly_base"))
+    return dims.weeks(w("raw_weeks"))
 
 
 @query("agg_06_product_dim", "product_id:s product_variant_name:s source_product_family:s source_product_category:s"
        " product_family:s product_category:s brand_tier:s pack_size:s nicotine_format:s",
        "SELECT * FROM dim_product_loaded")
 def product_dim(w):
-    return dims.products_loaded(w("weekly_base"))
+    return dims.products_loaded(w("raw_products"))
 
 
 @query("agg_07_wholesaler_dim", "wholesaler_id:i wholesaler_name:s wholesaler_tier:s country_id:i primary_channel_id:i",
        "SELECT * FROM dim_wholesaler")
 def wholesaler_dim(w):
-    return dims.wholesalers(w("weekly_base"), w("dim_country"), w("dim_channel"))
+    return dims.wholesalers(w("raw_places"), w("dim_country"), w("dim_channel"))
 
 
 @query("agg_08_shipments_fact", SHIPMENT, "SELECT * FROM fact_shipments")
 def shipments_fact(w):
     return facts.shipments(
-        w("weekly_base"), w("dim_country"), w("dim_region"), w("dim_channel"), w("dim_wholesaler")
+        base.lines(w("raw")), w("dim_country"), w("dim_region"), w("dim_channel"), w("dim_wholesaler")
     )
 
 
@@ -152,10 +152,11 @@ def trade_summary(w):
     return eda.trade(w("wide"))
 
 
-@query("agg_19_trade_by_type", "incentive_type:s rows:i total_trade_spend:d",
-       "SELECT incentive_type, COUNT(*) AS rows, SUM(trade_spend_amount) AS total_trade_spend FROM wide GROUP BY 1")
+@query("agg_19_trade_by_type", "incentive_type:s rows:i total_trade_spend:d place:i",
+       "SELECT *, row_number() OVER (ORDER BY total_trade_spend DESC NULLS LAST, incentive_type NULLS LAST) AS place FROM"
+       " (SELECT incentive_type, COUNT(*) AS rows, SUM(trade_spend_amount) AS total_trade_spend FROM wide GROUP BY 1)")
 def trade_by_type(w):
-    return eda.trade_by_type(w("wide"))
+    return in_order(w, eda.trade_by_type(w("wide")), "agg_19")
 
 
 @query("agg_20_compliance", "compliance_rate:r9 rows_with_flag:i",
@@ -211,25 +212,28 @@ def price_volume_correlation(w):
 
 
 EFFECT = (
-    "operating_country:s channel_name:s weeks:i shipments_units:d gross_revenue:d total_trade_spend:d"
-    " net_revenue_after_trade:d trade_spend_pct_calc:d trade_spend_per_unit:d net_rev_per_unit:d"
+    "operating_country:s channel_name:s weeks:i n_weeks:i shipments_units:d gross_revenue:d total_trade_spend:d"
+    " net_revenue_after_trade:d trade_spend_pct_calc:d trade_spend_per_unit:d net_rev_per_unit:d place:i"
 )
 
 
-@query("agg_26_trade_effectiveness", EFFECT, "SELECT * FROM effectiveness")
+@query("agg_26_trade_effectiveness", EFFECT,
+       "SELECT *, row_number() OVER (ORDER BY total_trade_spend DESC NULLS LAST, operating_country, channel_name) AS place"
+       " FROM effectiveness")
 def trade_effectiveness(w):
-    return decision.trade_effectiveness(w("kpi"))
+    return in_order(w, decision.trade_effectiveness(w("kpi")), "agg_26")
 
 
-# Sums of doubles near 1e5 differ in the tenth digit with the order of the rows.
 LEAK = (
-    "shipments_units:d avg_price_realization:r6 avg_list_price:r4 avg_net_price:r4 avg_leakage_per_unit:r4"
+    "shipments_units:d avg_price_realization:r9 avg_list_price:r9 avg_net_price:r9 avg_leakage_per_unit:r9"
 )
 
 
-@query("agg_27_leakage", f"{SEG} wholesaler_tier:s weeks:i {LEAK}", "SELECT * FROM leakage")
+@query("agg_27_leakage", f"{SEG} wholesaler_tier:s weeks:i {LEAK} place:i",
+       f"SELECT *, row_number() OVER (ORDER BY avg_price_realization NULLS LAST, {SEGMENT}, wholesaler_tier) AS place"
+       " FROM leakage")
 def leakage(w):
-    return decision.realization_leakage(w("kpi"))
+    return in_order(w, decision.realization_leakage(w("kpi")), "agg_27")
 
 
 @query("agg_27_leakage_intended", f"{SEG} wholesaler_tier:s n_rows:i n_weeks:i {LEAK}", "SELECT * FROM leakage_intended")
@@ -239,7 +243,7 @@ def leakage_intended(w):
 
 WEEK = (
     "date_week_id:i shipments_units:d gross_revenue:d trade_spend:d net_revenue_after_trade:d trade_spend_pct:d"
-    " weighted_list_price:r3 weighted_net_price:r3 price_realization:r9"
+    " weighted_list_price:r9 weighted_net_price:r9 price_realization:r9"
 )
 
 
@@ -277,9 +281,10 @@ def lag(w):
 ROLL = "gross_revenue_roll4:r4 trade_spend_pct_roll4:r9 price_realization_roll4:r9"
 
 
-@query("win_02_trailing_mean", f"date_week_id:i {ROLL}", "SELECT * FROM trend")
+@query("win_02_trailing_mean", f"date_week_id:i {ROLL} place:i",
+       "SELECT *, row_number() OVER (ORDER BY date_week_id) AS place FROM trend")
 def trailing_mean(w):
-    return decision.weekly_trend(w("kpi"))
+    return in_order(w, decision.weekly_trend(w("kpi")), "win_02")
 
 
 @query("win_02_trailing_mean_intended", f"date_week_id:i {ROLL}", "SELECT * FROM trend_intended")
@@ -310,6 +315,6 @@ def week_over_week(w):
 
 @query("win_04_surrogate_keys", "region_id:i country_id:i state:s city:s", "SELECT * FROM dim_region")
 def surrogate_keys(w):
-    return dims.regions(w("weekly_base"), w("dim_country"))
+    return dims.regions(w("raw_places"), w("dim_country"))
 
 

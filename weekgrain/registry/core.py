@@ -11,7 +11,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weekgrain.plans.warehouse import Warehouse
@@ -69,6 +69,22 @@ def _sql_column(name: str, kind: str) -> str:
     return f"ROUND({value}, {kind[1:]}) + CAST(0 AS DOUBLE) AS {name}"
 
 
+ROW = (1 << 33) - 1
+
+
+def in_order(w: Warehouse, df: DataFrame, label: str) -> DataFrame:
+    """df with the place of each row as it comes out. The rows are written with their part and
+    number in it; adding up the sizes of the parts before needs one row per part only."""
+    path = w.path(f"out/{label}")
+    df.withColumn("_at", F.monotonically_increasing_id()).write.mode("overwrite").parquet(path)
+    rows = w.spark.read.parquet(path).withColumn("_part", F.shiftright("_at", 33))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = rows.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    parts = parts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    place = F.col("_before") + F.col("_at").bitwiseAND(ROW) + 1
+    return rows.join(parts, "_part").withColumn("place", place).drop("_at", "_part", "_before")
+
+
 def query(name: str, spec: str, sql: str | None = None):
     """Register fn(warehouse) under name."""
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from weekgrain.functions.labels import channel_of
 from weekgrain.operators import dataset, facts
 from weekgrain.plans import charts, decision, eda, kpi
-from weekgrain.registry.core import query
+from weekgrain.registry.core import in_order, query
 from weekgrain.registry.oracle import CHANNEL, KEYS, SEGMENT
 from weekgrain.registry.rows import SEG
 from weekgrain.registry.sources import IDS, KPI, SHIPMENT
@@ -119,43 +119,47 @@ def distinct(w):
     return w("raw").select("country", "segment").distinct()
 
 
-@query("sort_01_ascending", "wholesaler_id:i wholesaler_name:s", "SELECT * FROM dim_wholesaler")
+@query("sort_01_ascending", "date_week_id:i gross_revenue:d place:i",
+       "SELECT *, row_number() OVER (ORDER BY date_week_id) AS place FROM weekly")
 def ascending(w):
-    return w("dim_wholesaler").orderBy(F.asc_nulls_last("wholesaler_id"))
+    return in_order(w, decision.weekly_trend(w("kpi")), "sort_01")
 
 
-@query("sort_02_descending_aggregate", "incentive_type:s rows_cnt:i",
-       "SELECT incentive_type, COUNT(*) AS rows_cnt FROM fact_trade GROUP BY incentive_type")
+@query("sort_02_descending_aggregate", "incentive_type:s rows_cnt:i place:i",
+       "SELECT *, row_number() OVER (ORDER BY rows_cnt DESC, incentive_type) AS place FROM"
+       " (SELECT incentive_type, COUNT(*) AS rows_cnt FROM fact_trade GROUP BY incentive_type)")
 def descending_aggregate(w):
-    counts = w("fact_trade").groupBy("incentive_type").agg(F.count(F.lit(1)).alias("rows_cnt"))
-    return counts.orderBy(F.desc_nulls_last("rows_cnt"))
+    return in_order(w, eda.rows_by_type(w("fact_trade")), "sort_02")
 
 
-@query("sort_03_multi_key", KPI, "SELECT * FROM kpi")
+@query("sort_03_multi_key", f"{KPI} place:i",
+       f"SELECT *, row_number() OVER (ORDER BY {', '.join(f'{c} NULLS LAST' for c in kpi.FULL_ORDER)}) AS place FROM kpi")
 def multi_key(w):
-    return kpi.sorted_kpis(w("kpi"))
+    return in_order(w, kpi.sorted_kpis(w("kpi")), "sort_03")
 
 
-@query("sort_04_nullable_measure", f"{SEG} weeks:i corr_price_volume:r9", "SELECT * FROM correlations")
+@query("sort_04_nullable_measure", f"{SEG} weeks:i corr_price_volume:r9 place:i",
+       f"SELECT *, row_number() OVER (ORDER BY corr_price_volume NULLS LAST, {SEGMENT}) AS place FROM correlations")
 def nullable_measure(w):
-    return decision.price_volume_correlation(w("kpi"))
+    return in_order(w, decision.price_volume_correlation(w("kpi")), "sort_04")
 
 
-LOW = f"""SELECT * FROM leakage
-ORDER BY avg_price_realization, {SEGMENT}, wholesaler_tier LIMIT """
+LOW = f"""SELECT *, row_number() OVER (ORDER BY avg_price_realization, {SEGMENT}, wholesaler_tier) AS place
+FROM leakage QUALIFY place <= """
 
 
-@query("topk_01_lowest_20", f"{SEG} wholesaler_tier:s weeks:i shipments_units:d avg_price_realization:r6"
-       " avg_list_price:r4 avg_net_price:r4 avg_leakage_per_unit:r4", LOW + "20")
+@query("topk_01_lowest_20", f"{SEG} wholesaler_tier:s weeks:i shipments_units:d avg_price_realization:r9"
+       " avg_list_price:r9 avg_net_price:r9 avg_leakage_per_unit:r9 place:i", LOW + "20")
 def lowest_20(w):
-    return decision.lowest(decision.realization_leakage(w("kpi")), 20)
+    return in_order(w, decision.lowest(decision.realization_leakage(w("kpi")), 20), "topk_01")
 
 
-@query("topk_02_lowest_15_labelled", "segment:s product_family:s avg_price_realization:r6",
-       "SELECT operating_country || ' | ' || channel_name || ' | ' || brand_tier || ' | ' || wholesaler_tier AS segment,"
-       f" product_family, avg_price_realization FROM ({LOW}15)")
+@query("topk_02_lowest_15_labelled", "segment:s product_family:s avg_price_realization:r9 place:i",
+       "SELECT * EXCLUDE (place), row_number() OVER (ORDER BY avg_price_realization, segment, product_family) AS place"
+       " FROM (SELECT operating_country || ' | ' || channel_name || ' | ' || brand_tier || ' | ' || wholesaler_tier"
+       f" AS segment, product_family, avg_price_realization, place FROM ({LOW}15))")
 def lowest_15(w):
-    return charts.lowest_realization(decision.realization_leakage(w("kpi")))
+    return in_order(w, charts.lowest_realization(decision.realization_leakage(w("kpi"))), "topk_02")
 
 
 @query("lim_01_preview", SHIPMENT, f"SELECT * FROM fact_shipments ORDER BY {KEYS} LIMIT 10")

@@ -75,7 +75,7 @@ def spend_net_revenue(w):
     return charts.spend_and_net_revenue(decision.trade_effectiveness(w("kpi")))
 
 
-@query("cht_08_lowest_realization", "segment:s product_family:s avg_price_realization:r6",
+@query("cht_08_lowest_realization", "segment:s product_family:s avg_price_realization:r9",
        "SELECT operating_country || ' | ' || channel_name || ' | ' || brand_tier || ' | ' || wholesaler_tier AS segment,"
        " product_family, avg_price_realization FROM (SELECT * FROM leakage"
        f" ORDER BY avg_price_realization, {SEGMENT}, wholesaler_tier LIMIT 15)")

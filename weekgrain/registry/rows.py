@@ -4,20 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from weekgrain.functions import labels, ratios, text
+from weekgrain.functions import calendar, hashing, labels, ratios, text
 from weekgrain.operators import dataset, dims, facts
 from weekgrain.plans import charts, decision
-from weekgrain.registry.core import query
+from weekgrain.registry.core import in_order, query
 from weekgrain.registry.oracle import CHANNEL, KEYS, SEGMENT, line, ratio
 from weekgrain.registry.sources import IDS
 
 SEG = "operating_country:s channel_name:s product_family:s brand_tier:s"
+# Money shows cents if no value of the whole column is as large as 100,000 and some is not whole.
 SUMMARY_FMT = """
 SELECT metric, value,
-  CASE WHEN regexp_matches(metric, 'Revenue|Spend') THEN '$' || format('{:,}', CAST(round(value) AS BIGINT))
+  CASE WHEN regexp_matches(metric, 'Revenue|Spend')
+         THEN '$' || CASE WHEN cents THEN format('{:,.2f}', value) ELSE format('{:,}', CAST(round(value) AS BIGINT)) END
        WHEN regexp_matches(metric, '%|Realization') THEN format('{:.1f}%', value * 100)
        ELSE CAST(value AS VARCHAR) END AS value_fmt
-FROM summary
+FROM (SELECT *, max(abs(value)) OVER () < 100000 AND bool_or(value <> floor(value)) OVER () AS cents FROM summary)
 """
 
 
@@ -34,7 +36,7 @@ def select_rename(w):
 
 @query("prj_02_column_drop", "country_id:i operating_country:s macro_region:s", "SELECT * FROM dim_country")
 def column_drop(w):
-    return dims.countries_loaded(w("weekly_base")).drop("macro_region_2")
+    return dims.countries_loaded(w("raw_places")).drop("macro_region_2")
 
 
 MEASURES = (
@@ -123,14 +125,14 @@ def product_line(w):
 
 @query("case_03_brand_tier", "product_id:s brand_tier:s", "SELECT product_id, brand_tier FROM dim_product")
 def brand_tier(w):
-    return w("weekly_base").select("product_id").distinct().withColumn(
+    return w("raw_products").select("product_id").distinct().withColumn(
         "brand_tier", labels.brand_tier(F.col("product_id"))
     )
 
 
 @query("case_04_pack_size", "product_id:s pack_size:s", "SELECT product_id, pack_size FROM dim_product")
 def pack_size(w):
-    return w("weekly_base").select("product_id").distinct().withColumn(
+    return w("raw_products").select("product_id").distinct().withColumn(
         "pack_size", labels.pack_size(F.col("product_id"))
     )
 
@@ -234,27 +236,23 @@ def upper_trim(w):
 
 @query("fn_02_concat", f"{IDS} hash_text:s",
        f"SELECT {KEYS}, product_id || '|' || CAST(country_id AS VARCHAR) || '|' || CAST(date_week_id AS VARCHAR)"
-       " AS hash_text FROM fact_shipments")
+       " || '|Competitor A' AS hash_text FROM fact_shipments")
 def concat(w):
-    parts = ["product_id", F.lit("|"), F.col("country_id").cast("string"), F.lit("|"),
-             F.col("date_week_id").cast("string")]
-    return w("fact_shipments").withColumn("hash_text", F.concat(*parts))
+    first = F.lit(facts.COMPETITORS[0][0])
+    return w("fact_shipments").withColumn("hash_text", facts.noise_text(first))
 
 
-@query("fn_03_lpad", "date_week_id:i week_text:s",
-       "SELECT date_week_id, CAST(fiscal_year AS VARCHAR) || lpad(CAST(fiscal_week AS VARCHAR), 2, '0') AS week_text"
-       " FROM dim_date_week")
+@query("fn_03_lpad", "product_id:s padded:s",
+       "SELECT product_id, lpad(CAST(h % 9999 AS VARCHAR), 4, '0') AS padded FROM dim_product_loaded")
 def lpad(w):
-    return w("dim_date_week").withColumn(
-        "week_text",
-        F.concat(F.col("fiscal_year").cast("string"), F.lpad(F.col("fiscal_week").cast("string"), 2, "0")),
-    )
+    ids = w("dim_product").select("product_id")
+    return ids.withColumn("padded", hashing.padded_hash(F.col("product_id"), 9999, 4))
 
 
 def _hashed(w):
     from weekgrain.functions.hashing import crc32_text
 
-    return w("weekly_base").select("product_id").distinct().withColumn(
+    return w("raw_products").select("product_id").distinct().withColumn(
         "hash", crc32_text(F.col("product_id"))
     )
 
@@ -287,7 +285,7 @@ def absolute(w):
 def ceiling(w):
     from weekgrain.functions.calendar import fiscal_quarter
 
-    weeks = w("weekly_base").select("fiscal_year", "fiscal_week").distinct()
+    weeks = w("raw_weeks").select("fiscal_year", "fiscal_week").distinct()
     return weeks.groupBy(
         "fiscal_week", fiscal_quarter(F.col("fiscal_week")).alias("fiscal_quarter")
     ).agg(F.count(F.lit(1)).alias("weeks"))
@@ -315,24 +313,27 @@ def week_key_number(w):
 def week_start_date(w):
     from weekgrain.functions.calendar import week_start
 
-    weeks = w("weekly_base").select("date_week_id", "fiscal_year", "fiscal_week").distinct()
+    weeks = w("raw_weeks").select("date_week_id", "fiscal_year", "fiscal_week").distinct()
     return weeks.withColumn("week_start_date", week_start(F.col("fiscal_year"), F.col("fiscal_week")))
 
 
 @query("fn_11_month", "date_week_id:i month:i", "SELECT * FROM dim_date_week")
 def month(w):
-    return w("dim_date_week").select("date_week_id", F.month("week_start_date").alias("month"))
+    return dims.weeks(w("raw_weeks")).select("date_week_id", "month")
 
 
 @query("fn_12_date_add", "date_week_id:i week_end_date:s", "SELECT * FROM dim_date_week")
 def date_add(w):
-    return w("dim_date_week").select("date_week_id", F.date_add("week_start_date", 6).alias("week_end_date"))
+    end = calendar.week_end(F.col("week_start_date"))
+    return w("dim_date_week").select("date_week_id", end.alias("week_end_date"))
 
 
-@query("fn_13_nullif", f"{IDS} divisor:d", f"SELECT {KEYS}, NULLIF(1 - trade_incentive_pct, 0.5) AS divisor FROM fact_shipments")
+@query("fn_13_nullif", f"{IDS} net_price:d",
+       f"SELECT {KEYS}, CASE WHEN channel_id > 1 THEN net_price END AS net_price FROM unit_price")
 def null_if(w):
-    kept = (1 - F.col("trade_incentive_pct")).cast("decimal(10,4)")
-    return w("fact_shipments").withColumn("divisor", F.nullif(kept, F.lit("0.5").cast("decimal(10,4)")))
+    # No unit is sold through the first channel: its prices have no divisor.
+    sold = F.when(F.col("channel_id") > 1, F.col("shipment_volume")).otherwise(0).cast("decimal(18,2)")
+    return facts.unit_prices(w("fact_shipments").withColumn("shipment_volume", sold))
 
 
 @query("fn_14_ifnull", f"{IDS} previous:d",
@@ -342,22 +343,10 @@ def if_null(w):
     return facts.unit_prices(w("fact_shipments")).withColumn("previous", F.coalesce("prev_net_price", zero))
 
 
-@query("fn_15_arithmetic", f"{IDS} cost:d margin_rate:d loss:i discounted:i",
-       f"SELECT {KEYS}, sell_in_revenue - contribution_margin_proxy AS cost,"
-       f" {ratio('contribution_margin_proxy', 'sell_in_revenue')} AS margin_rate,"
-       " CASE WHEN contribution_margin_proxy < 0 THEN 1 ELSE 0 END AS loss,"
-       " CASE WHEN trade_incentive_pct <> 0 AND trade_incentive_pct IS NOT NULL THEN 1 ELSE 0 END AS discounted"
-       " FROM fact_shipments")
+@query("fn_15_arithmetic", f"{IDS} revenue_net_of_trade:d incentive_amount:d compliance_flag:i price_change_flag:i",
+       "SELECT * FROM wide")
 def arithmetic(w):
-    margin, revenue, pct = (
-        F.col("contribution_margin_proxy"), F.col("sell_in_revenue"), F.col("trade_incentive_pct")
-    )
-    return w("fact_shipments").withColumns({
-        "cost": revenue - margin,
-        "margin_rate": F.try_divide(margin.cast("double"), revenue.cast("double")),
-        "loss": F.when(margin < 0, 1).otherwise(0),
-        "discounted": F.when((pct != 0) & pct.isNotNull(), 1).otherwise(0),
-    })
+    return dataset.add_measures(dataset.enrich_facts(w("fact_shipments"), w("dim_channel")))
 
 
 @query("fn_16_paste", f"{SEG} wholesaler_tier:s segment:s",
@@ -369,13 +358,14 @@ def paste(w):
 
 @query("fn_17_regex", "metric:s money:i share:i",
        "SELECT metric, CAST(regexp_matches(metric, 'Revenue|Spend') AS INTEGER) AS money,"
-       " CAST(regexp_matches(metric, '%|Realization') AS INTEGER) AS share FROM summary")
+       " CAST(regexp_matches(metric, '%|Realization') AND NOT regexp_matches(metric, 'Revenue|Spend') AS INTEGER) AS share"
+       " FROM summary")
 def regex(w):
-    metric = F.col("metric")
+    spelled = text.metric_text(F.col("metric"), F.lit(1.0))
     return decision.executive_summary(w("kpi")).select(
         "metric",
-        metric.rlike("Revenue|Spend").cast("int").alias("money"),
-        metric.rlike("%|Realization").cast("int").alias("share"),
+        spelled.startswith("$").cast("int").alias("money"),
+        spelled.endswith("%").cast("int").alias("share"),
     )
 
 
@@ -408,10 +398,6 @@ def null_test_text(w):
        " row_number() OVER (ORDER BY SUM(trade_spend_amount), incentive_type) AS place FROM wide"
        " WHERE incentive_type IS NOT NULL GROUP BY incentive_type")
 def category_order(w):
-    from pyspark.sql import Window
-
     from weekgrain.plans import eda
 
-    bars = charts.spend_by_type(eda.trade_by_type(w("wide")))
-    order = Window.orderBy("total_trade_spend", "incentive_type")
-    return bars.withColumn("place", F.row_number().over(order))
+    return in_order(w, charts.spend_by_type(eda.trade_by_type(w("wide"))), "fn_20")

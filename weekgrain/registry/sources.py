@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from weekgrain.operators import facts
+from weekgrain.operators import base, facts
 from weekgrain.registry.core import query
-from weekgrain.sources.readers import read_csv, read_preferred, read_snapshot
-from weekgrain.sources.schemas import KPI_COLUMNS, ddl
+from weekgrain.sources.readers import read_csv, read_order_lines, read_preferred, read_snapshot
+from weekgrain.sources.schemas import KPI_COLUMNS, RAW_FILE_COLUMNS, ddl, snake
 from weekgrain.sources.sinks import refresh_partitions, write_csv, write_snapshot
 
 RAW = (
@@ -37,9 +37,22 @@ def _by_year(w):
     return w("fact_shipments").withColumn("fiscal_year", F.floor(F.col("date_week_id") / 100).cast("int"))
 
 
-@query("src_01_raw_scan", RAW, "SELECT * FROM raw")
+# Text that needs care in a CSV: quotes, separators, outer blanks. The same in Spark and in SQL.
+def _awkward(name):
+    return F.concat(F.lit('  "'), F.col(name), F.lit('", 46" x 60" '))
+
+
+def _awkward_sql(name):
+    return f"""('  "' || {name} || '", 46" x 60" ')"""
+
+
+@query("src_01_raw_scan", RAW, f"SELECT * REPLACE ({_awkward_sql('product_name')} AS product_name) FROM raw")
 def raw_scan(w):
-    return w("raw")
+    path = w.path("out/raw_csv")
+    names = {snake(n): n for n in RAW_FILE_COLUMNS}
+    rows = w("raw").withColumn("product_name", _awkward("product_name")).select(*names)
+    write_csv(rows.withColumnsRenamed(names), path)
+    return read_order_lines(w.spark, path, "csv")
 
 
 @query("src_02_table_scan", SHIPMENT, "SELECT * FROM fact_shipments")
@@ -76,51 +89,53 @@ def snapshot_read(w):
 @query(
     "src_05_csv_write_quoted",
     "line:s",
-    """SELECT CAST(wholesaler_id AS VARCHAR) || ',"' || wholesaler_name || '","' || wholesaler_tier || '",'
-       || CAST(country_id AS VARCHAR) || ',' || CAST(primary_channel_id AS VARCHAR) AS line FROM dim_wholesaler""",
+    f"""SELECT CAST(wholesaler_id AS VARCHAR) || ',"' || replace({_awkward_sql('wholesaler_name')}, '"', '""') || '","'
+       || wholesaler_tier || '",' || CAST(country_id AS VARCHAR) || ',' || CAST(primary_channel_id AS VARCHAR) AS line
+       FROM dim_wholesaler""",
 )
 def csv_write_quoted(w):
     path = w.path("out/wholesalers_quoted")
-    write_csv(w("dim_wholesaler"), path, quote_text=True)
+    write_csv(w("dim_wholesaler").withColumn("wholesaler_name", _awkward("wholesaler_name")), path, quote_text=True)
     return _lines(w, path, '"wholesaler_id"')
 
 
 @query(
     "src_06_csv_write_minimal",
     "line:s",
-    """SELECT CAST(region_id AS VARCHAR) || ',' || CAST(country_id AS VARCHAR) || ',' || regulatory_region || ','
-       || state || ',' || city || ',NA,NA' AS line FROM dim_region""",
+    f"""SELECT CAST(region_id AS VARCHAR) || ',' || CAST(country_id AS VARCHAR) || ',' || regulatory_region || ',"'
+       || replace({_awkward_sql('state')}, '"', '""') || '",  ' || city || ' ,NA,NA' AS line FROM dim_region""",
 )
 def csv_write_minimal(w):
     path = w.path("out/regions")
-    write_csv(w("dim_region"), path)
+    blanks = F.concat(F.lit("  "), F.col("city"), F.lit(" "))
+    write_csv(w("dim_region").withColumns({"state": _awkward("state"), "city": blanks}), path)
     return _lines(w, path, "region_id")
 
 
-@query("src_07_csv_read", KPI, "SELECT * FROM kpi")
+@query("src_07_csv_read", KPI, f"SELECT * REPLACE ({_awkward_sql('channel_name')} AS channel_name) FROM kpi")
 def csv_read(w):
     path = w.path("out/kpi_csv")
-    write_csv(w("kpi"), path)
+    write_csv(w("kpi").withColumn("channel_name", _awkward("channel_name")), path)
     return read_csv(w.spark, path, ddl(KPI_COLUMNS))
 
 
 @query(
     "src_08_fallback_read",
-    "date_week_id:i fiscal_year:i fiscal_week:i fiscal_quarter:i month:i week_start_date:s week_end_date:s",
-    "SELECT * FROM dim_date_week",
+    "wholesaler_id:i wholesaler_name:s wholesaler_tier:s country_id:i primary_channel_id:i",
+    f"SELECT * REPLACE ({_awkward_sql('wholesaler_name')} AS wholesaler_name) FROM dim_wholesaler",
 )
 def fallback_read(w):
-    weeks = w("dim_date_week")
-    path = w.path("out/weeks_csv")
-    write_csv(weeks, path)
-    return read_preferred(w.spark, w.path("out/no_such_snapshot"), path, weeks.schema)
+    sellers = w("dim_wholesaler").withColumn("wholesaler_name", _awkward("wholesaler_name"))
+    path = w.path("out/wholesalers_csv")
+    write_csv(sellers, path, quote_text=True)
+    return read_preferred(w.spark, w.path("out/no_such_snapshot"), path, sellers.schema)
 
 
 @query("src_09_table_load", SHIPMENT, "SELECT * FROM fact_shipments")
 def table_load(w):
     path = w.path("out/loaded_shipments")
     loaded = facts.shipments(
-        w("weekly_base"), w("dim_country"), w("dim_region"), w("dim_channel"), w("dim_wholesaler")
+        base.lines(w("raw")), w("dim_country"), w("dim_region"), w("dim_channel"), w("dim_wholesaler")
     )
     write_snapshot(loaded, path)
     return w.spark.read.parquet(path)

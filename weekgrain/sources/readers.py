@@ -9,11 +9,29 @@ from pyspark.sql import functions as F
 from weekgrain.sources.schemas import RAW_COLUMNS, RAW_FILE_COLUMNS, ddl, snake
 
 
+# One dialect for all readers and writers: a header, quotes doubled inside quotes, NA for null,
+# blanks kept, malformed lines refused.
+CSV = {
+    "header": True,
+    "quote": '"',
+    "escape": '"',
+    "nullValue": "NA",
+    "emptyValue": "",
+    "ignoreLeadingWhiteSpace": False,
+    "ignoreTrailingWhiteSpace": False,
+    "mode": "FAILFAST",
+}
+
+
 def read_order_lines(spark: SparkSession, path: str, fmt: str = "parquet", **options) -> DataFrame:
-    """Raw order lines with snake_case names; dotted source names go on read."""
+    """Raw order lines with snake_case names; dotted source names go on read.
+
+    CSV files are split for reading, so a cell must not hold a line break: such a file fails.
+    Give multiLine=True for files that do; each of them is then read by one task.
+    """
     reader = spark.read.schema(ddl(RAW_FILE_COLUMNS))
     if fmt == "csv":
-        reader = reader.option("header", True)
+        reader = reader.options(**CSV)
     df = reader.options(**options).format(fmt).load(path)
     return df.withColumnsRenamed({name: snake(name) for name in RAW_FILE_COLUMNS})
 
@@ -38,11 +56,9 @@ def read_snapshot(spark: SparkSession, path: str, schema=None) -> DataFrame:
 
 
 def read_csv(spark: SparkSession, path: str, schema) -> DataFrame:
-    """CSV with header and NA for null. The schema is declared: inferring it would
-    read the whole data once more."""
-    return (
-        spark.read.schema(schema).option("header", True).option("nullValue", "NA").csv(path)
-    )
+    """CSV as the writers here leave it, line breaks in cells included. The schema is declared:
+    inferring it would read the whole data once more. A text NA reads as null."""
+    return spark.read.schema(schema).options(**CSV, multiLine=True).csv(path)
 
 
 def read_preferred(spark: SparkSession, snapshot: str, csv: str, schema) -> DataFrame:

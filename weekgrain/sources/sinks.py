@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weekgrain.sources.readers import CSV
+
 
 def write_snapshot(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
     """Replace the snapshot at path. With partition columns the rows are rebalanced
@@ -46,31 +48,24 @@ def write_bucketed(df: DataFrame, table: str, keys: list[str], buckets: int, pat
     )
 
 
+FIRST_ROW = (1 << 33) - 1
+
 
 def write_csv(df: DataFrame, path: str, quote_text: bool = False) -> None:
     """CSV with header and NA for null. Default: quotes only where needed.
     quote_text: every text value in quotes, numbers bare."""
-    writer = df.write.mode("overwrite").option("header", True).option("nullValue", "NA")
     if not quote_text:
-        writer.option("escape", '"').csv(path)
+        keep = {k: v for k, v in CSV.items() if k not in ("mode", "emptyValue")}
+        df.write.mode("overwrite").options(**keep, emptyValue='""').csv(path)
         return
     text = {name for name, kind in df.dtypes if kind in ("string", "date", "timestamp")}
+    quoted = lambda x: F.concat(F.lit('"'), F.replace(x, F.lit('"'), F.lit('""')), F.lit('"'))
     cells = []
     for name in df.columns:
         value = F.col(f"`{name}`").cast("string")
-        if name in text:
-            value = F.concat(F.lit('"'), F.replace(value, F.lit('"'), F.lit('""')), F.lit('"'))
-        cells.append(F.coalesce(value, F.lit("NA")))
-    header = ",".join(f'"{name}"' for name in df.columns)
-    # One ready-made line per row: the separator never occurs, so nothing is re-quoted.
-    (
-        df.select(F.concat_ws(",", *cells).alias(header))
-        .write.mode("overwrite")
-        .option("header", True)
-        .option("sep", "\u0001")
-        .option("quote", "\u0002")
-        .option("escape", "\u0002")
-        .option("escapeQuotes", False)
-        .option("charToEscapeQuoteEscaping", "\u0002")
-        .csv(path)
-    )
+        cells.append(F.coalesce(quoted(value) if name in text else value, F.lit("NA")))
+    header = ",".join('"' + name.replace('"', '""') + '"' for name in df.columns) + "\n"
+    # Ready-made lines; the first row of every file brings the header along.
+    first = F.monotonically_increasing_id().bitwiseAND(FIRST_ROW) == 0
+    line = F.concat(F.when(first, F.lit(header)).otherwise(F.lit("")), F.concat_ws(",", *cells))
+    df.select(line.alias("value")).write.mode("overwrite").text(path)
