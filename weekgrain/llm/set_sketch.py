@@ -30,7 +30,7 @@ BATCH = 1 << 18
 class Sketch:
     """words: of a shingle. percent: least 100 * shared / joint. bands of rows registers each:
     at 80 percent a pair misses all bands once in a hundred thousand times. base, rate: of the
-    registers' scale. doubt: twice the log-likelihood that a pair's best similarity may be ahead
+    registers' scale. block: rows of a group that are compared with as many in one unit of work. doubt: twice the log-likelihood that a pair's best similarity may be ahead
     of `percent` before it is discarded; at 36, once in a billion pairs."""
 
     words: int = 4
@@ -40,11 +40,19 @@ class Sketch:
     base: float = 1.001
     rate: float = 20.0
     doubt: float = 36.0
+    block: int = 256
 
     @property
     def registers(self) -> int:
         return self.bands * self.rows
 
+    @property
+    def least_equal(self) -> int:
+        """Equal registers that a pair similar enough has all but once in a billion times: six
+        standard deviations below the least expected number."""
+        p = self.percent / 100
+        return max(0, math.floor(self.registers * p - 6 * math.sqrt(self.registers * p * (1 - p))))
+
 
 def shingles(text: str | None, words: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of a text's word shingles; A-Z lower-cased, words split at
@@ -146,82 +154,117 @@ def _registers(column: pd.Series, how: Sketch) -> np.ndarray:
     return np.frombuffer(b"".join(column), dtype="<u2").reshape(len(column), how.registers)
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, how: Sketch) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough. Only the texts of documents that
-    stand in a pair are read again."""
-    named = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+def _full_sets(docs: DataFrame, named: DataFrame, how: Sketch) -> DataFrame:
+    """node, k1, k2, set: the whole sets of the named documents, whose texts are read again."""
     words = how.words
 
-    @F.pandas_udf("array<long>")
-    def full(texts: pd.Series) -> pd.Series:
-        return pd.Series([shingles(t, words).view(np.int64) for t in texts], dtype=object)
+    @F.pandas_udf("set array<long>, k1 long, k2 long")
+    def full(texts: pd.Series) -> pd.DataFrame:
+        sets = [shingles(t, words) for t in texts]
+        rows = [(s.view(np.int64), *_digest(s)) for s in sets]
+        return pd.DataFrame(rows, columns=["set", "k1", "k2"])
 
-    sets = docs.select("doc_id", "text").join(named, "doc_id", "left_semi")
-    sets = saved(sets.select("doc_id", full("text").alias("set")).dropDuplicates(["doc_id"]), "sets")
-    one = sets.select(F.col("doc_id").alias("a"), F.col("set").alias("set_a"))
-    two = sets.select(F.col("doc_id").alias("b"), F.col("set").alias("set_b"))
-    shared = F.size(F.array_intersect("set_a", "set_b"))
-    joint = F.size("set_a") + F.size("set_b") - shared
-    return pairs.join(one, "a").join(two, "b").where(100 * shared >= how.percent * joint).select("a", "b")
+    texts = docs.select(F.col("doc_id").alias("node"), "text")
+    sets = texts.join(named.hint("merge"), "node", "left_semi").select("node", full("text").alias("s"))
+    return sets.select("node", "s.*").dropDuplicates(["node", "k1", "k2"])
 
 
 def _stars(members: DataFrame) -> DataFrame:
     """(a, b): each member of a bucket with the bucket's most connected member."""
     reach = saved(members.groupBy("node").agg(F.sum("n").alias("reach")), "reach")
-    ranked = members.join(reach, "node").groupBy("bucket").agg(
+    ranked = members.join(reach.hint("merge"), "node").groupBy("bucket").agg(
         F.max(F.struct("reach", (-F.col("node")).alias("node"))).alias("top")
     )
     tops = saved(ranked.select("bucket", (-F.col("top.node")).alias("top")), "tops")
-    pair = members.join(tops, "bucket").where("node <> top")
+    pair = members.join(tops.hint("merge"), "bucket").where("node <> top")
     return pair.select(F.least("node", "top").alias("a"), F.greatest("node", "top").alias("b")).distinct()
 
 
-def _likely(pairs: DataFrame, nodes: DataFrame, how: Sketch) -> DataFrame:
-    """The pairs that set sizes and sketches don't rule out."""
+def _both(pairs: DataFrame, cards: DataFrame, columns: list[str]) -> DataFrame:
+    """pairs (a, b) with the columns of either end, as name_a and name_b."""
+    for end in ("a", "b"):
+        own = cards.select(F.col("node").alias(end), *[F.col(c).alias(f"{c}_{end}") for c in columns])
+        pairs = pairs.join(own.hint("merge"), end)
+    return pairs
+
+
+def _linked(pairs: DataFrame, cards: DataFrame, how: Sketch) -> DataFrame:
+    """The pairs that set sizes and sketches don't rule out and whose full sets are similar."""
 
     @F.pandas_udf("boolean")
     def may(a: pd.Series, b: pd.Series, na: pd.Series, nb: pd.Series) -> pd.Series:
         return pd.Series(plausible(_registers(a, how), _registers(b, how), na.to_numpy(), nb.to_numpy(), how))
 
-    one = nodes.select(F.col("node").alias("a"), F.col("n_shingles").alias("na"), F.col("sketch").alias("sa"))
-    two = nodes.select(F.col("node").alias("b"), F.col("n_shingles").alias("nb"), F.col("sketch").alias("sb"))
-    sizes = 100 * F.least("na", "nb") >= how.percent * F.greatest("na", "nb")
-    both = pairs.join(one, "a").join(two, "b").where(sizes)
-    return both.where(may("sa", "sb", "na", "nb")).select("a", "b")
-
-
-def _across(members: DataFrame, nodes: DataFrame, parts: DataFrame, tried: DataFrame, how: Sketch) -> DataFrame:
-    """Pairs of a bucket that are still in different components and not ruled out. The largest
-    component of a bucket needs no comparing within; all others meet all members, in blocks."""
-    held = members.select("bucket", "node").join(parts, "node", "left")
-    held = held.withColumn("component", F.coalesce("component", "node"))
+    likely = _both(pairs, cards, ["n_shingles", "sketch"])
+    likely = likely.where(may("sketch_a", "sketch_b", "n_shingles_a", "n_shingles_b")).select("a", "b")
+    sets = _both(saved(likely, "likely"), cards, ["set"])
+    shared = F.size(F.array_intersect("set_a", "set_b"))
+    joint = F.size("set_a") + F.size("set_b") - shared
+    return sets.where(100 * shared >= how.percent * joint).select("a", "b")
+
+
+def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets share enough."""
+    at = np.minimum(np.searchsorted(a, b), len(a) - 1)
+    shared = int((a[at] == b).sum())
+    return 100 * shared >= percent * (len(a) + len(b) - shared)
+
+
+def _across_unit(homes: pd.DataFrame, probes: pd.DataFrame, how: Sketch) -> list[tuple[int, int]]:
+    """Links between homes and probes that join two components. A probe tries the likeliest homes
+    first, and none of a component that it has reached."""
+    registers, sizes = _registers(homes["sketch"], how), homes["n_shingles"].to_numpy()
+    ids, own = homes["node"].to_numpy(), homes["component"].to_numpy()
+    unsigned = lambda x: np.asarray(x, dtype=np.int64).view(np.uint64)  # noqa: E731  as it was sorted
+    sets = [unsigned(x) for x in homes["set"]]
+    joined: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while x in joined:
+            x = joined[x]
+        return x
+
+    out = []
+    for row in probes.itertuples(index=False):
+        sketch = np.frombuffer(row.sketch, dtype="<u2")
+        equal = (registers == sketch).sum(1)
+        fits = 100 * np.minimum(sizes, row.n_shingles) >= how.percent * np.maximum(sizes, row.n_shingles)
+        near = np.flatnonzero((equal >= how.least_equal) & fits & (own != row.component))
+        if len(near):
+            n = np.full(len(near), row.n_shingles)
+            near = near[plausible(registers[near], sketch[None, :], sizes[near], n, how)]
+        for i in near[np.argsort(-equal[near], kind="stable")]:
+            x, y = top(int(own[i])), top(int(row.component))
+            if x != y and similar(sets[i], unsigned(row.set), how.percent):
+                joined[max(x, y)] = min(x, y)
+                out.append((min(int(ids[i]), row.node), max(int(ids[i]), row.node)))
+    return out
+
+
+def _across(cards: DataFrame, families: DataFrame, parts: DataFrame, how: Sketch) -> DataFrame:
+    """Links between components of one family, verified on full sets. The largest component of a
+    family needs no comparing within; the members of all others meet the whole family, in
+    blocks, and only links that join components come out."""
+    held = (
+        cards.join(families.withColumnRenamed("component", "family").hint("merge"), "node")
+        .join(parts.hint("merge"), "node", "left")
+        .withColumn("component", F.coalesce("component", "node"))
+    )
     held = saved(held, "held")
-    counts = held.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
-    top = counts.groupBy("bucket").agg(
+    counts = held.groupBy("family", "component").agg(F.count(F.lit(1)).alias("n"))
+    top = counts.groupBy("family").agg(
         F.count(F.lit(1)).alias("parts"), F.max(F.struct("n", "component")).alias("top")
     )
-    open_ = saved(top.where("parts > 1").select("bucket", F.col("top.component").alias("main")), "open")
-    rows = held.join(open_, "bucket").join(nodes.select("node", "n_shingles", "sketch"), "node")
-    rows = saved(rows, "rows")
-    homes = rows.drop("main")
-    probes = rows.where("component <> main").drop("main")
-    work = blocked(homes, probes, ["bucket"], "node")
+    open_ = saved(top.where("parts > 1").select("family", F.col("top.component").alias("main")), "open")
+    homes = held.join(open_.hint("merge"), "family")
+    probes = homes.where("component <> main").drop("main")
+    work = blocked(homes.drop("main"), probes, ["family"], "node", how.block)
 
     def compare(frame: pd.DataFrame) -> pd.DataFrame:
-        out: set[tuple[int, int]] = set()
-        for home, probe in units(frame):
-            a, na = _registers(home["sketch"], how), home["n_shingles"].to_numpy()
-            ids, own = home["node"].to_numpy(), home["component"].to_numpy()
-            for row in probe.itertuples(index=False):
-                other = np.flatnonzero(own != row.component)
-                b = np.frombuffer(row.sketch, dtype="<u2")
-                nb = np.full(len(other), row.n_shingles)
-                for i in other[plausible(a[other], b[None, :], na[other], nb, how)]:
-                    out.add((min(int(ids[i]), row.node), max(int(ids[i]), row.node)))
-        return pd.DataFrame(sorted(out), columns=["a", "b"], dtype="int64")
-
-    found = work.groupBy("work").applyInPandas(compare, "a long, b long").distinct()
-    return found.join(tried, ["a", "b"], "left_anti")
+        out = [pair for home, probe in units(frame) for pair in _across_unit(home, probe, how)]
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    return work.groupBy("work").applyInPandas(compare, "a long, b long")
 
 
 def groups(docs: DataFrame, how: Sketch = Sketch()) -> DataFrame:
@@ -232,10 +275,10 @@ def groups(docs: DataFrame, how: Sketch = Sketch()) -> DataFrame:
     component and links with nothing; rows that share an id are one node; an empty table gives no
     rows; columns other than doc_id and text play no part.
 
-    Texts of one set are one node with its smallest id, and only nodes are compared. Buckets that
-    bands form are first joined to their best connected member; what then still lies in
-    different components is compared in blocks, so no link between components is left out
-    however large a bucket is.
+    Texts of one set are one node with its smallest id, and only nodes are compared. The members
+    of a bucket are first compared with its best connected one. Buckets that share members are
+    a family; what in a family still lies in different components is compared in blocks, so no
+    link between components is left out however large a bucket is.
     """
 
     @F.pandas_udf("n_shingles long, k1 long, k2 long, sketch binary")
@@ -255,16 +298,18 @@ def groups(docs: DataFrame, how: Sketch = Sketch()) -> DataFrame:
     listed = nodes.select(
         "node", F.explode(F.transform(F.sequence(F.lit(0), F.lit(how.bands - 1)), band)).alias("bucket")
     )
-    listed = saved(listed.distinct(), "bands")
     full = saved(listed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "buckets")
-    members = saved(listed.join(full, "bucket"), "members")
-
-    stars = saved(_likely(_stars(members), nodes, how), "stars")
-    links = saved(_verified(stars, docs, how), "star_links")
-    parts = saved(components(links), "parts")
-    rest = saved(_across(members, nodes, parts, stars, how), "across")
-    more = _verified(rest, docs, how)
-    parts = saved(components(links.union(more)), "parts")
+    members = saved(listed.join(full.hint("merge"), "bucket"), "members")
+
+    # Only texts that share a bucket with another are compared: their sketches and full sets.
+    named = saved(members.select("node").distinct(), "named")
+    cards = nodes.join(_full_sets(docs, named, how).hint("merge"), ["node", "k1", "k2"])
+    cards = saved(cards.drop("k1", "k2"), "cards")
+
+    stars = saved(_stars(members), "stars")
+    links = saved(_linked(stars, cards, how), "star_links")
+    rest = _across(cards, saved(components(stars), "families"), saved(components(links), "parts"), how)
+    parts = saved(components(links.union(saved(rest, "across"))), "parts")
 
     result = nodes.join(parts, "node", "left").select(
         "k1", "k2", F.coalesce("component", "node").alias("component_id")
