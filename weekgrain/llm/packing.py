@@ -41,7 +41,9 @@ WORDS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[a-z{LATIN}]+|[0-9]|[^\t-\r a-z0-9{
 
 
 class Encoder:
-    """Token ids of texts, as packed 32-bit little-endian integers. Words are remembered."""
+    """Token ids of texts, as packed 32-bit little-endian integers. White space parts pretokens,
+    so what stands between it always has the same ids; these are remembered. New strings are
+    encoded together, and their ids told apart by the tokens that end a word."""
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task per core
@@ -49,21 +51,35 @@ class Encoder:
 
         self.library = Tokenizer.from_file(path)
         self.memo: dict[str, bytes] = {}
-
-    def _library(self, texts: list[str]) -> list[bytes]:
-        got = self.library.encode_batch(texts, add_special_tokens=False)
-        return [np.asarray(e.ids, dtype="<u4").tobytes() for e in got]
+        vocabulary = self.library.get_vocab()
+        suffix = self.library.model.end_of_word_suffix
+        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.asarray(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4")
+
+    def _learn(self, new: list[str]) -> None:
+        for at in range(0, len(new), 10_000):
+            part = new[at : at + 10_000]
+            ids = self._ids(" ".join(part))
+            last = np.flatnonzero(self.ends[ids]) + 1  # where each word's ids end
+            words = np.cumsum([len(WORDS.findall(x)) for x in part])
+            if len(last) != words[-1]:
+                raise ValueError("the vocabulary does not mark word ends")
+            packed, stops = ids.tobytes(), (4 * last[words - 1]).tolist()
+            for x, start, stop in zip(part, [0, *stops[:-1]], stops, strict=True):
+                self.memo[x] = packed[start:stop]
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [WORDS.findall(t.lower()) if "<|" not in t and PLAIN.match(t) else None for t in texts]
+        parts = [t.lower().split() if "<|" not in t and PLAIN.match(t) else None for t in texts]
         if len(self.memo) > MEMO:
             self.memo.clear()
         memo = self.memo
-        new = list({w for words in cut if words for w in words if w not in memo})
-        memo.update(zip(new, self._library(new), strict=True))
+        self._learn(list({x for p in parts if p for x in p if x not in memo}))
         return [
-            self._library([t])[0] if words is None else b"".join(map(memo.__getitem__, words))
-            for t, words in zip(texts, cut, strict=True)
+            self._ids(t).tobytes() if p is None else b"".join(map(memo.__getitem__, p))
+            for t, p in zip(texts, parts, strict=True)
         ]
 
 
