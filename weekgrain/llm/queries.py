@@ -17,6 +17,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 NAMES = {
     "op1_chat_format": "chat_format.op1",
     "op2_secret_scan": "secret_scan.op2",
+    "op3_sharding": "sharding.op3",
     "op4_url_filter": "url_filter.op4",
     "op5_packing": "packing.op5",
     "op6_token_count": "token_count.op6",
