@@ -82,7 +82,8 @@ def _count_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if len(held) > 200_000:
                 yield frame(held)
                 held.clear()
-    yield frame(held)
+    if held:
+        yield frame(held)
 
 
 def lexicon(pages: DataFrame) -> DataFrame:
