@@ -207,11 +207,13 @@ def count_tokens(docs: DataFrame, path: str | None = None, limit: int = LIMIT, c
         return pd.Series([apply(whole(parts), machine) for parts in chunks], dtype="int64")
 
     text = F.coalesce("text", F.lit(""))
-    rows = docs.select(
-        F.monotonically_increasing_id().alias("row"),
+    # Rows are numbered before they are unfolded, so that a text's chunks share a number.
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", text.alias("text"))
+    rows = rows.select(
+        "row",
         "doc_id",
-        F.octet_length(text).cast("bigint").alias("n_bytes"),
-        F.posexplode_outer(F.regexp_extract_all(text, F.lit("(?s).{1,%d}" % chunk), F.lit(0))).alias("place", "part"),
+        F.octet_length("text").cast("bigint").alias("n_bytes"),
+        F.posexplode_outer(F.regexp_extract_all("text", F.lit("(?s).{1,%d}" % chunk), F.lit(0))).alias("place", "part"),
     )
     seen = rows.select("row", "doc_id", "n_bytes", "place", maps("part").alias("m"))
     whole = seen.groupBy("row", "doc_id", "n_bytes").agg(
