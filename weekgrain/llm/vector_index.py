@@ -67,7 +67,8 @@ def _neighbours(units_: np.ndarray, least: float, rng: np.random.Generator) -> n
 
 
 def fit(units_: np.ndarray, how: Index) -> Books:
-    """Codebooks for unit vectors of one length, and the excess that reaches how.recall."""
+    """Codebooks for unit vectors of one length, and the excess that reaches how.recall, both of
+    made-up neighbours at exactly the least cosine and of the neighbours within the sample."""
     rng = np.random.default_rng(7)
     half = units_.shape[1] // 2
     halves = tuple(_codebook(x, how.codes, how.steps, rng) for x in (units_[:, :half], units_[:, half:]))
@@ -76,7 +77,16 @@ def fit(units_: np.ndarray, how: Index) -> Books:
     at = [_distances(x, c).argmin(1) for x, c in zip((near[:, :half], near[:, half:]), halves, strict=True)]
     row = np.arange(len(units_))
     excess = sum(d[row, a] - d.min(1) for d, a in zip(own, at, strict=True))
-    return Books(halves, float(np.quantile(excess, how.recall)))
+    reach = float(np.quantile(excess, how.recall))
+    home = [d.argmin(1) for d in own]
+    found = []
+    for start in range(0, len(units_), 256):
+        rows = slice(start, start + 256)
+        a, b = np.nonzero(units_[rows] @ units_.T >= how.least)
+        x = a + start
+        found.append(sum(d[x, h[b]] - d[x, h[x]] for d, h in zip(own, home, strict=True))[x != b])
+    real = np.concatenate(found)
+    return Books(halves, max(reach, float(np.quantile(real, how.recall))) if len(real) else reach)
 
 
 def traverse(first: np.ndarray, second: np.ndarray, excess: float) -> list[int]:
