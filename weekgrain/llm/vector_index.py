@@ -30,7 +30,7 @@ class Index:
     least: float = 0.93
     sample: int = 8192
     codes: int = 32
-    recall: float = 0.99
+    recall: float = 0.999
     steps: int = 12
 
 
