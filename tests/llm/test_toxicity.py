@@ -82,3 +82,24 @@ def test_query_columns(shipped, sf_dir):
     for r in rows:
         assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2)
         assert r["predicted"] == int(r["score"] >= 0.3) and 0 <= r["score"] <= 1
+
+
+def test_words_of_a_rare_language_are_learned(shipped):
+    docs, labels = corpus(600, 3)
+    rng = np.random.default_rng(4)
+    held = lambda i: zlib.crc32(str(i).encode()) % 4 == 2
+    for i in range(1000, 1060):
+        words = [f"z{''.join(rng.choice(list('klmnop'), 4))}" for _ in range(40)]
+        bad = i % 5 == 0
+        if bad:
+            words[7:7] = ["zmalvado", "zhorrible", "zmalvado"]
+        docs.append((i, " ".join(words), "es", i))
+        labels.append((i, int(bad)))
+    d = shipped.createDataFrame(docs, "doc_id long, text string, toxic string, fold int")
+    model = tx.train(d, shipped.createDataFrame(labels, "doc_id long, toxic int"))
+    assert model.scores["zmalvado"] > 0
+    truth = dict(labels)
+    got = {r["doc_id"]: r["score"] for r in tx.score(d, model).select("doc_id", "toxicity.*").collect()}
+    out = [i for i in got if i >= 1000 and held(i)]
+    assert any(truth[i] for i in out)
+    assert all((got[i] >= 0.3) == bool(truth[i]) for i in out)

@@ -5,7 +5,8 @@ document is a sequence of such scores; one linear scan finds every maximal segme
 beats all that could extend it. Segment scores are judged by extreme-value statistics: with the
 words of clean documents as background, the best segment of n words exceeds s by chance with
 probability 1 - exp(-K n exp(-lambda s)). The significance of a document's segments is turned
-into a probability on labelled documents that took no part in the word scores.
+into a probability by cross-fitting: each labelled document is judged by scores learned without
+its fold.
 """
 
 from __future__ import annotations
@@ -33,15 +34,16 @@ class Training:
     """documents, features: bounds of the fit, as labelled documents used (chosen by hash) and
     features kept (those of clearest log-odds). prefixes: lengths of the word beginnings that
     are features besides whole words. prior and flat: the Dirichlet prior of a feature, in
-    documents, as prior times its overall share plus flat. clear: least root of the likelihood
-    ratio, high enough for a million features by chance. gap: score of a word without features."""
+    documents, as prior times its overall share plus flat. clear: roots of the likelihood ratio,
+    of which cross-fitting chooses the least that a feature must have; the highest is enough for
+    a million features by chance. gap: score of a word without features."""
 
     documents: int = 20_000
     features: int = 50_000
     prefixes: tuple[int, ...] = (4, 5, 6)
     prior: float = 1.0
     flat: float = 0.5
-    clear: float = 4.7
+    clear: tuple[float, ...] = (3.0, 3.5, 4.0, 4.7)
     gap: float = -0.25
 
 
@@ -132,27 +134,29 @@ def remainder() -> Column:
 
 
 def _count(batches: Iterator[pd.DataFrame], prefixes: tuple[int, ...]) -> Iterator[pd.DataFrame]:
-    """Per batch: how many clean and toxic documents hold each feature, and uses of it in clean
-    ones. The row with an empty feature counts the documents and clean words themselves."""
+    """Per batch and fold: how many clean and toxic documents hold each feature, and uses of it in
+    clean ones. The row with an empty feature counts the documents and clean words themselves."""
     for batch in batches:
-        docs, uses = (Counter(), Counter()), Counter()
-        for text, toxic in zip(batch["text"], batch["toxic"], strict=True):
-            words = Counter(WORD.findall((text or "").lower()))
-            held = {f for w in words for f in features(w, prefixes)}
-            docs[toxic].update(held)
-            docs[toxic][""] += 1
-            if not toxic:
-                uses.update(words)
-                uses[""] += words.total()
-        found = list(docs[0].keys() | docs[1].keys())
-        yield pd.DataFrame(
-            {
-                "feature": found,
-                "docs0": [docs[0][f] for f in found],
-                "docs1": [docs[1][f] for f in found],
-                "uses0": [uses[f] for f in found],
-            }
-        )
+        for fold, part in batch.groupby("fold"):
+            docs, uses = (Counter(), Counter()), Counter()
+            for text, toxic in zip(part["text"], part["toxic"], strict=True):
+                words = Counter(WORD.findall((text or "").lower()))
+                held = {f for w in words for f in features(w, prefixes)}
+                docs[toxic].update(held)
+                docs[toxic][""] += 1
+                if not toxic:
+                    uses.update(words)
+                    uses[""] += words.total()
+            found = list(docs[0].keys() | docs[1].keys())
+            yield pd.DataFrame(
+                {
+                    "fold": int(fold),
+                    "feature": found,
+                    "docs0": [docs[0][f] for f in found],
+                    "docs1": [docs[1][f] for f in found],
+                    "uses0": [uses[f] for f in found],
+                }
+            )
 
 
 def _mark(text: str | None) -> tuple[int, int]:
@@ -209,9 +213,65 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 EMPTY = Model({}, (), -1.0, 1.0, 0.0, -3.0, 0.0)
 
 
+def _fits(counted: DataFrame, how: Training) -> list[Model] | None:
+    """A model for each of how.clear, without law and probability; None if one kind is missing."""
+    totals = counted.where("feature = ''").first()
+    if totals is None or not totals["docs0"] or not totals["docs1"]:
+        return None
+    n0, n1 = float(totals["docs0"]), float(totals["docs1"])
+    share = (F.col("docs0") + F.col("docs1")) / F.lit(n0 + n1)
+    y0, y1 = (F.col(n) + share * how.prior + how.flat for n in ("docs0", "docs1"))
+    more = how.prior + 2 * how.flat
+    odds = F.log(y1 / (n1 + more - y1)) - F.log(y0 / (n0 + more - y0))
+    error = F.sqrt(1.0 / y1 + 1.0 / y0)
+    split = _likelihood("docs0", n0) + _likelihood("docs1", n1)
+    both = _likelihood("docs0", n0, share) + _likelihood("docs1", n1, share)
+    listed = (
+        counted.where("feature <> '' and docs0 + docs1 > 0")
+        .select("feature", "uses0", odds.alias("score"), error.alias("error"), (2 * (split - both)).alias("ratio"))
+        .where((F.col("ratio") >= min(how.clear) ** 2) & (F.abs("score") > F.col("error")))
+        .orderBy(F.desc("ratio"), "feature")
+        .limit(how.features)
+        .collect()
+    )
+    out = []
+    for clear in how.clear:
+        kept = [r for r in listed if r["ratio"] >= clear**2]
+        # A score shrinks by its own error, so features seen a few times say little.
+        scores = {r["feature"]: math.copysign(abs(r["score"]) - r["error"], r["score"]) for r in kept}
+        words = [r for r in kept if r["feature"][0] != "~"]
+        uses = np.array([r["uses0"] + how.flat for r in words])
+        values = np.array([*(scores[r["feature"]] for r in words), how.gap])
+        shares = np.append(uses, max(float(totals["uses0"]) - uses.sum(), 1.0))
+        out.append(Model(scores, how.prefixes, how.gap, _lambda(values, shares / shares.sum()), 0.0, 0.0, 1.0))
+    return out
+
+
+def _judged(rows: DataFrame, models: list[Model], measure) -> list:
+    """(toxic, n words, measure(words, segments, model) for each model) of all rows."""
+
+    @F.pandas_udf("n long, value array<double>")
+    def scan(texts: pd.Series) -> pd.DataFrame:
+        memos: list[dict] = [{} for _ in models]
+        out = []
+        for text in texts:
+            read = [(model, *passages(text, model, memo)) for model, memo in zip(models, memos, strict=True)]
+            out.append((read[0][1], [float(measure(n, found, model)) for model, n, found in read]))
+        return pd.DataFrame(out, columns=["n", "value"])
+
+    return rows.select("toxic", scan("text").alias("s")).select("toxic", "s.*").collect()
+
+
+def _loss(x: np.ndarray, y: np.ndarray, a: float, b: float) -> float:
+    """Mean negative log-likelihood of the labels."""
+    t = np.clip(a + b * x, -30, 30)
+    return float(np.mean(np.log1p(np.exp(t)) - y * t))
+
+
 def train(docs: DataFrame, labels: DataFrame, how: Training = Training()) -> Model:
-    """Word scores from training documents with remainder 0 or 1, the law and the probability
-    from those with remainder 3; documents with remainder 2 are left out.
+    """Word scores from all labelled documents whose remainder is not 2. The law, the probability
+    and the least likelihood ratio of a feature come from the same documents by cross-fitting:
+    those of each remainder are judged by scores learned from the other two.
 
     A feature's weight is the log-odds that a toxic rather than a clean document holds it.
     At most how.documents labelled rows (smallest hash of the id) are used: they are broadcast,
@@ -234,66 +294,53 @@ def train(docs: DataFrame, labels: DataFrame, how: Training = Training()) -> Mod
     # the same smallest word triple under either of two hashes, one stays.
     used = used.select("*", _marks(F.col("text")).alias("mark")).select("text", "toxic", "fold", "mark.*")
     used = saved(used.dropDuplicates(["a"]).dropDuplicates(["b"]), "labelled")
-    fit, judge = used.where("fold <> 3"), used.where("fold = 3")
 
-    lengths = how.prefixes
-    counted = fit.select("text", "toxic").mapInPandas(
-        lambda batches: _count(batches, lengths), "feature string, docs0 long, docs1 long, uses0 long"
+    lengths, folds = how.prefixes, (0, 1, 3)
+    counted = used.select("text", "toxic", "fold").mapInPandas(
+        lambda batches: _count(batches, lengths), "fold int, feature string, docs0 long, docs1 long, uses0 long"
     )
     names = ("docs0", "docs1", "uses0")
-    counted = saved(counted.groupBy("feature").agg(*(F.sum(n).alias(n) for n in names)), "features")
-    totals = counted.where("feature = ''").first()
-    if totals is None or not totals["docs0"] or not totals["docs1"]:
+    per_fold = [
+        F.sum(F.when(F.col("fold") == k, F.col(n)).otherwise(0)).alias(f"{n}_{k}") for k in folds for n in names
+    ]
+    counted = saved(counted.groupBy("feature").agg(*per_fold), "features")
+
+    def over(some) -> DataFrame:
+        return counted.select("feature", *(sum(F.col(f"{n}_{k}") for k in some).alias(n) for n in names))
+
+    finals = _fits(over(folds), how)
+    if finals is None:
         return EMPTY
-    n0, n1 = float(totals["docs0"]), float(totals["docs1"])
-    share = (F.col("docs0") + F.col("docs1")) / F.lit(n0 + n1)
-    y0, y1 = (F.col(n) + share * how.prior + how.flat for n in ("docs0", "docs1"))
-    more = how.prior + 2 * how.flat
-    odds = F.log(y1 / (n1 + more - y1)) - F.log(y0 / (n0 + more - y0))
-    error = F.sqrt(1.0 / y1 + 1.0 / y0)
-    split = _likelihood("docs0", n0) + _likelihood("docs1", n1)
-    both = _likelihood("docs0", n0, share) + _likelihood("docs1", n1, share)
-    kept = (
-        counted.where("feature <> ''")
-        .select("feature", "uses0", odds.alias("score"), error.alias("error"), (2 * (split - both)).alias("ratio"))
-        .where((F.col("ratio") >= how.clear**2) & (F.abs("score") > F.col("error")))
-        .orderBy(F.desc("ratio"), "feature")
-        .limit(how.features)
-        .collect()
-    )
-    # A score shrinks by its own error, so features seen a few times say little.
-    scores = {r["feature"]: math.copysign(abs(r["score"]) - r["error"], r["score"]) for r in kept}
-    words = [r for r in kept if r["feature"][0] != "~"]
-    uses = np.array([r["uses0"] + how.flat for r in words])
-    values = np.array([*(scores[r["feature"]] for r in words), how.gap])
-    shares = np.append(uses, max(float(totals["uses0"]) - uses.sum(), 1.0))
-    steep = _lambda(values, shares / shares.sum())
-    model = Model(scores, lengths, how.gap, steep, 0.0, 0.0, 1.0)
-
-    def judged(model: Model, measure) -> list:
-        """(toxic, measure(words, segments)) of the documents kept for the law."""
-
-        @F.pandas_udf("n long, value double")
-        def scan(texts: pd.Series) -> pd.DataFrame:
-            memo: dict = {}
-            rows = [(n, measure(n, found, model)) for n, found in (passages(t, model, memo) for t in texts)]
-            return pd.DataFrame(rows, columns=["n", "value"])
-
-        return judge.select("toxic", scan("text").alias("s")).select("toxic", "s.*").collect()
-
-    best = judged(model, lambda n, found, _: max((s for s, _, _ in found), default=0.0))
+    parts = []
+    for k in folds:
+        models = _fits(over([j for j in folds if j != k]), how)
+        if models is not None:
+            parts.append((used.where(F.col("fold") == k), models))
+
     # One clean document in twenty has a best segment beyond the level at which K n exp(-lambda s)
     # is -log(0.95): that fixes K.
-    tails = [steep * r["value"] - math.log(r["n"]) for r in best if not r["toxic"] and r["n"]]
-    spread = float(np.quantile(tails, 0.95)) + math.log(-math.log(0.95)) if tails else 0.0
-    model = replace(model, spread=spread)
-    seen = judged(model, significance)
-    x = np.array([r["value"] for r in seen])
+    tails: list[list[float]] = [[] for _ in how.clear]
+    for rows, models in parts:
+        for r in _judged(rows, models, lambda n, found, _: max((s for s, _, _ in found), default=0.0)):
+            if not r["toxic"] and r["n"]:
+                for tail, model, best in zip(tails, models, r["value"], strict=True):
+                    tail.append(model.steepness * best - math.log(r["n"]))
+    spreads = [float(np.quantile(t, 0.95)) + math.log(-math.log(0.95)) if t else 0.0 for t in tails]
+    seen = []
+    for rows, models in parts:
+        lawful = [replace(m, spread=s) for m, s in zip(models, spreads, strict=True)]
+        seen += _judged(rows, lawful, significance)
+    x = np.minimum(np.array([r["value"] for r in seen]), 50.0)
     y = np.array([float(r["toxic"]) for r in seen])
     if not len(y) or y.min() == y.max():
-        return replace(model, a=-4.0, b=0.5)
-    a, b = _logistic(np.minimum(x, 50.0), y)
-    return replace(model, a=a, b=b)
+        return replace(finals[-1], spread=spreads[-1], a=-4.0, b=0.5)
+    # Rows come in no fixed order and sums of floats depend on it.
+    order = np.lexsort((*x.T, y))
+    x, y = x[order], y[order]
+    curves = [_logistic(x[:, i], y) for i in range(len(how.clear))]
+    losses = [_loss(x[:, i], y, *curve) for i, curve in enumerate(curves)]
+    i = int(np.argmin(losses))
+    return replace(finals[i], spread=spreads[i], a=curves[i][0], b=curves[i][1])
 
 
 def score(docs: DataFrame, model: Model, name: str = "toxicity") -> DataFrame:
