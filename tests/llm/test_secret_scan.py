@@ -82,3 +82,24 @@ def test_cleaned_texts_hold_no_secret(shipped, sf_dir):
     assert cleaned.count() == docs.count()
     again = ss.scan_texts(cleaned).select("found.*")
     assert again.where("n_access + n_hex + n_assign > 0").count() == 0
+
+
+def blanked(text, key):
+    return key not in ss.redact(text, ss.find(text)) and [x for x in ss.find(text) if x[1] == "random"]
+
+
+KEY = "vT9qLx2RbW7mK0pYc4HdZs8n"
+
+
+@pytest.mark.parametrize("key", ["qzkvxjwhtbgplmrdnsfyqxoezuwkvjch", "QZKVXJWHTBGPLMRDNSFYQXOEZUWKVJCH", KEY])
+@pytest.mark.parametrize("before", ["", "my-production-service-account-key-", "com/reset/password-recovery/confirm/"])
+def test_keys_of_one_case_and_keys_next_to_words(key, before):
+    assert blanked(f"see {before}{key} now", key)
+
+
+def test_readable_names_are_no_keys():
+    for text in [
+        "HAVE_LINUX_VM_SOCKETS_H", "HAVE_SCHED_GET_PRIORITY_MAX", "com/reset/password-recovery/confirm/page",
+        "donaudampfschifffahrtsgesellschaft", "=-=-=-=-=-=-=-=-=-=-=-=-=-", "my-production-service-account-key-",
+    ]:
+        assert [x for x in ss.find(text) if x[1] == "random"] == []

@@ -2,7 +2,8 @@
 
 Random strings cost many tokens: a vocabulary trained on prose has few long pieces for them.
 A run of key-like characters that gets less than `max_ratio` characters out of each token is
-reported, unless it is a known digest or identifier.
+reported, unless it is a known digest or identifier. Of a readable run, the parts between
+separators and the stretches of short tokens are tested alone, so words next to a key do not hide it.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weekgrain.llm.common import table
+from weekgrain.llm.toxicity import segments
 
 # fixed values: the base patterns, by kind, in the order of the kinds
 ASSIGN = re.compile(
@@ -34,14 +36,19 @@ CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 DIGEST = re.compile(r"(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128})\Z", re.I)
 UUID = re.compile(r"[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}\Z", re.I)
 NUMBER = re.compile(r"[0-9_=+/-]+\Z")
+LEAST = 20  # characters of a candidate
+PART = re.compile(r"[A-Za-z0-9]+")
+KNOWN = re.compile(rf"(?<![A-Za-z0-9])(?:{UUID.pattern[:-2]}|{DIGEST.pattern[:-2]})(?![A-Za-z0-9])", re.I)
 
 
 @dataclass(frozen=True)
 class Scan:
-    """vocabulary: a tiktoken rank file, the installed one if none is named."""
+    """vocabulary: a tiktoken rank file, the installed one if none is named. excess: tokens that a
+    stretch inside a readable run must have beyond its characters over max_ratio."""
 
     vocabulary: str | None = None
     max_ratio: float = 2.0
+    excess: float = 2.5
 
 
 @lru_cache(maxsize=4)
@@ -54,21 +61,59 @@ def encoding(path: str | None):
     return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
-def _mixed(run: str) -> bool:
-    """Prose has one kind of letter after the first; a key mixes digits and cases."""
-    kinds = (any(c.isdigit() for c in run), any(c.islower() for c in run), any(c.isupper() for c in run[1:]))
-    return sum(kinds) >= 2
+def _key_like(run: str) -> bool:
+    """Long enough, and of letters that no drawing, number or sequence of bases is made of."""
+    return len(run) >= LEAST and len(set(run)) > 4 and 4 * sum(c.isalpha() for c in run) >= len(run)
 
 
-def random_runs(text: str, scan: Scan) -> list[tuple[int, int]]:
-    """Spans of key-like runs that the vocabulary compresses badly."""
+def _name(run: str) -> bool:
+    """Words of one kind of letter, joined by separators, as in names of constants and paths. Many
+    of them are near two characters a token, so they need more evidence than a ratio."""
+    kinds = (any(c.isdigit() for c in run), any(c.islower() for c in run), any(c.isupper() for c in run[1:]))
+    return sum(kinds) < 2 and PART.fullmatch(run) is None
+
+
+def _short(run: str, scan: Scan) -> bool:
+    return len(run) < scan.max_ratio * len(encoding(scan.vocabulary).encode_ordinary(run))
+
+
+def _stretches(run: str, scan: Scan) -> list[tuple[int, int]]:
+    """Parts of a readable run that the vocabulary compresses badly: those between separators,
+    and the maximal segments of short tokens, widened to whole parts."""
+    parts = [m.span() for m in PART.finditer(run)]
+    found = [(a, b) for a, b in parts if _key_like(run[a:b]) and _short(run[a:b], scan)]
+    enc = encoding(scan.vocabulary)
+    ends = [0]
+    for token in enc.encode_ordinary(run):
+        ends.append(ends[-1] + len(enc.decode_single_token_bytes(token)))
+    scores = [1 - (b - a) / scan.max_ratio for a, b in zip(ends, ends[1:])]
+    for score, first, last in segments(scores, list(range(len(scores))), -1.0):
+        if score >= scan.excess:
+            start, end = ends[first], ends[last + 1]
+            start = min([start, *(a for a, b in parts if a <= start < b)])
+            end = max([end, *(b for a, b in parts if a < end <= b)])
+            if _key_like(run[start:end]):
+                found.append((start, end))
+    return merged(found)
+
+
+def random_runs(text: str, scan: Scan, taken: list[tuple[int, int]] = []) -> list[tuple[int, int]]:  # noqa: B006
+    """Spans of key-like runs that the vocabulary compresses badly, without what is taken (spans in
+    order) and without known digests and identifiers."""
     found = []
+    starts = [a for a, _ in taken]
     for m in CANDIDATE.finditer(text):
-        run = m[0]
-        if not _mixed(run) or DIGEST.match(run) or UUID.match(run) or NUMBER.match(run):
-            continue
-        if len(run) < scan.max_ratio * len(encoding(scan.vocabulary).encode_ordinary(run)):
-            found.append(m.span())
+        holes = taken[max(bisect_left(starts, m.start()) - 1, 0) : bisect_left(starts, m.end())]
+        holes = merged([*holes, *(k.span() for k in KNOWN.finditer(text, *m.span()))])
+        at = m.start()
+        for start, end in [*holes, (m.end(), m.end())]:
+            run = text[at:start]
+            if len(run) >= LEAST and not NUMBER.match(run) and len(set(run)) > 4:
+                if not _name(run) and _short(run, scan):
+                    found.append((at, start))
+                else:
+                    found += [(at + a, at + b) for a, b in _stretches(run, scan)]
+            at = max(at, end)
     return found
 
 
