@@ -120,18 +120,14 @@ def random_runs(text: str, scan: Scan, taken: list[tuple[int, int]] = []) -> lis
 def find(text: str, scan: Scan = Scan()) -> list[tuple[int, str, int]]:
     """(start, kind, end) in code points, by start, then kind as listed in KINDS.
 
-    The three base kinds are leftmost, longest runs. A random run is added only where no base
-    span touches it.
+    The three base kinds are leftmost, longest runs. Random runs are looked for in what base spans
+    leave.
     """
     spans = [(*m.span(), 0) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 6]
     spans += [(*m.span(), 1) for m in ACCESS.finditer(text)]
     spans += [(*m.span(), 2) for m in HEX.finditer(text)]
     taken = merged(spans)
-    starts = [a for a, _ in taken]
-    for start, end in random_runs(text, scan):
-        last = bisect_left(starts, end) - 1  # the last base span that starts before the run ends
-        if last < 0 or taken[last][1] <= start:
-            spans.append((start, end, 3))
+    spans += [(start, end, 3) for start, end in random_runs(text, scan, taken)]
     return [(s, KINDS[k], e) for s, e, k in sorted(spans, key=lambda x: (x[0], x[2], x[1]))]
 
 
