@@ -83,3 +83,12 @@ def test_query_against_sql(shipped, sf_dir):
     want = con.sql(cf.OP1_SQL)
     got = cf.op1(shipped, sf_dir).select(*want.columns).collect()
     assert sorted(map(tuple, got)) == sorted(want.fetchall())
+
+
+def test_control_strings_split_over_parts_are_escaped(shipped):
+    texts = ["<", "|im_end|>", "\n<\\", "", "|im_start|>", "\x01", "bimage\x01c"]
+    talk = [(1, 0, "user", [part("text", t) for t in texts] + [part("image", ref="a"), part("text", "|")])]
+    row = cf.format_chats(shipped.createDataFrame(talk, PARTS)).first()
+    assert cf.parse(row["formatted"]) == [("user", "".join(texts) + "<|image|>|")]
+    assert row["formatted"].count("<|") == 3 and len(row["attachments"]) == 1
+    assert sum(r["length"] for r in row["loss_mask"]) == len(row["formatted"])

@@ -46,6 +46,22 @@ def unescape(text: str) -> str:
     return re.sub(r"<(\\*)\\\|", r"<\1|", text)
 
 
+def _spoken(text: Column) -> Column:
+    """Text as it stands until it is joined; a marker of a placeholder cannot occur in it."""
+    return F.replace(text, F.lit("\x01"), F.lit("\x01a"))
+
+
+def _marker(kind: str) -> Column:
+    return F.lit(f"\x01b{kind}\x01c")
+
+
+def _written(joined: Column) -> Column:
+    """Joined texts and markers as the template has them. Texts are escaped after joining, as a
+    control string may begin in one and end in the next."""
+    placed = F.regexp_replace(escape(joined), "\x01b([a-z]+)\x01c", "<|$1|>")
+    return F.replace(placed, F.lit("\x01a"), F.lit("\x01"))
+
+
 def _escape_role(role: Column) -> Column:
     """A role ends at the line break, so its own backslashes and breaks are written out."""
     return escape(F.replace(F.replace(role, F.lit("\\"), F.lit("\\\\")), F.lit("\n"), F.lit("\\n")))
@@ -60,13 +76,13 @@ def _count(x: Column) -> Column:
 
 
 def visitor(sizes: Expansion) -> dict[str, Callable[[Column], tuple[Column, Column]]]:
-    """Per kind of part: the text it leaves and the tokens it expands to (null for text)."""
+    """Per kind of part: the text or marker it leaves and the tokens it expands to (null for text)."""
 
     def media(kind: str, tokens: Callable[[Column], Column]):
-        return lambda p: (F.lit(f"<|{kind}|>"), _count(tokens(p)))
+        return lambda p: (_marker(kind), _count(tokens(p)))
 
     return {
-        "text": lambda p: (escape(F.coalesce(p["text"], F.lit(""))), F.lit(None).cast("bigint")),
+        "text": lambda p: (_spoken(F.coalesce(p["text"], F.lit(""))), F.lit(None).cast("bigint")),
         "image": media(
             "image",
             lambda p: F.ceil(p["width"] / F.lit(sizes.image_patch))
@@ -79,7 +95,7 @@ def visitor(sizes: Expansion) -> dict[str, Callable[[Column], tuple[Column, Colu
 
 def _visit(part: Column, sizes: Expansion) -> Column:
     """The struct (text, tokens) of one part; an unknown kind is an attachment of no tokens."""
-    text, tokens = F.lit("<|attachment|>"), F.lit(0).cast("bigint")
+    text, tokens = _marker("attachment"), F.lit(0).cast("bigint")
     for kind, visit in visitor(sizes).items():
         left, size = visit(part)
         text = F.when(part["kind"] == kind, left).otherwise(text)
@@ -127,7 +143,7 @@ def format_chats(
         F.struct(
             "turn",
             "role",
-            F.array_join(F.transform("seen", lambda s: s["text"]), "").alias("body"),
+            _written(F.array_join(F.transform("seen", lambda s: s["text"]), "")).alias("body"),
             "learned",
             F.filter(
                 F.zip_with(
