@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from weekgrain.llm import set_sketch as sk
 
@@ -56,6 +57,23 @@ def test_large_buckets_are_compared_in_blocks(shipped, monkeypatch):
     assert got == brute(docs)
 
 
+def test_families_beyond_one_block_are_compared_whole(shipped, monkeypatch):
+    made, blocked = [], sk.blocked
+
+    def counting(homes, probes, key, *rest):
+        work = blocked(homes, probes, key, *rest)
+        made.extend(r["n"] for r in work.groupBy(*key).agg(F.countDistinct("unit").alias("n")).collect())
+        return work
+
+    monkeypatch.setattr(sk, "blocked", counting)
+    docs = copies(random.Random(9), groups=2, each=40)
+    df = shipped.createDataFrame(docs, "doc_id long, text string")
+    found = sk.groups(df, sk.Sketch(block=4))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in found.collect()}
+    assert got == brute(docs)
+    assert max(made) > 1
+
+
 def test_odd_rows(shipped, odd_docs, no_docs):
     rows = [(20, "A b\tC", 1), (21, "a B c", 1), (22, "a b", 1), (23, " x", 1), (24, "É", 1), (25, "é", 1), (26, "\x1c", 1)]
     df = shipped.createDataFrame(rows, "doc_id long, text string, k1 int")
