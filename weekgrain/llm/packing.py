@@ -11,83 +11,29 @@ and each finds its place in the plan by its number.
 
 from __future__ import annotations
 
-import os
-import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from weekgrain.llm.common import saved, table
+from weekgrain.llm.word_ids import slices, word_ids
 
 CAPACITY = 4096
 END_ID = 1
-MEMO = 500_000
-
-# Within these letters the pretoken pattern needs no Unicode properties, lower-casing goes letter
-# by letter and nothing composes; other texts, control characters and special strings go to the
-# library whole.
-LATIN = "\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f"
-PLAIN = re.compile(f"[\t-\r -~{LATIN}]*\\Z")
-# fixed value: the pretoken pattern of the word vocabulary, for these letters
-WORDS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[a-z{LATIN}]+|[0-9]|[^\t-\r a-z0-9{LATIN}]+")
-
-
-class Encoder:
-    """Token ids of texts, as packed 32-bit little-endian integers. White space parts pretokens,
-    so what stands between it always has the same ids; these are remembered. New strings are
-    encoded together, and their ids told apart by the tokens that end a word."""
-
-    def __init__(self, path: str) -> None:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task per core
-        from tokenizers import Tokenizer
-
-        self.library = Tokenizer.from_file(path)
-        self.memo: dict[str, bytes] = {}
-        vocabulary = self.library.get_vocab()
-        suffix = self.library.model.end_of_word_suffix
-        self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
-        self.ends[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
-
-    def _ids(self, text: str) -> np.ndarray:
-        return np.asarray(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4")
-
-    def _learn(self, new: list[str]) -> None:
-        for at in range(0, len(new), 10_000):
-            part = new[at : at + 10_000]
-            ids = self._ids(" ".join(part))
-            last = np.flatnonzero(self.ends[ids]) + 1  # where each word's ids end
-            words = np.cumsum([len(WORDS.findall(x)) for x in part])
-            if len(last) != words[-1]:
-                raise ValueError("the vocabulary does not mark word ends")
-            packed, stops = ids.tobytes(), (4 * last[words - 1]).tolist()
-            for x, start, stop in zip(part, [0, *stops[:-1]], stops, strict=True):
-                self.memo[x] = packed[start:stop]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        parts = [t.lower().split() if "<|" not in t and PLAIN.match(t) else None for t in texts]
-        if len(self.memo) > MEMO:
-            self.memo.clear()
-        memo = self.memo
-        self._learn(list({x for p in parts if p for x in p if x not in memo}))
-        return [
-            self._ids(t).tobytes() if p is None else b"".join(map(memo.__getitem__, p))
-            for t, p in zip(texts, parts, strict=True)
-        ]
-
-
-@lru_cache(maxsize=2)
-def encoder(path: str | None) -> Encoder:
-    import public_tokenizers
-
-    return Encoder(path or public_tokenizers.path("word_bpe_49k.json"))
+PIECE = [
+    StructField("piece", IntegerType()),
+    *[StructField(name, LongType()) for name in ("start", "length", "ids_crc32", "place")],
+]
 
 
 def cut(ids: bytes, capacity: int) -> list[tuple[int, int, int, int]]:
@@ -98,30 +44,31 @@ def cut(ids: bytes, capacity: int) -> list[tuple[int, int, int, int]]:
     return [(k, k * capacity, len(p) // 4, zlib.crc32(p)) for k, p in enumerate(parts)]
 
 
-def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
+def numbered_pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, and the piece's number (place) among those of its
-    length in its part of the table (part). Written out, as the numbers hold for one run only."""
-
-    @F.pandas_udf("array<struct<piece:int,start:long,length:long,ids_crc32:long,place:long>>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        machine, seen = encoder(path), Counter()
-        end = np.asarray([END_ID], dtype="<u4").tobytes()
-        for texts in batches:
-            texts = ["" if t is None else t for t in texts]
-            out = []
-            for at in range(0, len(texts), 128):
-                for ids in machine.encode(texts[at : at + 128]):
-                    found = []
-                    for piece, start, length, crc in cut(ids + end, capacity):
-                        found.append((piece, start, length, crc, seen[length]))
+    length in its part of the table (part)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        machine, seen = word_ids(path), Counter()
+        for batch in batches:
+            texts = ["" if t is None else t for t in batch.column("text").to_pylist()]
+            for part in slices(texts):
+                ids, sizes = machine.closed(texts[part], END_ID)
+                packed, at, rows = ids.tobytes(), 0, []
+                for row, size in enumerate((4 * sizes).tolist(), part.start):
+                    for piece, start, length, crc in cut(packed[at : at + size], capacity):
+                        rows.append((row, piece, start, length, crc, seen[length]))
                         seen[length] += 1
-                    out.append(found)
-            names = ("piece", "start", "length", "ids_crc32", "place")
-            yield pd.Series([[dict(zip(names, p, strict=True)) for p in found] for found in out])
+                    at += size
+                found = np.asarray(rows, dtype=np.int64).T
+                made = [batch.column("doc_id").take(pa.array(found[0])), *map(pa.array, found[1:])]
+                yield pa.RecordBatch.from_arrays([m.cast(t.type) for m, t in zip(made, schema, strict=True)], schema=schema)
 
-    made = docs.select("doc_id", run("text").alias("made"))
-    made = made.select("doc_id", F.spark_partition_id().alias("part"), F.explode("made").alias("p"))
-    return saved(made.select("doc_id", "part", "p.*"), "pieces")
+    columns = docs.select("doc_id", "text")
+    out = StructType([columns.schema["doc_id"], *PIECE])
+    schema = to_arrow_schema(out)
+    # An operator of its own, so that no filter can pull a second run of it below another.
+    return columns.mapInArrow(run, out).withColumn("part", F.spark_partition_id())
 
 
 @dataclass(frozen=True)
@@ -295,7 +242,8 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) ->
     The driver sees the histogram, at most `capacity` rows; tasks get the plan, whose size
     depends on the histogram, not on the number of pieces.
     """
-    cut_up = pieces(docs, path, capacity)
+    # Written out, as the numbers of the pieces hold for one run only.
+    cut_up = saved(numbered_pieces(docs, path, capacity), "pieces")
     per_part = cut_up.groupBy("length", "part").agg((F.max("place") + 1).alias("n"))
     before = W.partitionBy("length").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
     # One row per part in each window: the parts of the table, not its pieces.

@@ -25,6 +25,9 @@ NAMES = {
     "op10_set_sketch": "set_sketch.op10",
     "op8_decontaminate": "decontaminate.op8",
     "op9_toxicity": "toxicity.op9",
+    "op11_resampling": "resampling.op11",
+    "op12_periodic": "periodic.op12",
+    "op13_token_output": "token_output.op13",
 }
 _shipped: set[str] = set()
 
