@@ -57,7 +57,7 @@ def test_large_buckets_are_compared_in_blocks(shipped, monkeypatch):
     assert got == brute(docs)
 
 
-def test_families_beyond_one_block_are_compared_whole(shipped, monkeypatch):
+def test_buckets_beyond_one_block_are_compared_whole(shipped, monkeypatch):
     made, blocked = [], sk.blocked
 
     def counting(homes, probes, key, *rest):
@@ -68,7 +68,7 @@ def test_families_beyond_one_block_are_compared_whole(shipped, monkeypatch):
     monkeypatch.setattr(sk, "blocked", counting)
     docs = copies(random.Random(9), groups=2, each=40)
     df = shipped.createDataFrame(docs, "doc_id long, text string")
-    found = sk.groups(df, sk.Sketch(block=4))
+    found = sk.groups(df, sk.Sketch(block=4, bands=60, rows=1))
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in found.collect()}
     assert got == brute(docs)
     assert max(made) > 1
@@ -114,3 +114,26 @@ def test_query_against_all_pairs(shipped, sf_dir):
     got = {r["doc_id"]: r for r in sk.op10(shipped, sf_dir).collect()}
     assert {i: (r["n_shingles"], r["component_id"]) for i, r in got.items()} == want
     assert all(r["kept"] == (i == r["component_id"]) for i, r in got.items())
+
+
+def test_unlike_texts_of_one_id(shipped):
+    rng = random.Random(2)
+    text = [" ".join(f"t{k}w{rng.randint(0, 900)}" for _ in range(60)) for k in range(4)]
+    rows = [(1, text[0]), (5, text[0]), (5, text[1]), (5, text[1]), (5, text[2]), (6, text[2]), (2, text[3]), (2, text[2])]
+    df = shipped.createDataFrame(rows, "doc_id long, text string")
+    got = [(r["doc_id"], r["component_id"]) for r in sk.groups(df).collect()]
+    assert sorted(got) == [(1, 1), (2, 2), (2, 2), (5, 1), (5, 2), (5, 5), (5, 5), (6, 2)]
+    left = sorted(tuple(r) for r in sk.deduplicated(df, sk.Sketch(words=4)).collect())
+    assert left == sorted([(1, text[0]), (5, text[1]), (2, text[3]), (2, text[2])])
+
+
+def test_full_sets_read_each_text_once(shipped):
+    docs = shipped.createDataFrame(copies(random.Random(3), 2, 4), "doc_id long, text string")
+    named = docs.select("doc_id").where("doc_id < 3").withColumnRenamed("doc_id", "id")
+    for bits in (1 << 23, 64):
+        full = sk._full_sets(docs, named, sk.Sketch(bits=bits))
+        plan = full.where("k1 is not null")._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("MapInArrow") == 1 and "ArrowEvalPython" not in plan
+        got = {r["id"]: r["set"] for r in full.collect()}
+        assert set(got) >= {0, 1, 2} and (bits == 64 or len(got) == 3)
+        assert len(got[0]) == len(shingles(docs.where("doc_id = 0").first()["text"]))

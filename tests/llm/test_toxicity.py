@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+from pyspark.sql import functions as F
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -103,3 +104,23 @@ def test_words_of_a_rare_language_are_learned(shipped):
     out = [i for i in got if i >= 1000 and held(i)]
     assert any(truth[i] for i in out)
     assert all((got[i] >= 0.3) == bool(truth[i]) for i in out)
+
+
+def test_equal_scores_in_any_order_of_rows(shipped):
+    docs, labels = corpus(300, 6)
+    docs += [(2000 + i, docs[i][1], "x", i) for i in range(0, 200, 3)]  # copies under other ids
+    labels += [(2000 + i, 1 - dict(labels)[i]) for i in range(0, 200, 3)]
+    l = shipped.createDataFrame(labels, "doc_id long, toxic int")
+    d = shipped.createDataFrame(docs, "doc_id long, text string, toxic string, fold int")
+    assert tx.train(d, l) == tx.train(d.repartition(7, F.rand(3)).sort(F.rand(5)), l)
+
+
+def test_only_copies_are_merged(shipped):
+    name = lambda i: "".join(chr(97 + int(c)) for c in str(i))
+    base = ["w" + name(i) for i in range(200)]
+    near, far = base[:150] + ["x"] + base[151:], base[:60] + ["y" + name(i) for i in range(140)]
+    rows = [(3, " ".join(base), 0), (1, " ".join(near), 1), (2, " ".join(far), 0), (5, " ".join(far), 0), (4, "", 1), (6, "", 0)]
+    df = shipped.createDataFrame(rows, "doc_id long, text string, toxic int").withColumn("a", F.lit(1))
+    for order in (F.asc("doc_id"), F.desc("doc_id")):
+        got = tx._without_copies(df.orderBy(order), "a", 80).select("doc_id", "toxic").collect()
+        assert sorted(map(tuple, got)) == [(1, 1), (2, 0), (4, 1)]

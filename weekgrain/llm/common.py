@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-import re
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,16 +21,39 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_scratch: list[list[str]] = []
+
+
 def saved(df: DataFrame, label: str) -> DataFrame:
     """df written to the shared folder and read again: cuts the lineage, outlives lost
     executors, and gives the planner the table's true size."""
     spark = df.sparkSession
-    label = re.sub(r"\W+", "_", label)
     path = f"{shared_root(spark)}/llm/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    for paths in _scratch:
+        paths.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Remove a table of the shared folder, whatever store it lies in."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables saved within go when it ends: what is made of them must be written by then."""
+    paths: list[str] = []
+    _scratch.append(paths)
+    try:
+        yield
+    finally:
+        _scratch.remove(paths)
+        for path in paths:
+            discard(spark, path)
+
+
 def salted_join(left: DataFrame, right: DataFrame, keys: list[str], by: Column, salts: int = 16) -> DataFrame:
     """left join of many rows on few: each key's rows are spread over `salts` keys by the hash
     of `by`, and right, which has a row per key at most, is repeated for each of them."""

@@ -15,9 +15,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructField, StructType
 
 from weekgrain.llm.blocks import blocked, units
 from weekgrain.llm.common import free_name, salted_join, saved, table
@@ -30,8 +32,10 @@ BATCH = 1 << 18
 class Sketch:
     """words: of a shingle. percent: least 100 * shared / joint. bands of rows registers each:
     at 80 percent a pair misses all bands once in a hundred thousand times. base, rate: of the
-    registers' scale. block: rows of a group that are compared with as many in one unit of work. doubt: twice the log-likelihood that a pair's best similarity may be ahead
-    of `percent` before it is discarded; at 36, once in a billion pairs."""
+    registers' scale. block: rows of a bucket that are compared with as many in one unit of work.
+    bits: of the filter that picks the texts to be read again, a multiple of 64. doubt: twice the
+    log-likelihood that a pair's best similarity may be ahead of `percent` before it is
+    discarded; at 36, once in a billion pairs."""
 
     words: int = 4
     percent: int = 80
@@ -41,6 +45,7 @@ class Sketch:
     rate: float = 20.0
     doubt: float = 36.0
     block: int = 256
+    bits: int = 1 << 23
 
     @property
     def registers(self) -> int:
@@ -154,19 +159,44 @@ def _registers(column: pd.Series, how: Sketch) -> np.ndarray:
     return np.frombuffer(b"".join(column), dtype="<u2").reshape(len(column), how.registers)
 
 
-def _full_sets(docs: DataFrame, named: DataFrame, how: Sketch) -> DataFrame:
-    """node, k1, k2, set: the whole sets of the named documents, whose texts are read again."""
-    words = how.words
+def _marked(ids: DataFrame, bits: int) -> np.ndarray:
+    """A bit for each id, by its hash: of fixed size, however many ids there are."""
+    h = F.pmod(F.xxhash64("id"), F.lit(bits))
+    words = ids.select(h.alias("h")).selectExpr("shiftright(h, 6) AS w", "shiftleft(1L, CAST(h & 63 AS INT)) AS b")
+    out = np.zeros(bits // 64, dtype=np.int64)
+    for row in words.groupBy("w").agg(F.bit_or("b").alias("b")).toLocalIterator():
+        out[row["w"]] = row["b"]
+    return out.view(np.uint64)
 
-    @F.pandas_udf("set array<long>, k1 long, k2 long")
-    def full(texts: pd.Series) -> pd.DataFrame:
-        sets = [shingles(t, words) for t in texts]
-        rows = [(s.view(np.int64), *_digest(s)) for s in sets]
-        return pd.DataFrame(rows, columns=["set", "k1", "k2"])
 
-    texts = docs.select(F.col("doc_id").alias("node"), "text")
-    sets = texts.join(named.hint("merge"), "node", "left_semi").select("node", full("text").alias("s"))
-    return sets.select("node", "s.*").dropDuplicates(["node", "k1", "k2"])
+def _full_sets(docs: DataFrame, named: DataFrame, how: Sketch) -> DataFrame:
+    """id, k1, k2, set: the whole sets of the documents with the ids in `named`, and of a few
+    more that share a bit with one. The texts are read again and stay where they are."""
+    words, bits = how.words, how.bits
+    marks = docs.sparkSession.sparkContext.broadcast(_marked(named, bits))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.column("at").to_numpy()
+            there = np.flatnonzero(marks.value[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1))
+            rows, size = [], 0
+            for i in there.tolist():
+                found = shingles(batch.column("text")[i].as_py(), words)
+                rows.append((batch.column("id")[i].as_py(), *_digest(found), found.view(np.int64)))
+                size += len(found)
+                if size >= BATCH:
+                    yield made(rows)
+                    rows, size = [], 0
+            yield made(rows)
+
+    def made(rows: list[tuple]) -> pa.RecordBatch:
+        columns = zip(*rows, strict=True) if rows else [[]] * len(schema)
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+    shape = StructType([StructField("id", docs.schema["doc_id"].dataType), *StructType.fromDDL("k1 long, k2 long, set array<bigint>")])
+    schema = to_arrow_schema(shape)
+    texts = docs.where("doc_id is not null").select(F.col("doc_id").alias("id"), "text")
+    return texts.withColumn("at", F.pmod(F.xxhash64("id"), F.lit(bits))).mapInArrow(run, shape)
 
 
 def _stars(members: DataFrame) -> DataFrame:
@@ -176,7 +206,7 @@ def _stars(members: DataFrame) -> DataFrame:
         F.max(F.struct("reach", (-F.col("node")).alias("node"))).alias("top")
     )
     tops = saved(ranked.select("bucket", (-F.col("top.node")).alias("top")), "tops")
-    pair = members.join(tops.hint("merge"), "bucket").where("node <> top")
+    pair = salted_join(members, tops, ["bucket"], F.col("node")).where("node <> top")
     return pair.select(F.least("node", "top").alias("a"), F.greatest("node", "top").alias("b")).distinct()
 
 
@@ -211,13 +241,15 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 
 def _across_unit(homes: pd.DataFrame, probes: pd.DataFrame, how: Sketch) -> list[tuple[int, int]]:
-    """Links between homes and probes that join two components. A probe tries the likeliest homes
-    first, and none of a component that it has reached."""
+    """Links between homes and probes of one bucket that join two components. A pair is compared
+    in the first bucket that it shares only. A probe tries the likeliest homes first, and none
+    of a component that it has reached."""
     registers, sizes = _registers(homes["sketch"], how), homes["n_shingles"].to_numpy()
     ids, own = homes["node"].to_numpy(), homes["component"].to_numpy()
     unsigned = lambda x: np.asarray(x, dtype=np.int64).view(np.uint64)  # noqa: E731  as it was sorted
     sets = [unsigned(x) for x in homes["set"]]
     joined: dict[int, int] = {}
+    band = int(homes["band"].iloc[0]) if len(homes) else 0
 
     def top(x: int) -> int:
         while x in joined:
@@ -227,9 +259,12 @@ def _across_unit(homes: pd.DataFrame, probes: pd.DataFrame, how: Sketch) -> list
     out = []
     for row in probes.itertuples(index=False):
         sketch = np.frombuffer(row.sketch, dtype="<u2")
-        equal = (registers == sketch).sum(1)
+        same = registers == sketch
+        equal = same.sum(1)
         fits = 100 * np.minimum(sizes, row.n_shingles) >= how.percent * np.maximum(sizes, row.n_shingles)
         near = np.flatnonzero((equal >= how.least_equal) & fits & (own != row.component))
+        whole = same[near].reshape(-1, how.bands, how.rows).all(2)
+        near = near[whole.argmax(1) == band]
         if len(near):
             n = np.full(len(near), row.n_shingles)
             near = near[plausible(registers[near], sketch[None, :], sizes[near], n, how)]
@@ -241,24 +276,21 @@ def _across_unit(homes: pd.DataFrame, probes: pd.DataFrame, how: Sketch) -> list
     return out
 
 
-def _across(cards: DataFrame, families: DataFrame, parts: DataFrame, how: Sketch) -> DataFrame:
-    """Links between components of one family, verified on full sets. The largest component of a
-    family needs no comparing within; the members of all others meet the whole family, in
-    blocks, and only links that join components come out."""
-    held = (
-        cards.join(families.withColumnRenamed("component", "family").hint("merge"), "node")
-        .join(parts.hint("merge"), "node", "left")
-        .withColumn("component", F.coalesce("component", "node"))
-    )
-    held = saved(held, "held")
-    counts = held.groupBy("family", "component").agg(F.count(F.lit(1)).alias("n"))
-    top = counts.groupBy("family").agg(
+def _across(cards: DataFrame, members: DataFrame, parts: DataFrame, how: Sketch) -> DataFrame:
+    """Links between components that meet in a bucket, verified on full sets. The largest
+    component of a bucket needs no comparing within; the members of all others meet the whole
+    bucket, in blocks, and only links that join components come out."""
+    held = members.select("bucket", "band", "node").join(parts.hint("merge"), "node", "left")
+    held = saved(held.withColumn("component", F.coalesce("component", "node")), "held")
+    counts = held.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
+    top = counts.groupBy("bucket").agg(
         F.count(F.lit(1)).alias("parts"), F.max(F.struct("n", "component")).alias("top")
     )
-    open_ = saved(top.where("parts > 1").select("family", F.col("top.component").alias("main")), "open")
-    homes = held.join(open_.hint("merge"), "family")
+    open_ = saved(top.where("parts > 1").select("bucket", F.col("top.component").alias("main")), "open")
+    homes = salted_join(held, open_, ["bucket"], F.col("node")).where("main is not null")
+    homes = saved(homes.join(cards.hint("merge"), "node"), "homes")
     probes = homes.where("component <> main").drop("main")
-    work = blocked(homes.drop("main"), probes, ["family"], "node", how.block)
+    work = blocked(homes.drop("main"), probes, ["bucket"], "node", how.block)
 
     def compare(frame: pd.DataFrame) -> pd.DataFrame:
         out = [pair for home, probe in units(frame) for pair in _across_unit(home, probe, how)]
@@ -267,77 +299,98 @@ def _across(cards: DataFrame, families: DataFrame, parts: DataFrame, how: Sketch
     return work.groupBy("work").applyInPandas(compare, "a long, b long")
 
 
-def groups(docs: DataFrame, how: Sketch = Sketch()) -> DataFrame:
-    """doc_id, n_shingles, component_id: one row per row of docs.
-
-    Texts link when 100 * shared >= how.percent * joint shingles; a component is what links
-    reach. Null and empty texts have an empty set and link with nothing; a null id has no
-    component and links with nothing; rows that share an id are one node; an empty table gives no
-    rows; columns other than doc_id and text play no part.
-
-    Texts of one set are one node with its smallest id, and only nodes are compared. The members
-    of a bucket are first compared with its best connected one. Buckets that share members are
-    a family; what in a family still lies in different components is compared in blocks, so no
-    link between components is left out however large a bucket is.
-    """
+def _classes(docs: DataFrame, how: Sketch) -> DataFrame:
+    """doc_id, n_shingles, component_id, main, mark: one row per row of docs. main: whether the row
+    has the set that stands for its component; mark: a hash of its text."""
 
     @F.pandas_udf("n_shingles long, k1 long, k2 long, sketch binary")
     def read(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame(list(_sketched(list(texts), how)), columns=["n_shingles", "k1", "k2", "sketch"])
 
-    seen = docs.select("doc_id", read("text").alias("r")).select("doc_id", "r.*")
-    seen = saved(seen, "sketches")
-    nodes = (
+    seen = docs.select("doc_id", F.xxhash64("text").alias("mark"), read("text").alias("r"))
+    seen = saved(seen.select("doc_id", "mark", "r.*"), "sketches")
+    sets = (
         seen.where("n_shingles > 0 and doc_id is not null")
         .groupBy("k1", "k2")
-        .agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
+        .agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"))
     )
-    nodes = saved(nodes, "nodes")
+    # A number per different set; ids can be shared by unlike texts.
+    nodes = saved(sets.withColumn("node", F.monotonically_increasing_id()), "nodes")
     size = 2 * how.rows
-    band = lambda i: F.xxhash64(i, F.substring("sketch", i * size + 1, F.lit(size)))
+    band = lambda i: F.struct(F.xxhash64(i, F.substring("sketch", i * size + 1, F.lit(size))).alias("bucket"), i.alias("band"))
     listed = nodes.select(
-        "node", F.explode(F.transform(F.sequence(F.lit(0), F.lit(how.bands - 1)), band)).alias("bucket")
+        "node", F.inline(F.transform(F.sequence(F.lit(0), F.lit(how.bands - 1)), band))
     )
-    full = saved(listed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "buckets")
-    members = saved(listed.join(full.hint("merge"), "bucket"), "members")
+    full = saved(listed.groupBy("bucket", "band").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "buckets")
+    members = saved(listed.join(full.hint("merge"), ["bucket", "band"]), "members")
 
     # Only texts that share a bucket with another are compared: their sketches and full sets.
-    named = saved(members.select("node").distinct(), "named")
-    cards = nodes.join(_full_sets(docs, named, how).hint("merge"), ["node", "k1", "k2"])
-    cards = saved(cards.drop("k1", "k2"), "cards")
+    named = members.select("node").distinct().join(nodes.hint("merge"), "node")
+    named = saved(named.select("node", "id", "k1", "k2", "n_shingles", "sketch"), "named")
+    cards = _full_sets(docs, named.select("id"), how).join(named.hint("merge"), ["id", "k1", "k2"])
+    cards = saved(cards.dropDuplicates(["node"]).select("node", "n_shingles", "sketch", "set"), "cards")
 
-    stars = saved(_stars(members), "stars")
-    links = saved(_linked(stars, cards, how), "star_links")
-    rest = _across(cards, saved(components(stars), "families"), saved(components(links), "parts"), how)
+    links = saved(_linked(saved(_stars(members), "stars"), cards, how), "star_links")
+    rest = _across(cards, members, saved(components(links), "parts"), how)
     parts = saved(components(links.union(saved(rest, "across"))), "parts")
 
-    result = nodes.join(parts, "node", "left").select(
-        "k1", "k2", F.coalesce("component", "node").alias("component_id")
-    )
-    out = salted_join(
-        seen.select("doc_id", "n_shingles", "k1", "k2"), saved(result, "result"), ["k1", "k2"], F.col("doc_id")
-    )
+    # The smallest id of each component, and the set that has it.
+    own = parts.join(nodes.select("node", "id").hint("merge"), "node")
+    tops = own.groupBy("component").agg(F.min(F.struct("id", "node")).alias("top"))
+    named_ = salted_join(own, saved(tops, "tops"), ["component"], F.col("node"))
+    linked = saved(named_.select("node", F.col("top.id").alias("component_id"), F.col("top.node").alias("chosen")), "linked")
+    result = nodes.join(linked.hint("merge"), "node", "left").select(
+        "k1", "k2",
+        F.coalesce("component_id", "id").alias("component_id"),
+        (F.coalesce("chosen", "node") == F.col("node")).alias("main"),
+    )
+    out = salted_join(seen.drop("sketch"), saved(result, "result"), ["k1", "k2"], F.col("doc_id"))
     alone = F.col("doc_id").isNull() | (F.col("n_shingles") == 0)
     return out.select(
         "doc_id",
         "n_shingles",
         F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
+        (alone | F.col("main")).alias("main"),
+        "mark",
     )
 
 
+def groups(docs: DataFrame, how: Sketch = Sketch()) -> DataFrame:
+    """doc_id, n_shingles, component_id: one row per row of docs.
+
+    Texts link when 100 * shared >= how.percent * joint shingles; a component is what links
+    reach, and its id the smallest doc_id in it. Null and empty texts have an empty set and link
+    with nothing; a null id has no component and links with nothing; unlike texts that share an
+    id are in components of their own; an empty table gives no rows; columns other than doc_id
+    and text play no part.
+
+    Texts of one set are one node, and only nodes are compared. The members of a bucket are
+    first compared with its best connected one. What in a bucket then still lies in different
+    components is compared in blocks, each pair in its first common bucket, so no link between
+    components is left out however large a bucket is.
+    """
+    return _classes(docs, how).select("doc_id", "n_shingles", "component_id")
+
+
 def kept() -> Column:
     return F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False))
 
 
 def deduplicated(docs: DataFrame, how: Sketch = Sketch(words=5)) -> DataFrame:
     """docs with one row of each group, that of the smallest id, with the columns of docs. Of
-    rows that share an id one stays; rows with a null id all stay, as do texts without words."""
-    left = groups(docs, how).where(kept()).select("doc_id").distinct()
-    left = saved(left, "kept")
-    one = F.row_number().over(W.partitionBy("doc_id").orderBy("doc_id"))
-    place = free_name(docs, "place")
-    named = docs.join(left, "doc_id", "left_semi").withColumn(place, one).where(F.col(place) == 1).drop(place)
-    return named.unionByName(docs.where("doc_id is null"))
+    rows with the same id and text one stays; unlike texts that share an id are judged each for
+    itself; rows with a null id all stay, and texts without words, one for each id; an empty
+    table stays empty."""
+    found = _classes(docs, how).where("doc_id is not null").where(F.col("main") & (F.col("doc_id") == F.col("component_id")))
+    left = saved(found.groupBy("doc_id", "mark").agg(F.count(F.lit(1)).alias("n")), "kept")
+    mark = free_name(docs, "mark")
+    marked = docs.withColumn(mark, F.xxhash64("text"))
+    keys = lambda few: few.select("doc_id", F.col("mark").alias(mark))
+    once = marked.join(keys(left.where("n = 1")), ["doc_id", mark], "left_semi")
+    # Only repeated rows are gathered by id and text.
+    repeated = marked.join(keys(left.where("n > 1")), ["doc_id", mark], "left_semi")
+    repeated = repeated.dropDuplicates(["doc_id", mark])
+    return once.unionByName(repeated).select(*docs.columns).unionByName(docs.where("doc_id is null"))
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:

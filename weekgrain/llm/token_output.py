@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from weekgrain.llm.common import saved, table
+from weekgrain.llm.common import saved, scratch, table
 from weekgrain.llm.word_ids import slices, word_ids
 from weekgrain.sources.staging import shared_root
 
@@ -119,15 +119,19 @@ def write(docs: DataFrame, folder: str, path: str | None = None, end: int = END_
     repeated rows, and unlike rows of one id, are stored each, in a fixed order; an empty table
     leaves empty tables; other columns play no part.
     """
-    made = tokens(docs, path, end)
-    size = word_ids(path).size
+    with scratch(docs.sparkSession):
+        _write(tokens(docs, path, end), folder, word_ids(path).size, block)
+
+
+def _write(made: DataFrame, folder: str, size: int, block: int) -> None:
+    spark = made.sparkSession
     ranks = ranking(made, size)
     ranks.write.parquet(f"{folder}/ranks")
     kind = _kind(size)
     rank_of = np.zeros(size, dtype="<u4")
-    for row in docs.sparkSession.read.parquet(f"{folder}/ranks").select("rank", "id").toLocalIterator():
+    for row in spark.read.parquet(f"{folder}/ranks").select("rank", "id").toLocalIterator():
         rank_of[row["id"]] = row["rank"]
-    shared = docs.sparkSession.sparkContext.broadcast(rank_of)
+    shared = spark.sparkContext.broadcast(rank_of)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, number, before, total = [], 0, 0, 0
@@ -149,7 +153,7 @@ def write(docs: DataFrame, folder: str, path: str | None = None, end: int = END_
         if held:
             yield done()
 
-    schema = to_arrow_schema(docs.sparkSession.createDataFrame([], BLOCKS).schema)
+    schema = to_arrow_schema(spark.createDataFrame([], BLOCKS).schema)
     # The digest settles the order of equal ids and splits an id that many rows share.
     tie = F.xxhash64("ids")
     ordered = made.withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("tie", tie)
@@ -158,7 +162,7 @@ def write(docs: DataFrame, folder: str, path: str | None = None, end: int = END_
     out.withColumn("n_tokens", F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x)).write.parquet(
         f"{folder}/blocks"
     )
-    blocks = docs.sparkSession.read.parquet(f"{folder}/blocks")
+    blocks = spark.read.parquet(f"{folder}/blocks")
     sizes = blocks.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     # One row per part.
     sofar = F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1))

@@ -31,15 +31,15 @@ THRESHOLD = 0.3
 
 @dataclass(frozen=True)
 class Training:
-    """documents, features: bounds of the fit, as labelled documents used (chosen by hash) and
-    features kept (those of clearest log-odds). prefixes: lengths of the word beginnings that
+    """documents: bound of the fit, as labelled documents used (chosen by hash). percent: share of
+    word triples from which two of them are copies. prefixes: lengths of the word beginnings that
     are features besides whole words. prior and flat: the Dirichlet prior of a feature, in
     documents, as prior times its overall share plus flat. clear: roots of the likelihood ratio,
     of which cross-fitting chooses the least that a feature must have; the highest is enough for
     a million features by chance. gap: score of a word without features."""
 
     documents: int = 20_000
-    features: int = 50_000
+    percent: int = 80
     prefixes: tuple[int, ...] = (4, 5, 6)
     prior: float = 1.0
     flat: float = 0.5
@@ -62,6 +62,10 @@ class Model:
     b: float
 
 
+# Words remembered per task and model.
+MEMO = 100_000
+
+
 def segments(scores: list[float], at: list[int], gap: float) -> list[tuple[float, int, int]]:
     """All maximal scoring segments (score, first, last), by a single scan.
 
@@ -108,7 +112,7 @@ def passages(text: str | None, model: Model, memo: dict) -> tuple[int, list[tupl
     for i, word in enumerate(found):
         score = memo.get(word, memo)
         if score is memo:
-            if len(memo) > 500_000:
+            if len(memo) > MEMO:
                 memo.clear()
             score = memo[word] = lookup(model, word)
         if score is not None:
@@ -159,11 +163,10 @@ def _count(batches: Iterator[pd.DataFrame], prefixes: tuple[int, ...]) -> Iterat
             )
 
 
-def _mark(text: str | None) -> tuple[int, int]:
+def _triples(text: str | None) -> list[int]:
     words = [crc32(w.encode()) for w in WORD.findall((text or "").lower())]
-    triples = zip(words, words[1:], words[2:]) if len(words) > 2 else [tuple(words)]
-    mixed = [hash(t) for t in triples]
-    return min(mixed), min(x * 0x9E3779B97F4A7C15 & (1 << 63) - 1 for x in mixed)
+    found = zip(words, words[1:], words[2:]) if len(words) > 2 else [tuple(words)]
+    return [hash(t) for t in found]
 
 
 def _marks(text: Column) -> Column:
@@ -171,11 +174,42 @@ def _marks(text: Column) -> Column:
 
     @F.pandas_udf("a long, b long")
     def marks(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([_mark(t) for t in texts], columns=["a", "b"])
+        mixed = [_triples(t) for t in texts]
+        return pd.DataFrame(
+            [(min(m), min(x * 0x9E3779B97F4A7C15 & (1 << 63) - 1 for x in m)) for m in mixed], columns=["a", "b"]
+        )
 
     return marks(text)
 
 
+def _without_copies(used: DataFrame, mark: str, percent: int) -> DataFrame:
+    """One row for each group of copies among those that share a mark: that of the smallest id, as
+    toxic if any of them is. A row is a copy of the first kept row with enough of its triples, so
+    unlike texts that share the mark all stay, and the order of rows plays no part. A group is
+    at most the labelled documents of the fit."""
+
+    def merge(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["doc_id", "text"], kind="stable").reset_index(drop=True)
+        kept: list[tuple[int, frozenset]] = []
+        toxic = rows["toxic"].tolist()
+        for i, text in enumerate(rows["text"]):
+            own = frozenset(_triples(text))
+            for j, other in kept:
+                small, large = sorted((len(own), len(other)))
+                if 100 * small < percent * large:
+                    continue
+                shared = len(own & other)
+                if 100 * shared >= percent * (small + large - shared):
+                    toxic[j] = max(toxic[j], toxic[i])
+                    break
+            else:
+                kept.append((i, own))
+        at = [i for i, _ in kept]
+        return rows.loc[at].assign(toxic=[toxic[i] for i in at])
+
+    return used.groupBy(mark).applyInPandas(merge, used.schema)
+
+
 def _likelihood(name: str, n: float, share: Column | None = None) -> Column:
     """Log-likelihood of the count under a share of documents, its own if none is given."""
     count = F.col(name)
@@ -230,10 +264,9 @@ def _fits(counted: DataFrame, how: Training) -> list[Model] | None:
         counted.where("feature <> '' and docs0 + docs1 > 0")
         .select("feature", "uses0", odds.alias("score"), error.alias("error"), (2 * (split - both)).alias("ratio"))
         .where((F.col("ratio") >= min(how.clear) ** 2) & (F.abs("score") > F.col("error")))
-        .orderBy(F.desc("ratio"), "feature")
-        .limit(how.features)
         .collect()
     )
+    listed.sort(key=lambda r: (-r["ratio"], r["feature"]))
     out = []
     for clear in how.clear:
         kept = [r for r in listed if r["ratio"] >= clear**2]
@@ -289,11 +322,12 @@ def train(docs: DataFrame, labels: DataFrame, how: Training = Training()) -> Mod
         .orderBy(F.xxhash64("doc_id"))
         .limit(how.documents)
     )
-    used = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("text", "toxic", "fold")
-    # Copies and near copies of one text would make all its words look telling: of texts with
-    # the same smallest word triple under either of two hashes, one stays.
-    used = used.select("*", _marks(F.col("text")).alias("mark")).select("text", "toxic", "fold", "mark.*")
-    used = saved(used.dropDuplicates(["a"]).dropDuplicates(["b"]), "labelled")
+    used = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(picked), "doc_id")
+    # Copies and near copies of one text would make all its words look telling: one of them stays.
+    # Those that share their smallest word triple under either of two hashes are compared.
+    used = used.select("*", _marks(F.col("text")).alias("mark")).select("doc_id", "text", "toxic", "fold", "mark.*")
+    used = _without_copies(_without_copies(used, "a", how.percent), "b", how.percent)
+    used = saved(used.select("text", "toxic", "fold"), "labelled")
 
     lengths, folds = how.prefixes, (0, 1, 3)
     counted = used.select("text", "toxic", "fold").mapInPandas(
@@ -350,7 +384,7 @@ def score(docs: DataFrame, model: Model, name: str = "toxicity") -> DataFrame:
     Every text is read whole, one row at a time, without a shuffle. Null and empty texts have
     no segment and the lowest score; a column of that name is replaced.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(model)  # at most how.features words
+    sent = docs.sparkSession.sparkContext.broadcast(model)  # words of the fit's documents
 
     @F.pandas_udf("score double, n_segments long, passages array<array<long>>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:

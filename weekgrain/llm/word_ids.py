@@ -64,8 +64,8 @@ class WordIds:
         suffix = self.library.model.end_of_word_suffix
         self.ends = np.zeros(self.size, dtype=bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
-        self.strings: dict[str, bytes] = {}
-        self.pretokens: dict[str, bytes] = {}
+        self.newer: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _ids(self, text: str) -> np.ndarray:
         return np.asarray(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4")
@@ -75,31 +75,44 @@ class WordIds:
         out = {}
         for at in range(0, len(new), 10_000):
             part = new[at : at + 10_000]
-            ids = self._ids(" ".join(part))
+            found = self.library.encode_batch_fast([" ".join(part)], add_special_tokens=False)
+            ids = np.asarray(found[0].ids, dtype="<u4")
             stops = np.flatnonzero(self.ends[ids]) + 1
             if len(stops) != len(part):
                 raise ValueError("the vocabulary does not mark word ends")
-            packed = ids.tobytes()
-            for x, a, b in zip(part, [0, *stops[:-1].tolist()], stops.tolist(), strict=True):
-                out[x] = packed[4 * a : 4 * b]
+            packed, cuts = ids.tobytes(), (4 * stops).tolist()
+            for x, a, b in zip(part, [0, *cuts[:-1]], cuts, strict=True):
+                out[x] = packed[a:b]
         return out
 
     def _packed(self, strings: list[str]) -> list[bytes]:
-        if len(self.strings) > MEMO:
-            self.strings.clear()
-        if len(self.pretokens) > MEMO:
-            self.pretokens.clear()
-        known, pre = self.strings, self.pretokens
-        new = {x: WORDS.findall(x) for x in strings if x not in known}
-        if new:
-            fresh = self._learn(list({w for p in new.values() for w in p if w not in pre}))
-            pre.update((w, ids) for w, ids in fresh.items() if len(w) <= LONGEST)
-            made = {}
-            for x, parts in new.items():
-                made[x] = b"".join([pre[w] if w in pre else fresh[w] for w in parts])
-            known.update((x, ids) for x, ids in made.items() if len(x) <= LONGEST)
-            return [known[x] if x in known else made[x] for x in strings]
-        return [known[x] for x in strings]
+        """Ids of strings without white space. A pretoken is such a string too, so one memory
+        serves both. It has two halves: when the newer is full it takes the place of the older,
+        and what is looked up in the older moves to the newer, so that common strings stay."""
+        if len(self.newer) > MEMO // 2:
+            self.older, self.newer = self.newer, {}
+        newer, older = self.newer, self.older
+        out = [newer.get(x) for x in strings]
+        missing = [x for x, ids in zip(strings, out, strict=True) if ids is None]
+        if not missing:
+            return out
+        again = {x: older[x] for x in missing if x in older} if older else {}
+        parts: dict[str, list[str]] = {}
+        unknown = set()
+        for x in missing:
+            if x not in again:
+                found = WORDS.findall(x)
+                if len(found) == 1:
+                    unknown.add(x)
+                else:
+                    parts[x] = found
+                    unknown.update([w for w in found if w not in newer and w not in older])
+        fresh = self._learn(list(unknown))
+        for x, found in parts.items():
+            again[x] = b"".join([fresh[w] if w in fresh else newer[w] if w in newer else older[w] for w in found])
+        fresh |= again
+        newer.update((x, ids) for x, ids in fresh.items() if len(x) <= LONGEST)
+        return [fresh[x] if ids is None else ids for x, ids in zip(strings, out, strict=True)]
 
     def _plain(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         lists = pc.ascii_split_whitespace(pa.array([t.lower() for t in texts], pa.large_string()))
