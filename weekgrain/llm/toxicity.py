@@ -62,6 +62,8 @@ class Model:
     b: float
 
 
+# Smallest hashes by which copies are told.
+SIGNS = 16
 # Words remembered per task and model.
 MEMO = 100_000
 
@@ -185,24 +187,27 @@ def _marks(text: Column) -> Column:
 def _without_copies(used: DataFrame, mark: str, percent: int) -> DataFrame:
     """One row for each group of copies among those that share a mark: that of the smallest id, as
     toxic if any of them is. A row is a copy of the first kept row with enough of its triples, so
-    unlike texts that share the mark all stay, and the order of rows plays no part. A group is
-    at most the labelled documents of the fit."""
+    unlike texts that share the mark all stay, and the order of rows plays no part. Only rows that
+    agree in half of SIGNS smallest hashes are compared: copies do all but once in ten thousand
+    times. A group is at most the labelled documents of the fit."""
+    keys = np.random.default_rng(5).integers(0, 1 << 63, SIGNS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
     def merge(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["doc_id", "text"], kind="stable").reset_index(drop=True)
-        kept: list[tuple[int, frozenset]] = []
+        kept: list[tuple[int, np.ndarray]] = []
+        signs = np.empty((len(rows), SIGNS), dtype=np.uint64)
         toxic = rows["toxic"].tolist()
         for i, text in enumerate(rows["text"]):
-            own = frozenset(_triples(text))
-            for j, other in kept:
-                small, large = sorted((len(own), len(other)))
-                if 100 * small < percent * large:
-                    continue
-                shared = len(own & other)
-                if 100 * shared >= percent * (small + large - shared):
+            own = np.unique(np.array(_triples(text), dtype=np.int64).view(np.uint64))
+            sign = (own * keys[:, None]).min(axis=1)
+            for k in np.flatnonzero((signs[: len(kept)] == sign).sum(axis=1) >= SIGNS // 2).tolist():
+                j, other = kept[k]
+                shared = len(np.intersect1d(own, other, assume_unique=True))
+                if 100 * shared >= percent * (len(own) + len(other) - shared):
                     toxic[j] = max(toxic[j], toxic[i])
                     break
             else:
+                signs[len(kept)] = sign
                 kept.append((i, own))
         at = [i for i, _ in kept]
         return rows.loc[at].assign(toxic=[toxic[i] for i in at])
