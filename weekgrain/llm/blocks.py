@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weekgrain.llm.common import saved
+from weekgrain.llm.common import salted_join, saved
 
 BLOCK = 1024
 WORK = 4096
@@ -34,8 +34,9 @@ def blocked(homes: DataFrame, probes: DataFrame, key: list[str], by: str, block:
     sizes = saved(sizes, "sizes")
     part = lambda n: F.pmod(F.xxhash64(by), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    h = homes.join(sizes, key).withColumn("_h", part("_hs")).withColumn("_p", each("_ps"))
-    p = probes.join(sizes, key).withColumn("_p", part("_ps")).withColumn("_h", each("_hs"))
+    # Groups can be large: their rows are spread over several keys of the joins.
+    h = salted_join(homes, sizes, key, F.col(by)).where("_ps is not null").withColumn("_h", part("_hs")).withColumn("_p", each("_ps"))
+    p = salted_join(probes, sizes, key, F.col(by)).where("_ps is not null").withColumn("_p", part("_ps")).withColumn("_h", each("_hs"))
     both = h.withColumn("probe", F.lit(False)).unionByName(p.withColumn("probe", F.lit(True)))
     both = saved(both.withColumn("unit", F.xxhash64(*key, "_h", "_p")).drop("_h", "_p", "_hs", "_ps"), "blocks")
     pieces = max(LEAST_WORK, both.count() // WORK)

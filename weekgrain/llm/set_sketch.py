@@ -32,7 +32,7 @@ BATCH = 1 << 18
 class Sketch:
     """words: of a shingle. percent: least 100 * shared / joint. bands of rows registers each:
     at 80 percent a pair misses all bands once in a hundred thousand times. base, rate: of the
-    registers' scale. block: rows of a bucket that are compared with as many in one unit of work.
+    registers' scale. block: rows of a family that are compared with as many in one unit of work.
     bits: of the filter that picks the texts to be read again, a multiple of 64. doubt: twice the
     log-likelihood that a pair's best similarity may be ahead of `percent` before it is
     discarded; at 36, once in a billion pairs."""
@@ -241,15 +241,14 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 
 def _across_unit(homes: pd.DataFrame, probes: pd.DataFrame, how: Sketch) -> list[tuple[int, int]]:
-    """Links between homes and probes of one bucket that join two components. A pair is compared
-    in the first bucket that it shares only. A probe tries the likeliest homes first, and none
-    of a component that it has reached."""
+    """Links between homes and probes that join two components. Only rows that share a bucket are
+    compared. A probe tries the likeliest homes first, and none of a component that it has
+    reached."""
     registers, sizes = _registers(homes["sketch"], how), homes["n_shingles"].to_numpy()
     ids, own = homes["node"].to_numpy(), homes["component"].to_numpy()
     unsigned = lambda x: np.asarray(x, dtype=np.int64).view(np.uint64)  # noqa: E731  as it was sorted
     sets = [unsigned(x) for x in homes["set"]]
     joined: dict[int, int] = {}
-    band = int(homes["band"].iloc[0]) if len(homes) else 0
 
     def top(x: int) -> int:
         while x in joined:
@@ -263,8 +262,7 @@ def _across_unit(homes: pd.DataFrame, probes: pd.DataFrame, how: Sketch) -> list
         equal = same.sum(1)
         fits = 100 * np.minimum(sizes, row.n_shingles) >= how.percent * np.maximum(sizes, row.n_shingles)
         near = np.flatnonzero((equal >= how.least_equal) & fits & (own != row.component))
-        whole = same[near].reshape(-1, how.bands, how.rows).all(2)
-        near = near[whole.argmax(1) == band]
+        near = near[same[near].reshape(-1, how.bands, how.rows).all(2).any(1)]
         if len(near):
             n = np.full(len(near), row.n_shingles)
             near = near[plausible(registers[near], sketch[None, :], sizes[near], n, how)]
@@ -276,21 +274,22 @@ def _across_unit(homes: pd.DataFrame, probes: pd.DataFrame, how: Sketch) -> list
     return out
 
 
-def _across(cards: DataFrame, members: DataFrame, parts: DataFrame, how: Sketch) -> DataFrame:
-    """Links between components that meet in a bucket, verified on full sets. The largest
-    component of a bucket needs no comparing within; the members of all others meet the whole
-    bucket, in blocks, and only links that join components come out."""
-    held = members.select("bucket", "band", "node").join(parts.hint("merge"), "node", "left")
+def _across(cards: DataFrame, families: DataFrame, parts: DataFrame, how: Sketch) -> DataFrame:
+    """Links between components of one family, verified on full sets. The largest component of a
+    family needs no comparing within; the members of all others meet the whole family, in
+    blocks, and only links that join components come out. A family can be large, so its rows
+    are spread by their node wherever they are joined."""
+    held = families.withColumnRenamed("component", "family").join(parts.hint("merge"), "node", "left")
     held = saved(held.withColumn("component", F.coalesce("component", "node")), "held")
-    counts = held.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("n"))
-    top = counts.groupBy("bucket").agg(
+    counts = held.groupBy("family", "component").agg(F.count(F.lit(1)).alias("n"))
+    top = counts.groupBy("family").agg(
         F.count(F.lit(1)).alias("parts"), F.max(F.struct("n", "component")).alias("top")
     )
-    open_ = saved(top.where("parts > 1").select("bucket", F.col("top.component").alias("main")), "open")
-    homes = salted_join(held, open_, ["bucket"], F.col("node")).where("main is not null")
-    homes = saved(homes.join(cards.hint("merge"), "node"), "homes")
+    open_ = saved(top.where("parts > 1").select("family", F.col("top.component").alias("main")), "open")
+    homes = salted_join(held, open_, ["family"], F.col("node")).where("main is not null")
+    homes = saved(saved(homes, "open_rows").join(cards.hint("merge"), "node"), "homes")
     probes = homes.where("component <> main").drop("main")
-    work = blocked(homes.drop("main"), probes, ["bucket"], "node", how.block)
+    work = blocked(homes.drop("main"), probes, ["family"], "node", how.block)
 
     def compare(frame: pd.DataFrame) -> pd.DataFrame:
         out = [pair for home, probe in units(frame) for pair in _across_unit(home, probe, how)]
@@ -317,12 +316,12 @@ def _classes(docs: DataFrame, how: Sketch) -> DataFrame:
     # A number per different set; ids can be shared by unlike texts.
     nodes = saved(sets.withColumn("node", F.monotonically_increasing_id()), "nodes")
     size = 2 * how.rows
-    band = lambda i: F.struct(F.xxhash64(i, F.substring("sketch", i * size + 1, F.lit(size))).alias("bucket"), i.alias("band"))
+    band = lambda i: F.xxhash64(i, F.substring("sketch", i * size + 1, F.lit(size)))
     listed = nodes.select(
-        "node", F.inline(F.transform(F.sequence(F.lit(0), F.lit(how.bands - 1)), band))
+        "node", F.explode(F.transform(F.sequence(F.lit(0), F.lit(how.bands - 1)), band)).alias("bucket")
     )
-    full = saved(listed.groupBy("bucket", "band").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "buckets")
-    members = saved(listed.join(full.hint("merge"), ["bucket", "band"]), "members")
+    full = saved(listed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "buckets")
+    members = saved(listed.join(full.hint("merge"), "bucket"), "members")
 
     # Only texts that share a bucket with another are compared: their sketches and full sets.
     named = members.select("node").distinct().join(nodes.hint("merge"), "node")
@@ -330,8 +329,9 @@ def _classes(docs: DataFrame, how: Sketch) -> DataFrame:
     cards = _full_sets(docs, named.select("id"), how).join(named.hint("merge"), ["id", "k1", "k2"])
     cards = saved(cards.dropDuplicates(["node"]).select("node", "n_shingles", "sketch", "set"), "cards")
 
-    links = saved(_linked(saved(_stars(members), "stars"), cards, how), "star_links")
-    rest = _across(cards, members, saved(components(links), "parts"), how)
+    stars = saved(_stars(members), "stars")
+    links = saved(_linked(stars, cards, how), "star_links")
+    rest = _across(cards, saved(components(stars), "families"), saved(components(links), "parts"), how)
     parts = saved(components(links.union(saved(rest, "across"))), "parts")
 
     # The smallest id of each component, and the set that has it.
@@ -365,9 +365,9 @@ def groups(docs: DataFrame, how: Sketch = Sketch()) -> DataFrame:
     and text play no part.
 
     Texts of one set are one node, and only nodes are compared. The members of a bucket are
-    first compared with its best connected one. What in a bucket then still lies in different
-    components is compared in blocks, each pair in its first common bucket, so no link between
-    components is left out however large a bucket is.
+    first compared with its best connected one. Buckets that share members are a family; rows of
+    a family that then still lie in different components, and share a bucket, are compared in
+    blocks, so no link between components is left out however large a bucket is.
     """
     return _classes(docs, how).select("doc_id", "n_shingles", "component_id")
 
