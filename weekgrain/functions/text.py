@@ -48,3 +48,9 @@ def metric_text(metric: Column, value: Column, cents: Column | None = None) -> C
         .when(metric.rlike("%|Realization"), percents(value))
         .otherwise(value.cast("string"))
     )
+
+
+def caseless(text: Column) -> Column:
+    """The text under a collation that ignores case: joins, groups and orders by it treat names
+    that differ by case as one, as the source server does. Compared in the JVM as it is."""
+    return F.collate(text, "UTF8_LCASE")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from decimal import Decimal
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -59,17 +60,57 @@ def shipments(lines, countries, regions, channels, wholesalers) -> DataFrame:
     )
 
 
+def priced_units(shipments: DataFrame) -> DataFrame:
+    """Shipments plus net price at 6 decimals and list price."""
+    net = F.col("sell_in_revenue") / F.nullif(F.col("shipment_volume"), F.lit(0).cast("decimal(18,2)"))
+    kept = 1 - F.coalesce("trade_incentive_pct", F.lit(0).cast("decimal(10,4)"))
+    return shipments.withColumn("net_price", net.cast("decimal(24,6)")).withColumn(
+        "list_price", F.try_divide("net_price", kept).cast("decimal(18,4)")
+    )
+
+
 def unit_prices(shipments: DataFrame) -> DataFrame:
     """Shipments plus net price at 6 decimals, list price, and the net price of the last
     observed week. One series holds at most one row per week, so no window grows hot."""
-    net = F.col("sell_in_revenue") / F.nullif(F.col("shipment_volume"), F.lit(0).cast("decimal(18,2)"))
-    kept = 1 - F.coalesce("trade_incentive_pct", F.lit(0).cast("decimal(10,4)"))
     series = Window.partitionBy(*SERIES_KEYS).orderBy("date_week_id")
-    return (
-        shipments.withColumn("net_price", net.cast("decimal(24,6)"))
-        .withColumn("list_price", F.try_divide("net_price", kept).cast("decimal(18,4)"))
-        .withColumn("prev_net_price", F.lag("net_price").over(series))
+    return priced_units(shipments).withColumn("prev_net_price", F.lag("net_price").over(series))
+
+
+def empty_state(shipments: DataFrame) -> DataFrame:
+    """The state before the first load: no series."""
+    return priced_units(shipments).where("false").select(*SERIES_KEYS, "date_week_id", "net_price")
+
+
+def weekly_prices(week: DataFrame, state: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The prices of one load of new weeks, as unit_prices gives them, and the state after it.
+
+    state: the last observed week and net price of every series, from the load before. A load
+    reads its own weeks and the state, never older weeks; loads come in order of weeks, and a
+    load with weeks that the state has passed is refused by the caller (`check_order`). Series
+    match by null-safe keys, as a window does."""
+    new = priced_units(week)
+    series = Window.partitionBy(*SERIES_KEYS).orderBy("date_week_id")
+    last = state.select(*[F.col(k).alias(f"_{k}") for k in SERIES_KEYS], F.col("net_price").alias("_net"))
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in SERIES_KEYS])
+    first = F.row_number().over(series) == 1
+    prices = (
+        new.withColumn("prev_net_price", F.lag("net_price").over(series))
+        .withColumn("_first", first)
+        .join(last, same, "left")
+        .withColumn("prev_net_price", F.when(F.col("_first"), F.col("_net")).otherwise(F.col("prev_net_price")))
+        .drop("_first", "_net", *[f"_{k}" for k in SERIES_KEYS])
     )
+    both = state.unionByName(new.select(*SERIES_KEYS, "date_week_id", "net_price"))
+    newest = F.max(F.struct("date_week_id", "net_price")).alias("top")
+    after = both.groupBy(*SERIES_KEYS).agg(newest).select(*SERIES_KEYS, "top.*")
+    return prices, after
+
+
+def check_order(week: DataFrame, state: DataFrame) -> None:
+    """Refuse a load with weeks that an earlier load has covered."""
+    first, last = week.agg(F.min("date_week_id")).first()[0], state.agg(F.max("date_week_id")).first()[0]
+    if first is not None and last is not None and first <= last:
+        raise ValueError(f"week {first} comes after week {last} was loaded")
 
 
 def key_accounts_id(channels: DataFrame) -> Column:
@@ -199,20 +240,24 @@ def competitor_prices(prices: DataFrame, products: DataFrame | None = None) -> D
 
 
 MARKET_KEYS = ["date_week_id", "country_id", "region_id", "channel_id"]
+# The same product in the same cell.
+LIKE_KEYS = [*MARKET_KEYS, "product_id"]
 
 
-def competitor_means(prices: DataFrame, products: DataFrame | None = None) -> DataFrame:
-    """Mean competitor price per week, country, region and channel: overall and per
+def competitor_means(
+    prices: DataFrame, products: DataFrame | None = None, keys: list[str] = MARKET_KEYS
+) -> DataFrame:
+    """Mean competitor price per week, country, region and channel, or other keys: overall and per
     competitor. Taken straight from the price rows, so the threefold competitor fact is
     never laid out; sums are combined map-side before the one shuffle."""
     per = {
         f"price_{i}": competitor_price(F.col("list_price"), noise(F.lit(name), level))
         for i, (name, _, level) in enumerate(COMPETITORS)
     }
-    wide = priced(prices, products).select(*MARKET_KEYS, *[c.alias(n) for n, c in per.items()])
+    wide = priced(prices, products).select(*keys, *[c.alias(n) for n, c in per.items()])
     n = F.count(F.lit(1))
     everything = sum((F.col(c) for c in list(per)[1:]), F.col(list(per)[0]))
-    return wide.groupBy(*MARKET_KEYS).agg(
+    return wide.groupBy(*keys).agg(
         (F.sum(everything).cast("double") / (n * len(per))).alias("avg_comp_price"),
         *[(F.sum(c).cast("double") / n).alias(f"avg_{c}") for c in per],
     )

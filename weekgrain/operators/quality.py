@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 # Child table, child column, parent table, parent column.
@@ -104,6 +104,42 @@ def not_null_report(tables) -> DataFrame:
     return _union([check(table, columns) for table, columns in NOT_NULL.items()])
 
 
+def tagged(tables, name: str) -> DataFrame:
+    """All rows of a table with the names of the rules that each breaks: column broken, empty for a
+    sound row. The table is scanned once. A null key breaks no foreign or unique key; of rows
+    that share a key every one breaks it. Parents are distinct keys, which the optimizer
+    broadcasts while they are small; hot child keys are split at run time."""
+    rows, broken = tables(name), []
+    for column in NOT_NULL.get(name, []):
+        broken.append(F.when(F.col(column).isNull(), f"{name}.{column}"))
+    for i, (child, column, parent, target) in enumerate(FOREIGN_KEYS):
+        if child == name:
+            keys = tables(parent).select(F.col(target).alias(f"_key_{i}")).distinct()
+            rows = rows.join(keys, F.col(column) == F.col(f"_key_{i}"), "left")
+            orphan = F.col(column).isNotNull() & F.col(f"_key_{i}").isNull()
+            broken.append(F.when(orphan, f"{name}.{column} -> {parent}"))
+    for table, columns in UNIQUE_KEYS:
+        if table == name:
+            same = F.count(F.lit(1)).over(Window.partitionBy(*columns))
+            rows = rows.withColumn("_same", same)
+            whole = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in columns])
+            broken.append(F.when(whole & (F.col("_same") > 1), f"{name}({', '.join(columns)})"))
+    listed = F.array_compact(F.array(*broken)) if broken else F.array().cast("array<string>")
+    return rows.select(*tables(name).columns, listed.alias("broken"))
+
+
+def quarantine(tables, name: str, path: str) -> tuple[DataFrame, DataFrame]:
+    """The accepted and the quarantined rows of a table, the latter with the rules that they
+    break. Both are written in one pass, and together they are the table."""
+    sound = F.size("broken") == 0
+    tagged(tables, name).withColumn("sound", sound).write.mode("overwrite").partitionBy("sound").parquet(path)
+    spark = tables(name).sparkSession
+    # Either kind may have no rows, and then no folder to tell the schema from.
+    schema = tagged(tables, name).withColumn("sound", sound).schema
+    written = spark.read.schema(schema).option("basePath", path).parquet(path)
+    return written.where("sound").drop("broken", "sound"), written.where("not sound").drop("sound")
+
+
 def row_counts(tables, names: list[str]) -> DataFrame:
     return _union(
         [

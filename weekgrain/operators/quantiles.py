@@ -9,6 +9,8 @@ one value count as one entry.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -111,3 +113,54 @@ def _at_ranks(held: DataFrame, probs: list[float]) -> DataFrame:
         low, high = F.col(f"low{i}"), F.col(f"high{i}")
         out.append((low + (rank - F.floor(rank)) * (high - low)).alias(f"q{i}"))
     return found.select("f", *out)
+
+
+def grouped_quantiles(
+    df: DataFrame, keys: list[str], column: str, probs: dict[str, float], accuracy: int = ACCURACY
+) -> DataFrame:
+    """keys, n and the named exact quantiles of every group, linear between the two neighbours.
+
+    All groups are served at once: a sketch per group encloses each quantile, the enclosures are
+    joined back, and a second pass counts, per group, what lies below and the equal values
+    between. Only these counts are sorted, so no group is ever laid out whole: a hot one is combined
+    map-side, and its window holds its enclosed values only, about 4 / accuracy of them. Null
+    values don't count; a group of nulls has null quantiles; null keys are a group.
+    """
+    wanted, x = list(probs.values()), F.col(column).cast("double")
+    slack = 2.0 / accuracy
+    pairs = [[max(p - slack, 0.0), min(p + slack, 1.0)] for p in wanted]
+    named = [F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]
+    few = F.count(x) < 2 * accuracy
+    ends = [
+        F.when(few, F.array(F.min(x), F.max(x))).otherwise(F.percentile_approx(x, pair, accuracy)).alias(f"p{i}")
+        for i, pair in enumerate(pairs)
+    ]
+    marks = df.groupBy(*named).agg(F.count(x).alias("n"), *ends)
+    marks = marks.select(*[f"_k{i}" for i in range(len(keys))], "n", F.array(*[f"p{i}" for i in range(len(wanted))]).alias("ends"))
+    own = [f"_k{i}" for i in range(len(keys))]
+    values = df.where(x.isNotNull()).select(*named, x.alias("x"))
+    same = reduce(lambda a, b: a & b, [F.col(f"v.{k}").eqNullSafe(F.col(f"m.{k}")) for k in own])
+    held = values.alias("v").join(marks.alias("m"), same).select(*[f"v.{k}" for k in own], "x", "ends")
+    entries = []
+    for i in range(len(wanted)):
+        low, high = F.col("ends")[i][0], F.col("ends")[i][1]
+        key = F.struct(F.lit(i).alias("which"), F.when(F.col("x") >= low, F.col("x")).alias("x"))
+        entries.append(F.when(F.col("x") <= high, key))
+    spread = held.select(*own, F.explode(F.array(*entries)).alias("e")).where("e is not null")
+    counts = spread.groupBy(*own, "e.which", "e.x").agg(F.count(F.lit(1)).alias("c"))
+    order = Window.partitionBy(*own, "which").orderBy(F.asc_nulls_first("x"))
+    placed = counts.withColumn("end", F.sum("c").over(order)).withColumn("start", F.col("end") - F.col("c"))
+    same = reduce(lambda a, b: a & b, [F.col(f"c.{k}").eqNullSafe(F.col(f"m.{k}")) for k in own])
+    both = marks.alias("m").join(placed.alias("c"), same, "left").select(
+        *[F.col(f"m.{k}").alias(k) for k in own], "n", "which", "x", "start", "end"
+    )
+    parts, out = [], []
+    for i, (name, p) in enumerate(probs.items()):
+        rank = (F.col("n") - 1) * F.lit(p)
+        for end, r in ((f"low{i}", F.floor(rank)), (f"high{i}", F.ceil(rank))):
+            here = (F.col("which") == i) & (r >= F.col("start")) & (r < F.col("end"))
+            parts.append(F.max(F.when(here, F.col("x"))).alias(end))
+        low, high = F.col(f"low{i}"), F.col(f"high{i}")
+        out.append((low + (rank - F.floor(rank)) * (high - low)).alias(name))
+    found = both.groupBy(*own, "n").agg(*parts)
+    return found.select(*[F.col(f"_k{i}").alias(k) for i, k in enumerate(keys)], "n", *out)

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weekgrain.functions.ratios import distinct_with_null, guarded_ratio, missing, safe_div, total
 from weekgrain.operators.facts import COMPETITORS, MARKET_KEYS
-from weekgrain.operators.quantiles import exact_quantiles
+from weekgrain.operators.quantiles import exact_quantiles, grouped_quantiles
 
 
 def _beside(frames: list[DataFrame]) -> DataFrame:
@@ -117,20 +117,19 @@ def compliance(wide: DataFrame) -> DataFrame:
     )
 
 
-def price_index(wide: DataFrame, benchmark: DataFrame) -> DataFrame:
+def price_index(wide: DataFrame, benchmark: DataFrame, by: list[str] = MARKET_KEYS) -> DataFrame:
     """Own list price over the mean competitor price of the same week, country, region and
-    channel, over all products there. Keys match null to null."""
+    channel, over all products there; with LIKE_KEYS over the same product only. Keys match null
+    to null."""
     keys = benchmark.select(
-        *[F.col(c).alias(f"_bench_{c}") for c in MARKET_KEYS],
-        *[c for c in benchmark.columns if c not in MARKET_KEYS],
-    )
-    same = reduce(
-        lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_bench_{c}")) for c in MARKET_KEYS]
+        *[F.col(c).alias(f"_bench_{c}") for c in by],
+        *[c for c in benchmark.columns if c not in by],
     )
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_bench_{c}")) for c in by])
     ours, theirs = F.col("list_unit_price"), F.col("avg_comp_price")
     return (
         wide.join(keys, same, "left")
-        .drop(*[f"_bench_{c}" for c in MARKET_KEYS])
+        .drop(*[f"_bench_{c}" for c in by])
         .withColumn(
             "price_index_vs_comp", F.when((ours > 0) & (theirs > 0), guarded_ratio(ours, theirs))
         )
@@ -160,3 +159,31 @@ def index_by_competitor(indexed: DataFrame) -> DataFrame:
         "channel_name",
         f"stack({len(stack)}, {', '.join(stack)}) AS (competitor_name, avg_price_index, rows)",
     )
+
+
+def price_quantiles(wide: DataFrame, keys: list[str]) -> DataFrame:
+    """Exact p10, median and p90 of the net unit price above zero for every group."""
+    return grouped_quantiles(
+        wide.where(F.col("net_unit_price") > 0),
+        keys,
+        "net_unit_price",
+        {"p10_net_price": 0.1, "median_net_price": 0.5, "p90_net_price": 0.9},
+    )
+
+
+# Registers of a distinct sketch, as a power of two: its error is 1.04 / sqrt(2 ** BITS) in one
+# of three cases, and three times that bounds all but one in four hundred.
+BITS = 14
+BOUND = 3 * 1.04 / 2 ** (BITS / 2)
+
+
+def weekly_sketches(raw: DataFrame, week: Column, columns: list[str]) -> DataFrame:
+    """week and a mergeable distinct sketch per column: one row a week, kept from load to load."""
+    return raw.groupBy(week.alias("week")).agg(*[F.hll_sketch_agg(F.col(c), BITS).alias(c) for c in columns])
+
+
+def sketched_counts(sketches: DataFrame, columns: list[str]) -> DataFrame:
+    """approx_ distinct counts over any set of weeks, from their sketches alone."""
+    return sketches.agg(
+        *[F.hll_sketch_estimate(F.hll_union_agg(F.col(c))).alias(f"approx_{c}") for c in columns]
+    )

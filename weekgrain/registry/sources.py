@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 
 from weekgrain.operators import base, facts
 from weekgrain.registry.core import query
-from weekgrain.sources.readers import read_csv, read_order_lines, read_preferred, read_snapshot
-from weekgrain.sources.schemas import KPI_COLUMNS, RAW_FILE_COLUMNS, ddl, snake
-from weekgrain.sources.sinks import refresh_partitions, write_csv, write_snapshot
+from weekgrain.sources.infer import profile
+from weekgrain.sources.readers import csv_texts, read_csv, read_order_lines, read_preferred, read_snapshot
+from weekgrain.sources.schemas import RAW_FILE_COLUMNS, snake
+from weekgrain.sources.sinks import write_csv, write_snapshot
+from weekgrain.sources.versions import VersionedTable
 
 RAW = (
     "category:s city:s country:s discount:d market:s order_id:s order_priority:s product_id:s"
@@ -55,6 +57,19 @@ def raw_scan(w):
     return read_order_lines(w.spark, path, "csv")
 
 
+# Line breaks, alone and beside quotes, in cells that files of any size are split through.
+_BROKEN_SQL = """product_name || chr(10) || '"a' || chr(10) || chr(10) || 'b" ' || product_id"""
+
+
+@query("src_01_line_breaks", RAW, f"SELECT * REPLACE ({_BROKEN_SQL} AS product_name) FROM raw")
+def line_breaks(w):
+    path = w.path("out/raw_broken_csv")
+    names = {snake(n): n for n in RAW_FILE_COLUMNS}
+    text = F.concat("product_name", F.lit('\n"a\n\nb" '), "product_id")
+    write_csv(w("raw").withColumn("product_name", text).select(*names).withColumnsRenamed(names), path)
+    return read_order_lines(w.spark, path, "csv", line_breaks=True)
+
+
 @query("src_02_table_scan", SHIPMENT, "SELECT * FROM fact_shipments")
 def table_scan(w):
     return w("fact_shipments")
@@ -116,7 +131,33 @@ def csv_write_minimal(w):
 def csv_read(w):
     path = w.path("out/kpi_csv")
     write_csv(w("kpi").withColumn("channel_name", _awkward("channel_name")), path)
-    return read_csv(w.spark, path, ddl(KPI_COLUMNS))
+    return read_csv(w.spark, path)
+
+
+@query(
+    "src_07_inferred_types",
+    "column:s type:s filled:i",
+    "SELECT * FROM (VALUES ('date_week_id', 'int'), ('operating_country', 'string'), ('channel_name', 'string'),"
+    " ('code', 'string'), ('mixed', 'string'), ('start', 'date'), ('revenue', 'decimal(18,2)')) t(\"column\", type)"
+    " CROSS JOIN (SELECT COUNT(*) AS filled FROM kpi)",
+)
+def inferred_types(w):
+    """Types told from files: among them codes with leading zeros and a column that holds one
+    text only among its numbers."""
+    path = w.path("out/typed_csv")
+    last = w("kpi").agg(F.max("date_week_id")).scalar()
+    rows = w("kpi").select(
+        "date_week_id",
+        "operating_country",
+        "channel_name",
+        F.lpad(F.col("fiscal_week").cast("string"), 4, "0").alias("code"),
+        F.when(F.col("date_week_id") == last, F.lit("n/a")).otherwise(F.col("fiscal_week").cast("string")).alias("mixed"),
+        F.make_date("fiscal_year", F.lit(1), F.lit(31)).alias("start"),
+        (F.lit(1_000_000_000) + F.col("gross_revenue")).cast("decimal(18,2)").alias("revenue"),
+    )
+    write_csv(rows, path)
+    filled = w.spark.read.parquet(w.path("kpi")).agg(F.count(F.lit(1))).scalar()
+    return profile(csv_texts(w.spark, path)).where("null_share = 0").withColumn("filled", filled)
 
 
 @query(
@@ -148,13 +189,13 @@ def table_load(w):
     " FROM fact_shipments GROUP BY 1",
 )
 def full_refresh(w):
-    path = w.path("out/refreshed")
+    table = VersionedTable(w.spark, w.path("out/refreshed"), part="fiscal_year")
     shipments = _by_year(w)
     for _ in range(2):  # the second load replaces the first
-        write_snapshot(shipments, path, partition_by=["fiscal_year"])
-    refresh_partitions(shipments.where(F.col("fiscal_year") == 1998), path, ["fiscal_year"])
+        table.replace(shipments)
+    table.replace_parts(shipments.where(F.col("fiscal_year") == 1998))
     return (
-        w.spark.read.parquet(path)
+        table.read()
         .groupBy("fiscal_year")
         .agg(F.count(F.lit(1)).alias("rows"), F.sum("sell_in_revenue").alias("revenue"))
     )

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
+from weekgrain.sources.infer import typed
 from weekgrain.sources.schemas import RAW_COLUMNS, RAW_FILE_COLUMNS, ddl, snake
-
+from weekgrain.sources.split_csv import read_split_csv
 
 # One dialect for all readers and writers: a header, quotes doubled inside quotes, NA for null,
 # blanks kept, malformed lines refused.
@@ -23,12 +25,17 @@ CSV = {
 }
 
 
-def read_order_lines(spark: SparkSession, path: str, fmt: str = "parquet", **options) -> DataFrame:
+def read_order_lines(
+    spark: SparkSession, path: str, fmt: str = "parquet", line_breaks: bool = False, **options
+) -> DataFrame:
     """Raw order lines with snake_case names; dotted source names go on read.
 
-    CSV files are split for reading, so a cell must not hold a line break: such a file fails.
-    Give multiLine=True for files that do; each of them is then read by one task.
+    CSV files are split for reading. A line break in a cell fails unless line_breaks is given:
+    then the splits are counted first, to tell breaks in cells from those between records.
     """
+    if fmt == "csv" and line_breaks:
+        df = read_split_csv(spark, path, StructType.fromDDL(ddl(RAW_FILE_COLUMNS)), CSV | options)
+        return df.withColumnsRenamed({name: snake(name) for name in RAW_FILE_COLUMNS})
     reader = spark.read.schema(ddl(RAW_FILE_COLUMNS))
     if fmt == "csv":
         reader = reader.options(**CSV)
@@ -55,13 +62,23 @@ def read_snapshot(spark: SparkSession, path: str, schema=None) -> DataFrame:
     return reader.parquet(path)
 
 
-def read_csv(spark: SparkSession, path: str, schema) -> DataFrame:
-    """CSV as the writers here leave it, line breaks in cells included. The schema is declared:
-    inferring it would read the whole data once more. A text NA reads as null."""
-    return spark.read.schema(schema).options(**CSV, multiLine=True).csv(path)
+def csv_texts(spark: SparkSession, path: str) -> DataFrame:
+    """All cells of CSV files as text, under the names of their header."""
+    names = spark.read.options(**CSV, multiLine=True).csv(path).columns
+    return read_split_csv(spark, path, StructType([StructField(n, StringType()) for n in names]), CSV)
+
+
+def read_csv(spark: SparkSession, path: str, schema: StructType | str | None = None) -> DataFrame:
+    """CSV as the writers here leave it, line breaks in cells included, in splits. Without a schema
+    the types are those that all cells of a column have, told in one pass over them. A text NA
+    reads as null."""
+    if schema is None:
+        return typed(csv_texts(spark, path))
+    schema = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    return read_split_csv(spark, path, schema, CSV)
 
 
-def read_preferred(spark: SparkSession, snapshot: str, csv: str, schema) -> DataFrame:
+def read_preferred(spark: SparkSession, snapshot: str, csv: str, schema=None) -> DataFrame:
     """The typed snapshot if it is there, else the CSV."""
     try:
         return spark.read.parquet(snapshot)
