@@ -65,7 +65,7 @@ class Model:
 # Smallest hashes by which copies are told.
 SIGNS = 16
 # Words remembered per task and model.
-MEMO = 100_000
+MEMO = 300_000
 
 
 def segments(scores: list[float], at: list[int], gap: float) -> list[tuple[float, int, int]]:
@@ -103,8 +103,14 @@ def features(word: str, prefixes: tuple[int, ...]) -> list[str]:
 
 def lookup(model: Model, word: str) -> float | None:
     """The strongest score of the word and its beginnings."""
-    got = [model.scores[f] for f in features(word, model.prefixes) if f in model.scores]
-    return max(got, key=abs, default=None)
+    scores = model.scores
+    best = scores.get(word)
+    for n in model.prefixes:
+        if len(word) > n:
+            other = scores.get("~" + word[:n])
+            if other is not None and (best is None or abs(other) > abs(best)):
+                best = other
+    return best
 
 
 def passages(text: str | None, model: Model, memo: dict) -> tuple[int, list[tuple[float, int, int]]]:
