@@ -381,16 +381,28 @@ def deduplicated(docs: DataFrame, how: Sketch = Sketch(words=5)) -> DataFrame:
     rows with the same id and text one stays; unlike texts that share an id are judged each for
     itself; rows with a null id all stay, and texts without words, one for each id; an empty
     table stays empty."""
-    found = _classes(docs, how).where("doc_id is not null").where(F.col("main") & (F.col("doc_id") == F.col("component_id")))
-    left = saved(found.groupBy("doc_id", "mark").agg(F.count(F.lit(1)).alias("n")), "kept")
-    mark = free_name(docs, "mark")
-    marked = docs.withColumn(mark, F.xxhash64("text"))
-    keys = lambda few: few.select("doc_id", F.col("mark").alias(mark))
-    once = marked.join(keys(left.where("n = 1")), ["doc_id", mark], "left_semi")
-    # Only repeated rows are gathered by id and text.
-    repeated = marked.join(keys(left.where("n > 1")), ["doc_id", mark], "left_semi")
-    repeated = repeated.dropDuplicates(["doc_id", mark])
-    return once.unionByName(repeated).select(*docs.columns).unionByName(docs.where("doc_id is null"))
+    found = _classes(docs, how).where("doc_id is not null")
+    stays = F.col("main") & (F.col("doc_id") == F.col("component_id"))
+    keys = found.groupBy("doc_id", "mark").agg(F.max(stays).alias("stays"), F.count(F.lit(1)).alias("n"))
+    touched = saved(keys.where("not stays or n > 1"), "touched")
+
+    # Texts move only if their row may be one of these, as bits of fixed number tell.
+    mark, place = free_name(docs, "mark"), free_name(docs, "place")
+    bits = docs.sparkSession.sparkContext.broadcast(_marked(touched.select(F.xxhash64("doc_id", "mark").alias("id")), how.bits))
+
+    @F.pandas_udf("boolean")
+    def may(at: pd.Series) -> pd.Series:
+        at = at.to_numpy()
+        return pd.Series((bits.value[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(bool))
+
+    marked = docs.where("doc_id is not null").withColumn(mark, F.xxhash64("text"))
+    marked = marked.withColumn(place, F.pmod(F.xxhash64(F.xxhash64("doc_id", mark)), F.lit(how.bits)))
+    doubtful = marked.where(may(place))
+    named = touched.withColumnRenamed("mark", mark)
+    once = doubtful.join(named, ["doc_id", mark], "left_anti")
+    repeated = doubtful.join(named.where("stays"), ["doc_id", mark], "left_semi").dropDuplicates(["doc_id", mark])
+    out = marked.where(~may(place)).unionByName(once).unionByName(repeated)
+    return out.select(*docs.columns).unionByName(docs.where("doc_id is null"))
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
