@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 from weekgrain.llm.common import FOLD, LOWER, UPPER, saved, table
 
 BUCKETS = 1 << 16
-LONGEST = 24
+LONGEST = 63  # letters of a host's name, by the rules of host names
+SMOOTH = 0.1
 SALTS = 16
 
 
@@ -166,13 +167,17 @@ class Bayes:
 
 
 def learn(tokens: DataFrame, urls: dict[str, int]) -> Bayes:
-    """From (token, verdict, n) counts; urls: how many have each verdict. At most two rows per
-    bucket reach the driver."""
+    """From (token, verdict, n) counts; urls: how many have each verdict. SMOOTH is added to each
+    bucket that has a token, of either verdict; buckets without any say nothing. At most two
+    rows per bucket reach the driver."""
     rows = tokens.groupBy(_bucket(F.col("token")).alias("bucket"), "verdict").agg(F.sum("n").alias("n")).collect()
-    counts = {v: np.ones(BUCKETS) for v in ("allow", "block")}
+    counts = {v: np.zeros(BUCKETS) for v in ("allow", "block")}
     for r in rows:
         counts[r["verdict"]][r["bucket"]] += r["n"]
-    odds = {v: np.log(c) - math.log(c.sum()) for v, c in counts.items()}
+    seen = counts["allow"] + counts["block"] > 0
+    odds = {v: np.zeros(BUCKETS) for v in counts}
+    for v, c in counts.items():
+        odds[v][seen] = np.log((c[seen] + SMOOTH) / (c.sum() + SMOOTH * seen.sum()))
     prior = math.log((urls.get("block", 0) + 1) / (urls.get("allow", 0) + 1))
     return Bayes(odds["block"] - odds["allow"], prior)
 
@@ -187,33 +192,43 @@ def _score(tokens: Column, bayes: Bayes) -> Column:
     return add(F.transform(tokens, _bucket))
 
 
-def judge(pages: DataFrame, rules=RULES) -> DataFrame:
+def judge(pages: DataFrame, rules=RULES, teach: Column | None = None) -> DataFrame:
     """page_id, host, path, rule, verdict, log_odds: one row per row of pages.
 
     Rules decide where one fits; elsewhere a url is blocked if the odds of naive Bayes are
     above even. Null urls, and those without ://, have empty host and path and get the prior's
     verdict; null html has no words; repeated rows are judged each; an empty table gives no
-    rows; other columns are left out. All pages feed the lexicon and all urls that rules decide
-    feed the classifier, counted before they are shuffled. Scores of hosts are joined back on
-    (host, salt), so a host that holds much of the table is spread over SALTS keys.
+    rows; other columns are left out; very long hosts are split into names of LONGEST letters at
+    most, and words of pages beyond that cannot be part of a name. All pages feed the lexicon and
+    all urls that rules decide feed the classifier, counted before they are shuffled; with
+    `teach`, a condition on pages, only those that it holds for do, so that the others can test
+    it. Scores of hosts are joined back on (host, salt), so a host that holds much of the table
+    is spread over SALTS keys.
     """
     host, path = host_and_path(F.col("url"))
-    urls = pages.select("page_id", host.alias("host"), path.alias("path"))
+    teach = F.lit(True) if teach is None else teach
+    urls = pages.select("page_id", host.alias("host"), path.alias("path"), teach.alias("teach"))
     rule, verdict = decided(F.col("host"), F.col("path"), rules)
     words = F.regexp_extract_all(F.translate("path", UPPER, LOWER), F.lit("[a-z]+|[0-9]+"), F.lit(0))
     urls = urls.select(
-        "page_id", "host", "path", rule.alias("rule"), verdict.alias("listed"), words.alias("tokens")
+        "page_id",
+        "host",
+        "path",
+        rule.alias("rule"),
+        verdict.alias("listed"),
+        F.when(F.col("teach"), verdict).alias("lesson"),
+        words.alias("tokens"),
     )
-    by_host = saved(urls.groupBy("host", "listed").agg(F.count(F.lit(1)).alias("n")), "hosts")
+    by_host = saved(urls.groupBy("host", "lesson").agg(F.count(F.lit(1)).alias("n")), "hosts")
     cut = saved(segmented(by_host.select("host").distinct(), saved(lexicon(pages), "lexicon")), "split_hosts")
 
-    taught = by_host.where("listed is not null")
-    seen = {r["listed"]: r["n"] for r in taught.groupBy("listed").agg(F.sum("n").alias("n")).collect()}
+    taught = by_host.where("lesson is not null")
+    seen = {r["lesson"]: r["n"] for r in taught.groupBy("lesson").agg(F.sum("n").alias("n")).collect()}
     in_hosts = taught.join(cut, "host").select(
-        F.explode("tokens").alias("token"), F.col("listed").alias("verdict"), "n"
+        F.explode("tokens").alias("token"), F.col("lesson").alias("verdict"), "n"
     )
-    in_paths = urls.where("listed is not null").select(
-        F.explode("tokens").alias("token"), F.col("listed").alias("verdict"), F.lit(1).cast("bigint").alias("n")
+    in_paths = urls.where("lesson is not null").select(
+        F.explode("tokens").alias("token"), F.col("lesson").alias("verdict"), F.lit(1).cast("bigint").alias("n")
     )
     bayes = learn(in_hosts.unionByName(in_paths), seen)
 
