@@ -9,7 +9,8 @@ from weekgrain.registry.core import query
 from weekgrain.registry.oracle import SEGMENT, binned, ratio, weighted
 from weekgrain.registry.rows import SEG
 from weekgrain.registry.sources import KPI, RAW
-from weekgrain.sources.readers import standardise
+from weekgrain.sources.layout import write_interleaved
+from weekgrain.sources.readers import read_snapshot, standardise
 
 BINS = "bin:i bin_start:r9 bin_end:r9 count:i"
 
@@ -177,6 +178,18 @@ def slicers(w):
     )
 
 
+@query("doc_03_slicers_any_column", KPI,
+       "SELECT * FROM kpi WHERE operating_country IN ('NATION_3', 'NATION_17') AND product_family = 'Oral Nicotine'"
+       " UNION ALL SELECT * FROM kpi WHERE date_week_id BETWEEN 199501 AND 199513")
+def slicers_any_column(w):
+    """Slices of a table whose files are dealt by week, country and family at once."""
+    path = w.path("out/kpi_by_slicers")
+    write_interleaved(w("kpi"), path, ["date_week_id", "operating_country", "product_family"], files=32)
+    laid = read_snapshot(w.spark, path, w("kpi").schema)
+    places = kpi.sliced(laid, operating_country=["NATION_3", "NATION_17"], product_family="Oral Nicotine")
+    return places.unionByName(kpi.sliced(laid, weeks=(199501, 199513)))
+
+
 @query("doc_04_pricing_page", "price_strategy:s date_week_id:i rows:i list_price:d net_price:d price_changes:i"
        " price_realization:d",
        "SELECT *, CASE WHEN list_price > 0 THEN net_price / list_price END AS price_realization FROM ("
