@@ -10,8 +10,9 @@ pairs that cannot be similar enough; the rest are verified on the full sets.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -25,7 +26,9 @@ from weekgrain.llm.blocks import blocked, units
 from weekgrain.llm.common import free_name, salted_join, saved, table
 from weekgrain.llm.graph import components
 
+# Shingles sketched at a time, and rows given back at a time.
 BATCH = 1 << 18
+ROWS = 2048
 
 
 @dataclass(frozen=True)
@@ -102,7 +105,7 @@ def _digest(s: np.ndarray) -> tuple[int, int]:
     return tuple(np.frombuffer(xxh3_128_digest(s.tobytes()), dtype=np.int64).tolist())
 
 
-def _sketched(texts: list, how: Sketch) -> Iterator[tuple]:
+def _sketched(texts: Iterable, how: Sketch) -> Iterator[tuple]:
     """(n, a, b, sketch) of each text, in turns of about BATCH shingles."""
     sets: list[np.ndarray] = []
 
@@ -298,16 +301,29 @@ def _across(cards: DataFrame, families: DataFrame, parts: DataFrame, how: Sketch
     return work.groupBy("work").applyInPandas(compare, "a long, b long")
 
 
+def _read(docs: DataFrame, how: Sketch) -> DataFrame:
+    """doc_id, mark, n_shingles, k1, k2, sketch: one row per row of docs. Texts are taken from their
+    batch one by one, so a task holds the batch and about BATCH shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found, at = _sketched((t.as_py() for t in batch.column("text")), how), 0
+            while rows := list(islice(found, ROWS)):
+                own = [batch.column(c).slice(at, len(rows)) for c in ("doc_id", "mark")]
+                columns = [*own, *map(list, zip(*rows, strict=True))]
+                made = [pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)]
+                yield pa.RecordBatch.from_arrays(made, schema=schema)
+                at += len(rows)
+
+    shape = StructType([docs.schema["doc_id"], *StructType.fromDDL("mark long, n_shingles long, k1 long, k2 long, sketch binary")])
+    schema = to_arrow_schema(shape)
+    return docs.select("doc_id", F.xxhash64("text").alias("mark"), "text").mapInArrow(run, shape)
+
+
 def _classes(docs: DataFrame, how: Sketch) -> DataFrame:
     """doc_id, n_shingles, component_id, main, mark: one row per row of docs. main: whether the row
     has the set that stands for its component; mark: a hash of its text."""
-
-    @F.pandas_udf("n_shingles long, k1 long, k2 long, sketch binary")
-    def read(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame(list(_sketched(list(texts), how)), columns=["n_shingles", "k1", "k2", "sketch"])
-
-    seen = docs.select("doc_id", F.xxhash64("text").alias("mark"), read("text").alias("r"))
-    seen = saved(seen.select("doc_id", "mark", "r.*"), "sketches")
+    seen = saved(_read(docs, how), "sketches")
     sets = (
         seen.where("n_shingles > 0 and doc_id is not null")
         .groupBy("k1", "k2")
