@@ -296,11 +296,24 @@ def _judged(rows: DataFrame, models: list[Model], measure) -> list:
 
     @F.pandas_udf("n long, value array<double>")
     def scan(texts: pd.Series) -> pd.DataFrame:
-        memos: list[dict] = [{} for _ in models]
+        memo: dict[str, tuple] = {}  # which models score a word, and how
         out = []
         for text in texts:
-            read = [(model, *passages(text, model, memo)) for model, memo in zip(models, memos, strict=True)]
-            out.append((read[0][1], [float(measure(n, found, model)) for model, n, found in read]))
+            words = WORD.findall((text or "").lower())
+            scores: list[list[float]] = [[] for _ in models]
+            at: list[list[int]] = [[] for _ in models]
+            for i, word in enumerate(words):
+                known = memo.get(word)
+                if known is None:
+                    if len(memo) > MEMO:
+                        memo.clear()
+                    own = ((k, lookup(model, word)) for k, model in enumerate(models))
+                    known = memo[word] = tuple((k, s) for k, s in own if s is not None)
+                for k, s in known:
+                    scores[k].append(s)
+                    at[k].append(i)
+            found = [segments(s, p, m.rest) for s, p, m in zip(scores, at, models, strict=True)]
+            out.append((len(words), [float(measure(len(words), f, m)) for f, m in zip(found, models, strict=True)]))
         return pd.DataFrame(out, columns=["n", "value"])
 
     return rows.select("toxic", scan("text").alias("s")).select("toxic", "s.*").collect()
