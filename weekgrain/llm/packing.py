@@ -26,7 +26,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from weekgrain.llm.common import saved, table
-from weekgrain.llm.word_ids import slices, word_ids
+from weekgrain.llm.word_ids import texts_of, word_ids
 
 CAPACITY = 4096
 END_ID = 1
@@ -51,9 +51,8 @@ def numbered_pieces(docs: DataFrame, path: str | None = None, capacity: int = CA
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine, seen = word_ids(path), Counter()
         for batch in batches:
-            texts = ["" if t is None else t for t in batch.column("text").to_pylist()]
-            for part in slices(texts):
-                ids, sizes = machine.closed(texts[part], END_ID)
+            for part, texts in texts_of(batch.column("text")):
+                ids, sizes = machine.closed(texts, END_ID)
                 packed, at, rows = ids.tobytes(), 0, []
                 for row, size in enumerate((4 * sizes).tolist(), part.start):
                     for piece, start, length, crc in cut(packed[at : at + size], capacity):

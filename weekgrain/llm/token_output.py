@@ -26,7 +26,7 @@ from pyspark.sql import Window as W
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from weekgrain.llm.common import saved, scratch, table
-from weekgrain.llm.word_ids import slices, word_ids
+from weekgrain.llm.word_ids import texts_of, word_ids
 from weekgrain.sources.staging import shared_root
 
 END_ID = 1
@@ -67,9 +67,8 @@ def tokens(docs: DataFrame, path: str | None = None, end: int = END_ID) -> DataF
         machine = word_ids(path)
         kind = _kind(machine.size)
         for batch in batches:
-            texts = ["" if t is None else t for t in batch.column("text").to_pylist()]
-            for part in slices(texts):
-                ids, sizes = machine.closed(texts[part], end)
+            for part, texts in texts_of(batch.column("text")):
+                ids, sizes = machine.closed(texts, end)
                 packed = ids.astype(kind).tobytes()
                 ends = np.cumsum(sizes) * np.dtype(kind).itemsize
                 starts = np.concatenate([[0], ends[:-1]])

@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 # Strings remembered per Python worker, and the longest that is: together some 100 MB.
 MEMO = 500_000
 LONGEST = 64
-# Characters encoded at a time.
+# Characters, or bytes, encoded at a time.
 SLICE = 1 << 23
 
 # Within these letters the pretoken pattern needs no Unicode properties, lower-casing goes letter
@@ -31,14 +31,23 @@ PLAIN = re.compile(f"[\t-\r -~{LATIN}]*\\Z")
 WORDS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[a-z{LATIN}]+|[0-9]|[^\t-\r a-z0-9{LATIN}]+")
 
 
-def slices(texts: list[str], chars: int = SLICE) -> Iterator[slice]:
-    """Consecutive slices of about `chars` characters; a longer text is one of its own."""
+def texts_of(column: pa.Array) -> Iterator[tuple[slice, list[str]]]:
+    """Rows of a column of texts, null as empty, in slices of about SLICE bytes: only one slice at
+    a time is held as Python strings."""
+    for part in slices(pc.fill_null(pc.binary_length(column), 0).to_pylist()):
+        yield part, ["" if t is None else t for t in column.slice(part.start, part.stop - part.start).to_pylist()]
+
+
+def slices(texts: list[str] | list[int], chars: int = SLICE) -> Iterator[slice]:
+    """Consecutive slices of about `chars` characters, of texts or of their sizes; a longer text is
+    one of its own."""
     start = held = 0
     for i, text in enumerate(texts):
-        if held and held + len(text) > chars:
+        size = text if isinstance(text, int) else len(text)
+        if held and held + size > chars:
             yield slice(start, i)
             start, held = i, 0
-        held += len(text)
+        held += size
     if start < len(texts):
         yield slice(start, len(texts))
 
@@ -50,7 +59,10 @@ def gather(flat: np.ndarray, sizes: np.ndarray, at: np.ndarray) -> tuple[np.ndar
     n = sizes[at]
     ends = np.cumsum(n)
     total = int(ends[-1]) if len(ends) else 0
-    return flat[np.arange(total) + np.repeat(starts[at] - (ends - n), n)], ends
+    kind = np.int32 if max(total, len(flat)) < 1 << 31 else np.int64
+    places = np.repeat((starts[at] - (ends - n)).astype(kind), n)
+    places += np.arange(total, dtype=kind)
+    return flat[places], ends
 
 
 class WordIds:
