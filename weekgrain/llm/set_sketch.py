@@ -162,30 +162,30 @@ def _registers(column: pd.Series, how: Sketch) -> np.ndarray:
     return np.frombuffer(b"".join(column), dtype="<u2").reshape(len(column), how.registers)
 
 
-def _marked(ids: DataFrame, bits: int) -> np.ndarray:
-    """A bit for each id, by its hash: of fixed size, however many ids there are."""
-    h = F.pmod(F.xxhash64("id"), F.lit(bits))
-    words = ids.select(h.alias("h")).selectExpr("shiftright(h, 6) AS w", "shiftleft(1L, CAST(h & 63 AS INT)) AS b")
-    out = np.zeros(bits // 64, dtype=np.int64)
-    for row in words.groupBy("w").agg(F.bit_or("b").alias("b")).toLocalIterator():
-        out[row["w"]] = row["b"]
-    return out.view(np.uint64)
+def _told(rows: DataFrame, key: Column, ids: DataFrame, bits: int, name: str) -> DataFrame:
+    """rows with one more column, by name: whether key hashes to the bit of one of `ids` (id). The
+    bits are a table of bits / 64 rows at most, however many ids there are, sent to every task."""
+    word, held = free_name(rows, "word"), free_name(rows, "held")
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
+    own = ids.select(place(F.col("id")).alias("h")).selectExpr("shiftright(h, 6) AS w", "shiftleft(1L, CAST(h & 63 AS INT)) AS b")
+    marks = saved(own.groupBy(F.col("w").alias(word)).agg(F.bit_or("b").alias(held)), "marks")
+    found = rows.withColumn(word, F.shiftright(place(key), 6)).join(F.broadcast(marks), word, "left")
+    bit = F.call_function("shiftright", F.col(held), F.pmod(place(key), F.lit(64)).cast("int")).bitwiseAND(F.lit(1))
+    return found.withColumn(name, F.coalesce(bit == 1, F.lit(False))).drop(word, held)
 
 
 def _full_sets(docs: DataFrame, named: DataFrame, how: Sketch) -> DataFrame:
     """id, k1, k2, set: the whole sets of the documents with the ids in `named`, and of a few
-    more that share a bit with one. The texts are read again and stay where they are."""
-    words, bits = how.words, how.bits
-    marks = docs.sparkSession.sparkContext.broadcast(_marked(named, bits))
+    more that share a bit with one. The texts are read again and stay where they are; only these
+    reach Python."""
+    words = how.words
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = batch.column("at").to_numpy()
-            there = np.flatnonzero(marks.value[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1))
             rows, size = [], 0
-            for i in there.tolist():
-                found = shingles(batch.column("text")[i].as_py(), words)
-                rows.append((batch.column("id")[i].as_py(), *_digest(found), found.view(np.int64)))
+            for i, text in zip(batch.column("id"), batch.column("text"), strict=True):
+                found = shingles(text.as_py(), words)
+                rows.append((i.as_py(), *_digest(found), found.view(np.int64)))
                 size += len(found)
                 if size >= BATCH:
                     yield made(rows)
@@ -199,7 +199,8 @@ def _full_sets(docs: DataFrame, named: DataFrame, how: Sketch) -> DataFrame:
     shape = StructType([StructField("id", docs.schema["doc_id"].dataType), *StructType.fromDDL("k1 long, k2 long, set array<bigint>")])
     schema = to_arrow_schema(shape)
     texts = docs.where("doc_id is not null").select(F.col("doc_id").alias("id"), "text")
-    return texts.withColumn("at", F.pmod(F.xxhash64("id"), F.lit(bits))).mapInArrow(run, shape)
+    told = _told(texts, F.col("id"), named, how.bits, "told").where("told")
+    return told.select("id", "text").mapInArrow(run, shape)
 
 
 def _stars(members: DataFrame) -> DataFrame:
@@ -403,21 +404,16 @@ def deduplicated(docs: DataFrame, how: Sketch = Sketch(words=5)) -> DataFrame:
     touched = saved(keys.where("not stays or n > 1"), "touched")
 
     # Texts move only if their row may be one of these, as bits of fixed number tell.
-    mark, place = free_name(docs, "mark"), free_name(docs, "place")
-    bits = docs.sparkSession.sparkContext.broadcast(_marked(touched.select(F.xxhash64("doc_id", "mark").alias("id")), how.bits))
-
-    @F.pandas_udf("boolean")
-    def may(at: pd.Series) -> pd.Series:
-        at = at.to_numpy()
-        return pd.Series((bits.value[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(bool))
-
+    mark = free_name(docs, "mark")
     marked = docs.where("doc_id is not null").withColumn(mark, F.xxhash64("text"))
-    marked = marked.withColumn(place, F.pmod(F.xxhash64(F.xxhash64("doc_id", mark)), F.lit(how.bits)))
-    doubtful = marked.where(may(place))
+    told = free_name(marked, "told")
+    keys = touched.select(F.xxhash64("doc_id", "mark").alias("id"))
+    marked = _told(marked, F.xxhash64("doc_id", mark), keys, how.bits, told)
+    doubtful = marked.where(F.col(told))
     named = touched.withColumnRenamed("mark", mark)
     once = doubtful.join(named, ["doc_id", mark], "left_anti")
     repeated = doubtful.join(named.where("stays"), ["doc_id", mark], "left_semi").dropDuplicates(["doc_id", mark])
-    out = marked.where(~may(place)).unionByName(once).unionByName(repeated)
+    out = marked.where(~F.col(told)).unionByName(once).unionByName(repeated)
     return out.select(*docs.columns).unionByName(docs.where("doc_id is null"))
 
 
