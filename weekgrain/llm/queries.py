@@ -30,10 +30,16 @@ NAMES = {
     "op13_token_output": "token_output.op13",
 }
 _shipped: set[str] = set()
+# Bytes of a batch that goes to Python: a few copies of it are held on either side.
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 1 << 24
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors' Python, once per application."""
+    """Send this package to the executors' Python, once per application, and bound the session's
+    Arrow batches unless the application has its own bound."""
+    if not spark.sparkContext.getConf().contains(BATCH):
+        spark.conf.set(BATCH, str(BATCH_BYTES))
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
