@@ -30,6 +30,8 @@ from weekgrain.llm.word_ids import texts_of, word_ids
 
 CAPACITY = 4096
 END_ID = 1
+# Bytes of text encoded at a time.
+SLICE = 1 << 22
 PIECE = [
     StructField("piece", IntegerType()),
     *[StructField(name, LongType()) for name in ("start", "length", "ids_crc32", "place")],
@@ -51,7 +53,7 @@ def numbered_pieces(docs: DataFrame, path: str | None = None, capacity: int = CA
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine, seen = word_ids(path), Counter()
         for batch in batches:
-            for part, texts in texts_of(batch.column("text")):
+            for part, texts in texts_of(batch.column("text"), SLICE):
                 ids, sizes = machine.closed(texts, END_ID)
                 packed, at, rows = ids.tobytes(), 0, []
                 for row, size in enumerate((4 * sizes).tolist(), part.start):

@@ -32,7 +32,7 @@ NAMES = {
 _shipped: set[str] = set()
 # Bytes of a batch that goes to Python: a few copies of it are held on either side.
 BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
-BATCH_BYTES = 1 << 24
+BATCH_BYTES = 1 << 23
 
 
 def ship(spark: SparkSession) -> None:

@@ -31,10 +31,10 @@ PLAIN = re.compile(f"[\t-\r -~{LATIN}]*\\Z")
 WORDS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[a-z{LATIN}]+|[0-9]|[^\t-\r a-z0-9{LATIN}]+")
 
 
-def texts_of(column: pa.Array) -> Iterator[tuple[slice, list[str]]]:
-    """Rows of a column of texts, null as empty, in slices of about SLICE bytes: only one slice at
+def texts_of(column: pa.Array, size: int = SLICE) -> Iterator[tuple[slice, list[str]]]:
+    """Rows of a column of texts, null as empty, in slices of about `size` bytes: only one slice at
     a time is held as Python strings."""
-    for part in slices(pc.fill_null(pc.binary_length(column), 0).to_pylist()):
+    for part in slices(pc.fill_null(pc.binary_length(column), 0).to_pylist(), size):
         yield part, ["" if t is None else t for t in column.slice(part.start, part.stop - part.start).to_pylist()]
 
 
