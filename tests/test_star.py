@@ -176,3 +176,12 @@ def test_wide_needs_no_shuffle_when_dimensions_are_small(tables):
     from weekgrain.plans.warehouse import BUILD
 
     assert not [o for o in plan(BUILD["wide"](tables)) if "Exchange hash" in o]
+
+
+def test_the_raw_view_is_run_once(spark, tables):
+    from weekgrain.plans.warehouse import BUILD
+
+    # The test tables' view joins lines and orders; what is built from it reads the staged lines.
+    assert "SortMergeJoin" in plan(BUILD["raw_lines"](tables))
+    for name in ("raw_places", "raw_products", "raw_weeks", "fact_weekly"):
+        assert "SortMergeJoin" not in plan(BUILD[name](tables)), name

@@ -1,6 +1,6 @@
 """The raw lines as the star schema reads them, and the attributes that they hold.
 
-Lines are projected, never laid out whole: dimensions come from the distinct attributes, which
+Lines are projected, never laid out by a key: dimensions come from the distinct attributes, which
 are combined map-side to tables of their own, and the facts join those to the lines.
 """
 
@@ -39,13 +39,25 @@ def lines(raw: DataFrame) -> DataFrame:
 
 def places(raw: DataFrame) -> DataFrame:
     """Distinct places, markets and channels."""
-    return lines(raw).select(*PLACE, *MARKET, "channel_name").distinct()
+    return places_of(lines(raw))
 
 
 def products(raw: DataFrame) -> DataFrame:
     """Distinct products, ids as stored and as compared, with their categories."""
-    return lines(raw).select(*PRODUCT).distinct()
+    return products_of(lines(raw))
 
 
 def weeks(raw: DataFrame) -> DataFrame:
-    return lines(raw).select(*WEEK).distinct()
+    return weeks_of(lines(raw))
+
+
+def places_of(lines: DataFrame) -> DataFrame:
+    return lines.select(*PLACE, *MARKET, "channel_name").distinct()
+
+
+def products_of(lines: DataFrame) -> DataFrame:
+    return lines.select(*PRODUCT).distinct()
+
+
+def weeks_of(lines: DataFrame) -> DataFrame:
+    return lines.select(*WEEK).distinct()

@@ -17,9 +17,12 @@ from weekgrain.sources.readers import read_snapshot
 from weekgrain.sources.sinks import write_snapshot
 
 BUILD: dict[str, Callable[[Callable[[str], DataFrame]], DataFrame]] = {
-    "raw_places": lambda t: base.places(t("raw")),
-    "raw_products": lambda t: base.products(t("raw")),
-    "raw_weeks": lambda t: base.weeks(t("raw")),
+    # The raw lines may be a view with joins or text to parse: that is done once. Four builds read
+    # what they need of this table.
+    "raw_lines": lambda t: base.lines(t("raw")),
+    "raw_places": lambda t: base.places_of(t("raw_lines")),
+    "raw_products": lambda t: base.products_of(t("raw_lines")),
+    "raw_weeks": lambda t: base.weeks_of(t("raw_lines")),
     "dim_channel": lambda t: dims.channels(t("raw_places")),
     "dim_country": lambda t: dims.countries(t("raw_places")),
     "dim_region": lambda t: dims.regions(t("raw_places"), t("dim_country")),
@@ -30,7 +33,7 @@ BUILD: dict[str, Callable[[Callable[[str], DataFrame]], DataFrame]] = {
     ),
     "fact_weekly": lambda t: dataset.enrich_facts(
         facts.shipments(
-            base.lines(t("raw")),
+            t("raw_lines"),
             t("dim_country"),
             t("dim_region"),
             t("dim_channel"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from weekgrain.functions import ratios
-from weekgrain.operators import base, dims, facts, quality
+from weekgrain.operators import dims, facts, quality
 from weekgrain.plans import dashboard, decision, eda, kpi
 from weekgrain.registry.core import in_order, query
 from weekgrain.registry.oracle import KEYS, SEGMENT, ratio
@@ -60,7 +60,7 @@ def wholesaler_dim(w):
 @query("agg_08_shipments_fact", SHIPMENT, "SELECT * FROM fact_shipments")
 def shipments_fact(w):
     return facts.shipments(
-        base.lines(w("raw")), w("dim_country"), w("dim_region"), w("dim_channel"), w("dim_wholesaler")
+        w("raw_lines"), w("dim_country"), w("dim_region"), w("dim_channel"), w("dim_wholesaler")
     )
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from weekgrain.operators import base, facts
+from weekgrain.operators import facts
 from weekgrain.registry.core import query
 from weekgrain.sources.infer import profile
 from weekgrain.sources.readers import csv_texts, read_csv, read_order_lines, read_preferred, read_snapshot
@@ -176,7 +176,7 @@ def fallback_read(w):
 def table_load(w):
     path = w.path("out/loaded_shipments")
     loaded = facts.shipments(
-        base.lines(w("raw")), w("dim_country"), w("dim_region"), w("dim_channel"), w("dim_wholesaler")
+        w("raw_lines"), w("dim_country"), w("dim_region"), w("dim_channel"), w("dim_wholesaler")
     )
     write_snapshot(loaded, path)
     return w.spark.read.parquet(path)
