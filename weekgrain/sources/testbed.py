@@ -33,41 +33,40 @@ def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     def read(name):
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
-    places = read("nation").join(read("region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    buyers = (
-        read("customer")
-        .join(places, F.col("c_nationkey") == F.col("n_nationkey"))
-        .select(
-            "c_custkey",
-            "n_name",
-            "r_name",
-            F.concat("n_name", F.lit("-"), (F.col("c_custkey") % 2).cast("string")).alias("city"),
-            choose(F.col("c_mktsegment"), SEGMENT_OF_MARKET, F.col("c_mktsegment")).alias("segment"),
-        )
+    buyers = read("customer").select(
+        "c_custkey",
+        "c_nationkey",
+        (F.col("c_custkey") % 2).cast("string").alias("half"),
+        choose(F.col("c_mktsegment"), SEGMENT_OF_MARKET, F.col("c_mktsegment")).alias("segment"),
     )
     orders = (
         read("orders")
         .join(buyers, F.col("o_custkey") == F.col("c_custkey"))
-        .select("o_orderkey", "o_orderpriority", "city", "n_name", "r_name", "segment")
+        .select("o_orderkey", "o_orderpriority", "c_nationkey", "half", "segment")
     )
-    # Lines travel through the shuffle as they are stored; what follows from them is worked
-    # out behind it, in narrower rows and more tasks.
+    # Lines travel through the shuffles as they are stored; what follows from them is worked
+    # out behind these, in narrower rows and more tasks. So are the names of places, two small
+    # tables, and the texts of products.
     lines = read("lineitem").select(
         "l_orderkey", "l_partkey", "l_quantity", "l_extendedprice", "l_discount", "l_shipdate"
     )
-    parts = read("part").select(
-        "p_partkey",
-        F.col("p_name").alias("product_name"),
-        F.col("p_brand").alias("sub_category"),
-        choose(F.col("p_type"), CATEGORY_OF_TYPE, F.col("p_type")).alias("category"),
-        F.concat(
-            F.lit(" "), F.lower(F.concat_ws("-", "p_brand", "p_type")), F.lit(" ")
-        ).alias("product_id"),
-    )
+    parts = read("part").select("p_partkey", "p_name", "p_brand", "p_type")
     joined = (
         lines.hint("merge")
         .join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
         .join(parts, F.col("l_partkey") == F.col("p_partkey"))
+        .join(read("nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+        .join(read("region"), F.col("n_regionkey") == F.col("r_regionkey"))
+        .select(
+            "*",
+            F.concat("n_name", F.lit("-"), "half").alias("city"),
+            F.col("p_name").alias("product_name"),
+            F.col("p_brand").alias("sub_category"),
+            choose(F.col("p_type"), CATEGORY_OF_TYPE, F.col("p_type")).alias("category"),
+            F.concat(
+                F.lit(" "), F.lower(F.concat_ws("-", "p_brand", "p_type")), F.lit(" ")
+            ).alias("product_id"),
+        )
     )
     price = F.col("l_extendedprice").cast("decimal(12,2)")
     discount = (F.abs("l_discount").cast("decimal(5,4)") * 5).cast("decimal(10,4)")
