@@ -178,6 +178,22 @@ def test_wide_needs_no_shuffle_when_dimensions_are_small(tables):
     assert not [o for o in plan(BUILD["wide"](tables)) if "Exchange hash" in o]
 
 
+def test_decimals_are_summed_in_longs_to_the_same_sums(spark):
+    df = spark.sql(
+        "SELECT * FROM VALUES (1, CAST(99999999.99 AS DECIMAL(10,2)), CAST(-0.9999 AS DECIMAL(10,4)), 0.5D),"
+        " (1, -0.01, 0.0001, 1D), (1, 99999999.99, null, null), (2, null, null, null), (null, -99999999.99, 0, 2D)"
+        " AS t(k, money, rate, plain)"
+    )
+    for name in ("money", "rate", "plain"):
+        got = df.groupBy("k").agg(facts.narrow_sum(df, name).alias("x"))
+        want = df.groupBy("k").agg(F.sum(name).alias("x"))
+        assert got.schema["x"].dataType == want.schema["x"].dataType
+        assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+    lines = base.lines(raw(spark, {}))
+    text = lines.groupBy("country").agg(facts.narrow_sum(lines, "sales"))._jdf.queryExecution().executedPlan().toString()
+    assert "as bigint" in text and "partial_sum(sales" not in text
+
+
 def test_the_raw_view_is_run_once(spark, tables):
     from weekgrain.plans.warehouse import BUILD
 
