@@ -1,7 +1,9 @@
 import random
+import re
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -43,3 +45,25 @@ def test_slices_hold_every_text():
     parts = list(wi.slices(texts, 10))
     assert [t for p in parts for t in texts[p]] == texts
     assert max(len(texts[p]) for p in parts) > 1 and ["a" * 30] in [texts[p][:1] for p in parts]
+
+
+def test_pretokens_of_the_pattern():
+    pattern = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[a-z{wi.LATIN}]+|[0-9]|[^a-z0-9{wi.LATIN}]+")
+    rng = random.Random(8)
+    bits = ["'", "'", "s", "t", "re", "ve", "m", "ll", "d", "r", "l", "é", "ſ", "ŉ", "1", "2", "!", "-", "'s"]
+    strings = ["", "'", "'s", *("".join(rng.choices(bits, k=rng.randint(0, 9))) for _ in range(20_000)), "'", ""]
+    column = pa.array(strings, pa.large_string())
+    for a, n in ((0, len(strings)), (500, 70), (0, 1), (0, 0), (3, 0)):
+        found, counts = wi.pretokens(column.slice(a, n))
+        each = [pattern.findall(x) for x in strings[a : a + n]]
+        assert counts.tolist() == [len(x) for x in each]
+        assert found.to_pylist() == [y for x in each for y in x]
+
+
+def test_strings_of_known_pretokens_are_not_learned():
+    machine = wi.WordIds(public_tokenizers.path("word_bpe_49k.json"))
+    machine.encode(["stop don't a ."])
+    known = set(machine.newer)
+    assert known == {"stop", "don", "'t", "a", "."}
+    machine.encode(["stop. a.stop don't. .don't"])
+    assert set(machine.newer) == known

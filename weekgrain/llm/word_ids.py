@@ -1,8 +1,9 @@
 """Ids of the word vocabulary for many texts at once.
 
 White space parts pretokens, so what stands between it always has the same ids. A slice of texts
-is split and its different strings numbered by Arrow; only strings not met before are encoded,
-pretoken by pretoken, and the ids of all texts are then gathered by number.
+is split and its different strings numbered by Arrow; these are cut into pretokens, numbered
+likewise. Only pretokens not met before are encoded; the ids of all strings, and then those of
+all texts, are gathered by number.
 """
 
 from __future__ import annotations
@@ -16,9 +17,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-# Strings remembered per Python worker, and the longest that is: together some 100 MB.
-MEMO = 500_000
+# Pretokens remembered per Python worker, and the longest that is: together some 60 MB.
+MEMO = 200_000
 LONGEST = 64
+# Pretokens given to the library at a time.
+TOGETHER = 10_000
 # Characters, or bytes, encoded at a time.
 SLICE = 1 << 23
 
@@ -27,8 +30,14 @@ SLICE = 1 << 23
 # library whole.
 LATIN = "À-ÖØ-öø-įı-ſ"
 PLAIN = re.compile(f"[\t-\r -~{LATIN}]*\\Z")
-# fixed value: the pretoken pattern of the word vocabulary, for these letters
-WORDS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[a-z{LATIN}]+|[0-9]|[^\t-\r a-z0-9{LATIN}]+")
+# fixed values: of the pretoken pattern of the word vocabulary, for these letters: runs of letters,
+# digits alone, runs of all else, and endings after an apostrophe
+OTHER, LETTER, DIGIT = 0, 1, 2
+KINDS = np.zeros(256, dtype=np.uint8)
+KINDS[ord("a") : ord("z") + 1] = LETTER
+KINDS[0x80:] = LETTER  # every other letter, in UTF-8
+KINDS[ord("0") : ord("9") + 1] = DIGIT
+ENDINGS = (b"s", b"t", b"re", b"ve", b"m", b"ll", b"d")
 
 
 def texts_of(column: pa.Array, size: int = SLICE) -> Iterator[tuple[slice, list[str]]]:
@@ -65,12 +74,53 @@ def gather(flat: np.ndarray, sizes: np.ndarray, at: np.ndarray) -> tuple[np.ndar
     return flat[places], ends
 
 
+def _bounds(ends: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Where each of some stretches of entries ends, and 0 before, if they begin at entries `at`."""
+    return np.concatenate([[0], ends])[at]
+
+
+def pretokens(strings: pa.LargeStringArray) -> tuple[pa.LargeStringArray, np.ndarray]:
+    """The pretokens of lower-cased strings of PLAIN without white space, one after another, and
+    how many each string has. All bytes are looked at at once."""
+    if not pc.sum(pc.binary_length(strings)).as_py():
+        return strings.slice(0, 0), np.zeros(len(strings), dtype=np.int64)
+    _, offsets, letters = strings.buffers()
+    offsets = np.frombuffer(offsets, dtype=np.int64)[strings.offset : strings.offset + len(strings) + 1]
+    raw = np.frombuffer(letters, dtype=np.uint8)[offsets[0] : offsets[-1]]
+    offsets = offsets - offsets[0]
+    kinds = KINDS[raw]
+    begins = np.ones(len(raw), dtype=bool)
+    begins[1:] = (kinds[1:] != kinds[:-1]) | (kinds[1:] == DIGIT)
+    begins[offsets[:-1][np.diff(offsets) > 0]] = True
+    # An apostrophe within a run of other signs begins nothing.
+    at = np.flatnonzero((raw == ord("'")) & begins)
+    room = offsets[np.searchsorted(offsets, at, side="right")] - at - 1
+    padded = np.concatenate([raw, [0, 0]])
+    for ending in ENDINGS:
+        n = len(ending)
+        fits = room >= n
+        for k in range(n):
+            fits &= padded[at + 1 + k] == ending[k]
+        begins[at[fits] + 1] = False
+        after = at[fits] + 1 + n
+        begins[after[after < len(raw)]] = True
+    places = np.flatnonzero(begins)
+    cuts = np.append(places, len(raw))
+    found = pa.Array.from_buffers(pa.large_string(), len(places), [None, pa.py_buffer(cuts), pa.py_buffer(raw)])
+    return found, np.diff(np.searchsorted(places, offsets))
+
+
 class WordIds:
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task per core
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.library = Tokenizer.from_file(path)
+        # The same model for pretokens joined by blanks, which need no normalizer and no pattern.
+        self.by_blanks = Tokenizer(self.library.model)
+        self.by_blanks.pre_tokenizer = pre_tokenizers.Sequence(
+            [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
+        )
         vocabulary = self.library.get_vocab()
         self.size = max(vocabulary.values()) + 1
         suffix = self.library.model.end_of_word_suffix
@@ -82,59 +132,52 @@ class WordIds:
     def _ids(self, text: str) -> np.ndarray:
         return np.asarray(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4")
 
-    def _learn(self, new: list[str]) -> dict[str, bytes]:
+    def _learn(self, new: list[str]) -> list[bytes]:
         """Ids of pretokens: encoded together, told apart by the tokens that end a word."""
-        out = {}
-        for at in range(0, len(new), 10_000):
-            part = new[at : at + 10_000]
-            found = self.library.encode_batch_fast([" ".join(part)], add_special_tokens=False)
+        out = []
+        for at in range(0, len(new), TOGETHER):
+            part = new[at : at + TOGETHER]
+            found = self.by_blanks.encode_batch_fast([" ".join(part)], add_special_tokens=False)
             ids = np.asarray(found[0].ids, dtype="<u4")
             stops = np.flatnonzero(self.ends[ids]) + 1
             if len(stops) != len(part):
                 raise ValueError("the vocabulary does not mark word ends")
             packed, cuts = ids.tobytes(), (4 * stops).tolist()
-            for x, a, b in zip(part, [0, *cuts[:-1]], cuts, strict=True):
-                out[x] = packed[a:b]
+            out += [packed[a:b] for a, b in zip([0, *cuts[:-1]], cuts, strict=True)]
         return out
 
     def _packed(self, strings: list[str]) -> list[bytes]:
-        """Ids of strings without white space. A pretoken is such a string too, so one memory
-        serves both. It has two halves: when the newer is full it takes the place of the older,
-        and what is looked up in the older moves to the newer, so that common strings stay."""
+        """Ids of different pretokens. The memory has two halves: when the newer is full it takes
+        the place of the older, and what is looked up in the older moves to the newer, so that
+        common pretokens stay."""
         if len(self.newer) > MEMO // 2:
             self.older, self.newer = self.newer, {}
-        newer, older = self.newer, self.older
-        out = [newer.get(x) for x in strings]
-        missing = [x for x, ids in zip(strings, out, strict=True) if ids is None]
-        if not missing:
-            return out
-        again = {x: older[x] for x in missing if x in older} if older else {}
-        parts: dict[str, list[str]] = {}
-        unknown = set()
-        for x in missing:
-            if x not in again:
-                found = WORDS.findall(x)
-                if len(found) == 1:
-                    unknown.add(x)
-                else:
-                    parts[x] = found
-                    unknown.update([w for w in found if w not in newer and w not in older])
-        fresh = self._learn(list(unknown))
-        for x, found in parts.items():
-            again[x] = b"".join([fresh[w] if w in fresh else newer[w] if w in newer else older[w] for w in found])
-        fresh |= again
-        newer.update((x, ids) for x, ids in fresh.items() if len(x) <= LONGEST)
-        return [fresh[x] if ids is None else ids for x, ids in zip(strings, out, strict=True)]
+        out = [self.newer.get(x) for x in strings]
+        missing = [i for i, ids in enumerate(out) if ids is None]
+        if self.older:
+            for i in missing:
+                out[i] = self.older.get(strings[i])
+            unknown = [i for i in missing if out[i] is None]
+        else:
+            unknown = missing
+        for i, ids in zip(unknown, self._learn([strings[i] for i in unknown]), strict=True):
+            out[i] = ids
+        self.newer.update((strings[i], out[i]) for i in missing if len(strings[i]) <= LONGEST)
+        return out
 
     def _plain(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         lists = pc.ascii_split_whitespace(pa.array([t.lower() for t in texts], pa.large_string()))
         coded = lists.flatten().dictionary_encode()
-        packed = self._packed(coded.dictionary.to_pylist())
+        found, counts = pretokens(coded.dictionary)
+        known = found.dictionary_encode()
+        packed = self._packed(known.dictionary.to_pylist())
         sizes = np.fromiter(map(len, packed), dtype=np.int64, count=len(packed)) // 4
         flat = np.frombuffer(b"".join(packed), dtype="<u4")
+        # From pretokens to strings between white space, and from these to texts.
+        flat, ends = gather(flat, sizes, known.indices.to_numpy())
+        sizes = np.diff(_bounds(ends, np.concatenate([[0], np.cumsum(counts)])))
         ids, ends = gather(flat, sizes, coded.indices.to_numpy())
-        offsets = lists.offsets.to_numpy() - lists.offsets[0].as_py()
-        return ids, np.diff(np.concatenate([[0], ends])[offsets])
+        return ids, np.diff(_bounds(ends, lists.offsets.to_numpy() - lists.offsets[0].as_py()))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after another, how many each has); no special tokens added."""
