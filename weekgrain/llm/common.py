@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
+from typing import TypeVar
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +18,7 @@ from weekgrain.sources.staging import shared_root
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 FOLD = str.maketrans(UPPER, LOWER)
+T = TypeVar("T")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,6 +58,23 @@ def scratch(spark: SparkSession) -> Iterator[None]:
             discard(spark, path)
 
 
+def release() -> None:
+    """Give back to the system what this process has freed. A Python worker outlives its task, and
+    what Arrow and the C library keep for later would lie beside the next stage's memory."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
+
+
+def releasing(batches: Iterable[T]) -> Iterator[T]:
+    """batches, with release() after each."""
+    for batch in batches:
+        yield batch
+        del batch
+        release()
+
+
 def salted_join(left: DataFrame, right: DataFrame, keys: list[str], by: Column, salts: int = 16) -> DataFrame:
     """left join of many rows on few: each key's rows are spread over `salts` keys by the hash
     of `by`, and right, which has a row per key at most, is repeated for each of them."""

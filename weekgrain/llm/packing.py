@@ -25,7 +25,7 @@ from pyspark.sql import Window as W
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
-from weekgrain.llm.common import saved, table
+from weekgrain.llm.common import releasing, saved, table
 from weekgrain.llm.word_ids import texts_of, word_ids
 
 CAPACITY = 4096
@@ -52,7 +52,7 @@ def numbered_pieces(docs: DataFrame, path: str | None = None, capacity: int = CA
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine, seen = word_ids(path), Counter()
-        for batch in batches:
+        for batch in releasing(batches):
             for part, texts in texts_of(batch.column("text"), SLICE):
                 ids, sizes = machine.closed(texts, END_ID)
                 packed, at, rows = ids.tobytes(), 0, []

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weekgrain.llm.common import table
+from weekgrain.llm.common import release, table
 from weekgrain.llm.toxicity import segments
 
 # fixed values: the base patterns, by kind, in the order of the kinds
@@ -187,7 +187,9 @@ def clean(docs: DataFrame, scan: Scan = Scan()) -> DataFrame:
 
     @F.pandas_udf("string")
     def cleaned(texts: pd.Series) -> pd.Series:
-        return pd.Series([None if t is None else redact(t, find(t, scan)) for t in texts], dtype=object)
+        out = [None if t is None else redact(t, find(t, scan)) for t in texts]
+        release()
+        return pd.Series(out, dtype=object)
 
     out = docs.withColumn("text", cleaned("text"))
     if "n_chars" in docs.columns:

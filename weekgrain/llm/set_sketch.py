@@ -23,7 +23,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructField, StructType
 
 from weekgrain.llm.blocks import blocked, units
-from weekgrain.llm.common import free_name, salted_join, saved, table
+from weekgrain.llm.common import free_name, release, releasing, salted_join, saved, table
 from weekgrain.llm.graph import components
 
 # Shingles sketched at a time, and rows given back at a time.
@@ -181,7 +181,7 @@ def _full_sets(docs: DataFrame, named: DataFrame, how: Sketch) -> DataFrame:
     words = how.words
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in releasing(batches):
             rows, size = [], 0
             for i, text in zip(batch.column("id"), batch.column("text"), strict=True):
                 found = shingles(text.as_py(), words)
@@ -227,7 +227,9 @@ def _linked(pairs: DataFrame, cards: DataFrame, how: Sketch) -> DataFrame:
 
     @F.pandas_udf("boolean")
     def may(a: pd.Series, b: pd.Series, na: pd.Series, nb: pd.Series) -> pd.Series:
-        return pd.Series(plausible(_registers(a, how), _registers(b, how), na.to_numpy(), nb.to_numpy(), how))
+        found = plausible(_registers(a, how), _registers(b, how), na.to_numpy(), nb.to_numpy(), how)
+        release()
+        return pd.Series(found)
 
     likely = _both(pairs, cards, ["n_shingles", "sketch"])
     likely = likely.where(may("sketch_a", "sketch_b", "n_shingles_a", "n_shingles_b")).select("a", "b")
@@ -297,6 +299,7 @@ def _across(cards: DataFrame, families: DataFrame, parts: DataFrame, how: Sketch
 
     def compare(frame: pd.DataFrame) -> pd.DataFrame:
         out = [pair for home, probe in units(frame) for pair in _across_unit(home, probe, how)]
+        release()
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
     return work.groupBy("work").applyInPandas(compare, "a long, b long")
@@ -307,7 +310,7 @@ def _read(docs: DataFrame, how: Sketch) -> DataFrame:
     batch one by one, so a task holds the batch and about BATCH shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in releasing(batches):
             found, at = _sketched((t.as_py() for t in batch.column("text")), how), 0
             while rows := list(islice(found, ROWS)):
                 own = [batch.column(c).slice(at, len(rows)) for c in ("doc_id", "mark")]

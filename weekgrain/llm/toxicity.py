@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weekgrain.llm.common import saved, table
+from weekgrain.llm.common import release, releasing, saved, table
 
 WORD = re.compile(r"[^\W\d_]+")
 THRESHOLD = 0.3
@@ -148,7 +148,7 @@ def remainder() -> Column:
 def _count(batches: Iterator[pd.DataFrame], prefixes: tuple[int, ...]) -> Iterator[pd.DataFrame]:
     """Per batch and fold: how many clean and toxic documents hold each feature, and uses of it in
     clean ones. The row with an empty feature counts the documents and clean words themselves."""
-    for batch in batches:
+    for batch in releasing(batches):
         for fold, part in batch.groupby("fold"):
             docs, uses = (Counter(), Counter()), Counter()
             for text, toxic in zip(part["text"], part["toxic"], strict=True):
@@ -183,6 +183,7 @@ def _marks(text: Column) -> Column:
     @F.pandas_udf("a long, b long")
     def marks(texts: pd.Series) -> pd.DataFrame:
         mixed = [_triples(t) for t in texts]
+        release()
         return pd.DataFrame(
             [(min(m), min(x * 0x9E3779B97F4A7C15 & (1 << 63) - 1 for x in m)) for m in mixed], columns=["a", "b"]
         )
@@ -314,6 +315,8 @@ def _judged(rows: DataFrame, models: list[Model], measure) -> list:
                     at[k].append(i)
             found = [segments(s, p, m.rest) for s, p, m in zip(scores, at, models, strict=True)]
             out.append((len(words), [float(measure(len(words), f, m)) for f, m in zip(found, models, strict=True)]))
+        memo.clear()
+        release()
         return pd.DataFrame(out, columns=["n", "value"])
 
     return rows.select("toxic", scan("text").alias("s")).select("toxic", "s.*").collect()
@@ -413,7 +416,7 @@ def score(docs: DataFrame, model: Model, name: str = "toxicity") -> DataFrame:
     @F.pandas_udf("score double, n_segments long, passages array<array<long>>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         model, memo = sent.value, {}
-        for texts in batches:
+        for texts in releasing(batches):
             rows = []
             for text in texts:
                 n, found = passages(text, model, memo)
