@@ -1,3 +1,5 @@
+import pyarrow as pa
+
 import corpus_pipeline as cp
 from weekgrain.llm import decontaminate, secret_scan, set_sketch, toxicity
 from helpers_llm import rows
@@ -39,6 +41,19 @@ def test_run_gives_the_stages_result(shipped, sf_dir):
     assert got and len({(r["doc_id"], r["piece"]) for r in got}) == len(got)
 
 
+def test_stages_run_on_small_batches(shipped, sf_dir):
+    docs = shipped.createDataFrame([(i, "x " * 100_000) for i in range(40)], "doc_id long, text string").coalesce(1)
+    cp.packed(shipped, docs.limit(1), sf_dir)
+    assert shipped.conf.get("spark.sql.parquet.columnarReaderBatchSize") == "512"
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": [batch.nbytes]})
+
+    seen = [r["n"] for r in docs.select("text").mapInArrow(sizes, "n long").collect()]
+    assert sum(seen) >= 8_000_000 and max(seen) < 2_000_000
+
+
 def test_odd_rows(shipped, odd_docs, no_docs, sf_dir):
     odd = odd_docs.withColumnRenamed("score", "toxicity").withColumnRenamed("found", "place")
     for docs in (odd, no_docs):

@@ -1,5 +1,6 @@
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import public_tokenizers
@@ -67,3 +68,15 @@ def test_strings_of_known_pretokens_are_not_learned():
     assert known == {"stop", "don", "'t", "a", "."}
     machine.encode(["stop. a.stop don't. .don't"])
     assert set(machine.newer) == known
+
+
+def test_gathering_takes_little_more_than_what_is_gathered():
+    flat, sizes = np.arange(300, dtype="<u4"), np.full(100, 3)
+    at = np.arange(2_000_000) % 100
+    tracemalloc.start()
+    out, ends = wi.gather(flat, sizes, at)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert out.tolist()[:300] == list(range(300)) and len(out) == ends[-1] == 6_000_000
+    assert (out.reshape(-1, 300) == flat).all()
+    assert peak - out.nbytes - ends.nbytes < 24_000_000

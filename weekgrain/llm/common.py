@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Hashable, Iterable, Iterator
 from contextlib import contextmanager
 from typing import TypeVar
 
@@ -75,6 +75,25 @@ def releasing(batches: Iterable[T]) -> Iterator[T]:
         release()
 
 
+_held: dict[Hashable, object] = {}
+
+
+def held(name: Hashable, make: Callable[[], T]) -> T:
+    """make(), kept by this process until something of another name is held: a Python worker goes
+    on to other stages, and the vocabulary of one would lie beside that of the next."""
+    if name not in _held:
+        forget()
+        _held[name] = make()
+    return _held[name]
+
+
+def forget() -> None:
+    """Drop what is held."""
+    if _held:
+        _held.clear()
+        release()
+
+
 def salted_join(left: DataFrame, right: DataFrame, keys: list[str], by: Column, salts: int = 16) -> DataFrame:
     """left join of many rows on few: each key's rows are spread over `salts` keys by the hash
     of `by`, and right, which has a row per key at most, is repeated for each of them."""

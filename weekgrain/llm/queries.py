@@ -35,11 +35,12 @@ BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 BATCH_BYTES = 1 << 23
 
 
-def ship(spark: SparkSession) -> None:
+def ship(spark: SparkSession, settings: dict[str, int] = {BATCH: BATCH_BYTES}) -> None:  # noqa: B006
     """Send this package to the executors' Python, once per application, and bound the session's
-    Arrow batches unless the application has its own bound."""
-    if not spark.sparkContext.getConf().contains(BATCH):
-        spark.conf.set(BATCH, str(BATCH_BYTES))
+    Arrow batches, or what else settings name, unless the application has its own bound."""
+    for name, value in settings.items():
+        if not spark.sparkContext.getConf().contains(name):
+            spark.conf.set(name, str(value))
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return

@@ -13,13 +13,12 @@ import hashlib
 import re
 from bisect import bisect_left
 from dataclasses import dataclass
-from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weekgrain.llm.common import release, table
+from weekgrain.llm.common import held, release, table
 from weekgrain.llm.toxicity import segments
 
 # fixed values: the base patterns, by kind, in the order of the kinds
@@ -51,14 +50,18 @@ class Scan:
     excess: float = 2.5
 
 
-@lru_cache(maxsize=4)
 def encoding(path: str | None):
-    import public_tokenizers
-    import tiktoken
+    """One per Python worker, until the worker holds something else."""
 
-    with open(path or public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    def make():
+        import public_tokenizers
+        import tiktoken
+
+        with open(path or public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb") as f:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    return held(("encoding", path), make)
 
 
 def _key_like(run: str) -> bool:

@@ -23,7 +23,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructField, StructType
 
 from weekgrain.llm.blocks import blocked, units
-from weekgrain.llm.common import free_name, release, releasing, salted_join, saved, table
+from weekgrain.llm.common import forget, free_name, release, releasing, salted_join, saved, table
 from weekgrain.llm.graph import components
 
 # Shingles sketched at a time, and rows given back at a time.
@@ -310,6 +310,7 @@ def _read(docs: DataFrame, how: Sketch) -> DataFrame:
     batch one by one, so a task holds the batch and about BATCH shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in releasing(batches):
             found, at = _sketched((t.as_py() for t in batch.column("text")), how), 0
             while rows := list(islice(found, ROWS)):

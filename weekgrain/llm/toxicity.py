@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weekgrain.llm.common import release, releasing, saved, table
+from weekgrain.llm.common import forget, release, releasing, saved, table
 
 WORD = re.compile(r"[^\W\d_]+")
 THRESHOLD = 0.3
@@ -148,6 +148,7 @@ def remainder() -> Column:
 def _count(batches: Iterator[pd.DataFrame], prefixes: tuple[int, ...]) -> Iterator[pd.DataFrame]:
     """Per batch and fold: how many clean and toxic documents hold each feature, and uses of it in
     clean ones. The row with an empty feature counts the documents and clean words themselves."""
+    forget()
     for batch in releasing(batches):
         for fold, part in batch.groupby("fold"):
             docs, uses = (Counter(), Counter()), Counter()
@@ -182,6 +183,7 @@ def _marks(text: Column) -> Column:
 
     @F.pandas_udf("a long, b long")
     def marks(texts: pd.Series) -> pd.DataFrame:
+        forget()
         mixed = [_triples(t) for t in texts]
         release()
         return pd.DataFrame(
@@ -415,6 +417,7 @@ def score(docs: DataFrame, model: Model, name: str = "toxicity") -> DataFrame:
 
     @F.pandas_udf("score double, n_segments long, passages array<array<long>>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        forget()
         model, memo = sent.value, {}
         for texts in releasing(batches):
             rows = []

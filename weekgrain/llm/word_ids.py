@@ -11,17 +11,20 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from weekgrain.llm.common import held
+
 # Pretokens remembered per Python worker, and the longest that is: together some 60 MB.
 MEMO = 200_000
 LONGEST = 64
 # Pretokens given to the library at a time.
 TOGETHER = 10_000
+# Entries gathered at a time: their places take more memory than what is gathered.
+GATHERED = 100_000
 # Characters, or bytes, encoded at a time.
 SLICE = 1 << 23
 
@@ -65,13 +68,16 @@ def gather(flat: np.ndarray, sizes: np.ndarray, at: np.ndarray) -> tuple[np.ndar
     """The entries numbered by `at` one after another, and where each ends; entry k is the
     next sizes[k] values of flat."""
     starts = np.cumsum(sizes) - sizes
-    n = sizes[at]
-    ends = np.cumsum(n)
-    total = int(ends[-1]) if len(ends) else 0
-    kind = np.int32 if max(total, len(flat)) < 1 << 31 else np.int64
-    places = np.repeat((starts[at] - (ends - n)).astype(kind), n)
-    places += np.arange(total, dtype=kind)
-    return flat[places], ends
+    ends = np.cumsum(sizes[at])
+    out = np.empty(int(ends[-1]) if len(ends) else 0, dtype=flat.dtype)
+    for first in range(0, len(at), GATHERED):
+        some, stops = at[first : first + GATHERED], ends[first : first + GATHERED]
+        n = sizes[some]
+        begin, end = int(stops[0] - n[0]), int(stops[-1])
+        places = np.repeat(starts[some] - (stops - n), n)
+        places += np.arange(begin, end)
+        out[begin:end] = flat[places]
+    return out, ends
 
 
 def _bounds(ends: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -165,19 +171,24 @@ class WordIds:
         self.newer.update((strings[i], out[i]) for i in missing if len(strings[i]) <= LONGEST)
         return out
 
-    def _plain(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        lists = pc.ascii_split_whitespace(pa.array([t.lower() for t in texts], pa.large_string()))
-        coded = lists.flatten().dictionary_encode()
-        found, counts = pretokens(coded.dictionary)
+    def _of_strings(self, strings: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray]:
+        """The same for different lower-cased strings of PLAIN without white space."""
+        found, counts = pretokens(strings)
         known = found.dictionary_encode()
         packed = self._packed(known.dictionary.to_pylist())
         sizes = np.fromiter(map(len, packed), dtype=np.int64, count=len(packed)) // 4
-        flat = np.frombuffer(b"".join(packed), dtype="<u4")
-        # From pretokens to strings between white space, and from these to texts.
-        flat, ends = gather(flat, sizes, known.indices.to_numpy())
-        sizes = np.diff(_bounds(ends, np.concatenate([[0], np.cumsum(counts)])))
+        flat, ends = gather(np.frombuffer(b"".join(packed), dtype="<u4"), sizes, known.indices.to_numpy())
+        return flat, np.diff(_bounds(ends, np.concatenate([[0], np.cumsum(counts)])))
+
+    def _plain(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """As encode, for texts of PLAIN. What one step leaves to none of the next goes before it."""
+        lists = pc.ascii_split_whitespace(pa.array([t.lower() for t in texts], pa.large_string()))
+        bounds = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        coded = lists.flatten().dictionary_encode()
+        del lists
+        flat, sizes = self._of_strings(coded.dictionary)
         ids, ends = gather(flat, sizes, coded.indices.to_numpy())
-        return ids, np.diff(_bounds(ends, lists.offsets.to_numpy() - lists.offsets[0].as_py()))
+        return ids, np.diff(_bounds(ends, bounds))
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after another, how many each has); no special tokens added."""
@@ -193,13 +204,18 @@ class WordIds:
         """The same with the id `end` after each text."""
         ids, sizes = self.encode(texts)
         out = np.full(len(ids) + len(texts), end, dtype="<u4")
-        out[np.arange(len(ids)) + np.repeat(np.arange(len(texts)), sizes)] = ids
+        own = np.ones(len(out), dtype=bool)
+        own[np.cumsum(sizes + 1) - 1] = False
+        out[own] = ids
         return out, sizes + 1
 
 
-@lru_cache(maxsize=2)
 def word_ids(path: str | None) -> WordIds:
-    """One per Python worker, with what it remembers."""
-    import public_tokenizers
+    """One per Python worker, with what it remembers, until the worker holds something else."""
+
+    def make() -> WordIds:
+        import public_tokenizers
+
+        return WordIds(path or public_tokenizers.path("word_bpe_49k.json"))
 
-    return WordIds(path or public_tokenizers.path("word_bpe_49k.json"))
+    return held(("word_ids", path), make)
